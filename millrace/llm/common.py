@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,45 +63,97 @@ def group_of(n: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
-def arrow_table(data: dict, schema: pa.Schema) -> pa.Table:
-    return pa.table({f.name: pa.array(data[f.name], f.type) for f in schema}, schema=schema)
-
-
 MESSAGE = "bucket int, g int, payload binary"
 MESSAGE_SCHEMA = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("payload", pa.binary())])
 
+#: The bucket number of what a caller tells each group from the start.
+TOLD = -1
+
+Answers = dict[int, bytes]
+Emit = Callable[[pa.Table, Answers], Iterable[tuple[int, bytes]]]
+Merge = Callable[[list[bytes]], list[bytes]]
+
+
+def message_table(g: int, rows: Iterable[tuple[int, bytes]]) -> pa.Table:
+    rows = list(rows)
+    return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "g": pa.array([g] * len(rows), pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())}, schema=MESSAGE_SCHEMA)
+
 
-def two_phase(
-    docs: DataFrame,
-    groups: int,
-    emit: Callable[[pa.Table, int], Iterator[tuple[int, bytes]]],
-    merge: Callable[[list[bytes]], list[bytes]],
-    consume: Callable[[pa.Table, int, dict[int, bytes]], pa.Table],
-    schema: str,
-) -> DataFrame:
+def in_rounds(dealt: DataFrame, rounds: list[tuple[Emit, Merge]], consume: Callable[[pa.Table, Answers], pa.Table], schema: str, told: DataFrame | None = None) -> DataFrame:
     """Statistics of keys that occur in many documents, told back to each document.
 
-    The documents are dealt to bounded groups by a hash of the row (no key of theirs can make a
-    group large). Each group sends each bucket of the key space one message with its distinct
-    keys, so a key that stands in a third of all rows arrives once a group, not once a row. A
-    bucket merges its messages and answers each group in the order of that group's keys. The
-    groups then read their documents again - the plan reuses the one exchange of texts - and
-    finish with the answers at hand.
+    `dealt` has a column g: documents are dealt to bounded groups by a hash of the row, so no key
+    of theirs can make a group large. In a round each group sends each bucket of the key space one
+    message with its distinct keys; a key that stands in a third of all rows so arrives once a
+    group, not once a row. A bucket merges its messages and answers each, in the order of its
+    keys. The next round's groups read their documents again with these answers at hand, and
+    `consume` makes the result with the last answers. The plan has one exchange of the texts and
+    reuses it. `told` may hold a message (bucket TOLD) for each group, which first round and
+    `consume` also get.
     """
-    dealt = docs.withColumn("g", group_of(groups, *[F.col(c) for c in docs.columns]))
 
-    def send(t: pa.Table) -> pa.Table:
-        g = t["g"][0].as_py()
-        rows = list(emit(t, g))
-        return arrow_table({"bucket": [b for b, _ in rows], "g": [g] * len(rows), "payload": [p for _, p in rows]}, MESSAGE_SCHEMA)
+    def answers_of(t: pa.Table) -> Answers:
+        return dict(zip(t["bucket"].to_pylist(), t["payload"].to_pylist(), strict=True))
+
+    def sender(emit: Emit):
+        def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            return message_table(key[0].as_py(), emit(left, answers_of(right)) if len(left) else ())
+
+        return send
+
+    def sender_alone(emit: Emit):
+        def send(t: pa.Table) -> pa.Table:
+            return message_table(t["g"][0].as_py(), emit(t, {}))
+
+        return send
+
+    def merger(merge: Merge):
+        def answer(t: pa.Table) -> pa.Table:
+            return t.set_column(2, MESSAGE_SCHEMA.field(2), pa.array(merge(t["payload"].to_pylist()), pa.binary())).select(MESSAGE_SCHEMA.names)
+
+        return answer
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        return consume(left, answers_of(right))
+
+    heard = told
+    for emit, merge in rounds:
+        if heard is None:
+            sent = dealt.groupBy("g").applyInArrow(sender_alone(emit), MESSAGE)
+        else:
+            sent = dealt.groupBy("g").cogroup(heard.groupBy("g")).applyInArrow(sender(emit), MESSAGE)
+        heard = sent.groupBy("bucket").applyInArrow(merger(merge), MESSAGE)
+    if told is not None:
+        heard = heard.unionByName(told)
+    return dealt.groupBy("g").cogroup(heard.groupBy("g")).applyInArrow(finish, schema)
+
+
+#: Keys travel as a bucket number and the 40 bits below it.
+LOW = 40
+LOW_MASK = np.uint64((1 << LOW) - 1)
+
+
+def keyed(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 40 bits of each hash, as one number: what a key is from here on."""
+    return ((hashes >> np.uint64(LOW)) % np.uint64(buckets)) << np.uint64(LOW) | (hashes & LOW_MASK)
+
+
+def by_bucket(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The buckets of sorted keys, and where they are."""
+    b = (keys >> np.uint64(LOW)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(b, prepend=-1, append=-1))
+    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(b[x]), slice(x, y)
+
 
-    def answer(t: pa.Table) -> pa.Table:
-        t = t.sort_by("g")
-        return t.set_column(2, MESSAGE_SCHEMA.field(2), pa.array(merge(t["payload"].to_pylist()), pa.binary())).select(MESSAGE_SCHEMA.names)
+def packed(keys: np.ndarray, *more: np.ndarray) -> bytes:
+    """The low 40 bits of keys, and other arrays as they are."""
+    low = keys & LOW_MASK
+    return b"".join([len(keys).to_bytes(4, "little"), low.astype("<u4").tobytes(), (low >> np.uint64(32)).astype(np.uint8).tobytes(), *(x.tobytes() for x in more)])
 
-    def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return consume(left, key[0].as_py(), dict(zip(right["bucket"].to_pylist(), right["payload"].to_pylist(), strict=True)))
 
-    sent = dealt.groupBy("g").applyInArrow(send, MESSAGE)
-    answers = sent.groupBy("bucket").applyInArrow(answer, MESSAGE)
-    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(finish, schema)
+def unpacked(payload: bytes) -> tuple[np.ndarray, memoryview]:
+    """The low 40 bits, and what follows them."""
+    n = int.from_bytes(payload[:4], "little")
+    keys = np.frombuffer(payload, "<u4", n, 4).astype(np.uint64) | np.frombuffer(payload, np.uint8, n, 4 + 4 * n).astype(np.uint64) << np.uint64(32)
+    return keys, memoryview(payload)[4 + 5 * n :]
