@@ -66,7 +66,7 @@ def apportioned(parties: DataFrame, within: list[str], votes: str, seats: str, t
     return all_sure.groupBy(*keys).agg((F.max("__sure") + F.sum("__won")).alias("quota"))
 
 
-def mix_sources(
+def mixed(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
     most: float = 3.0,
@@ -77,7 +77,7 @@ def mix_sources(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """One row a document: key, source, size, source_size, target, taken.
+    """As mix_sources, with `draw` (a hash of the row) besides, and key and source so named.
 
     The mix has as many words as the documents. Blocks of `block` words are apportioned to the
     sources by their targets, then each source's blocks to its shards by their sizes (a shard has
@@ -112,4 +112,19 @@ def mix_sources(
     out = out.withColumn("rounds", rounds).withColumn("rest", F.col("words") - F.col("rounds") * F.col("part_size"))
     partly = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("end") + F.col("size")))
     taken = (F.col("rounds") * F.col("size") + partly).cast("long")
-    return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", taken.alias("taken"))
+    return out.select("draw", "key", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """One row a document: key, source, size, source_size, target, taken; see `mixed`."""
+    return mixed(docs, key=key, source=source, **options).drop("draw").withColumnsRenamed({"key": key, "source": source})
+
+
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, **options) -> DataFrame:
+    """The mix as documents: each as often as it is taken, rounded to whole documents."""
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    takes = mixed(docs, key=key, text=text, source=source, seed=seed, **options).groupBy("draw", "key").agg(F.sum(times).cast("int").alias("times")).where("times > 0")
+    takes = takes.withColumnsRenamed({"draw": "__draw", "key": "__key", "times": "__times"})
+    marked = docs.withColumn("__row", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
+    whole = marked.join(takes, (F.col("__row") == F.col("__draw")) & F.col(key).eqNullSafe(F.col("__key"))).dropDuplicates(["__draw", "__key"])
+    return whole.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
