@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, packing, quality, substring, tokens, topk, urls
+from . import chat, jaccard, lm, mixing, packing, quality, substring, tokens, topk, urls
 from .common import table
 
 #: (host, path, verdict)
@@ -32,6 +32,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
 
@@ -135,6 +139,7 @@ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_mix_sources": op2_mix_sources,
+    "op3_score_texts": op3_score_texts,
     "op4_filter_urls": op4_filter_urls,
     "op5_format_chat": op5_format_chat,
     "op6_pack": op6_pack,
