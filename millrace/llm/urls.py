@@ -44,7 +44,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", key:
     ready(pages.sparkSession)
     made = rules.where("host is not null and path is not null").withColumn("digest", F.sha2(F.concat_ws("\n", "host", "path"), 256))
     shapes = made.agg(F.count("*"), F.array_sort(F.collect_set(F.size(F.split("host", r"\.")))), F.array_sort(F.collect_set(F.length("path")))).first()
-    count, labels, lengths = shapes[0], shapes[1] or [0], shapes[2] or [0]
+    count, labels, lengths = shapes[0], shapes[1] or [1], shapes[2] or [0]
     best = F.struct(F.length(F.concat("host", "path")).alias("a"), F.length("host").alias("b"), F.col("verdict").isin("block").alias("c"), F.concat("host", "path").alias("rule"), "verdict")
     made = made.groupBy("digest").agg(F.max(best).alias("best")).select(F.col("digest").alias("rule_digest"), short(F.col("digest")).alias("rule_key"), "best")
     host, path = url_parts(F.col(url))
