@@ -23,7 +23,7 @@ from .components import components
 from .wordgrid import Grid, grids, mix
 
 #: Bytes of (compressed) input for a group of documents, and for a bucket of n-grams.
-GROUP_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
+GROUP_BYTES, BUCKET_BYTES = 1 << 20, 2 << 20
 
 #: Fragments of the n-gram order in which overlaps are counted.
 FRAGMENTS = 4

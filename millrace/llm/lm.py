@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import by_bucket, group_of, in_rounds, kept, keyed, packed, parts, ready, unpacked
 from .wordgrid import Grid, grids, mix
 
-GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+GROUP_BYTES, BUCKET_BYTES = 1 << 20, 2 << 20
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,15 +66,16 @@ def measure(texts: pa.ChunkedArray) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in found.items()}
 
 
-def with_features(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
-    """The carried columns and the features of `text`, which is read once and not passed on."""
+def with_features(docs: DataFrame, text: str, carry: list[str], inside: str | None = None) -> DataFrame:
+    """The carried columns and the features of `text`, which is read once and not passed on;
+    `inside` names a carried struct that has it, so that it travels once."""
     ready(docs.sparkSession)
-    docs = docs.select(*carry, F.col(text).cast("string").alias("__text"))
+    docs = docs.select(*carry, *([] if inside else [F.col(text).cast("string").alias("__text")]))
 
     def run(batches):
         for b in batches:
             t = pa.Table.from_batches([b])
-            f = measure(t["__text"])
+            f = measure(pc.struct_field(t[inside], text) if inside else t["__text"])
             yield from pa.table([*(t[c] for c in carry), *(pa.array(f[k], pa.int64()) for k in FEATURES)], [*carry, *FEATURES]).to_batches()
 
     schema = docs.select(*carry).schema
@@ -136,5 +138,6 @@ def keep_good(docs: DataFrame, rules: Rules | None = None, text: str = "text", h
     named = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
     features = kept(with_features(named, "text", ["host"]))
     rates = host_rates(features, "host", rules)
-    whole = with_features(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host).alias("host"), F.col(text).alias("text")), "text", ["row", "host"])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host).alias("host"))
+    whole = with_features(whole, text, ["row", "host"], inside="row")
     return judged(whole, rates, "host", rules).where("kept").select("row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import by_bucket, group_of, in_rounds, keyed, packed, parts, ready, unpacked
 from .wordgrid import Grid, grids
 
-GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+GROUP_BYTES, BUCKET_BYTES = 1 << 20, 2 << 20
 
 
 def seeds(grid: Grid, window: int) -> tuple[np.ndarray, np.ndarray]:
