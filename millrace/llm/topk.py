@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import group_of, kept, parts, ready
+from .common import group_of, kept, ready
 
 #: Dimensions that are added before candidates are looked at again.
 STEP = 16
@@ -28,7 +28,7 @@ def matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
     flat = vectors.combine_chunks()
     lengths = np.diff(flat.offsets.to_numpy(zero_copy_only=False))
     values = flat.flatten().to_numpy(zero_copy_only=False)
-    large = bool(len(values)) and float(np.abs(values).max()) >= 2.0**24
+    large = bool(len(values)) and float(np.abs(values).max()) * width**0.5 >= 2.0**26
     out = np.zeros((width, rows), object if large else np.int64)
     at = np.repeat(np.arange(rows), lengths), np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out[at[1], at[0]] = [int(x) for x in values] if large else values.astype(np.int64)
@@ -44,6 +44,7 @@ def tails(m: np.ndarray) -> np.ndarray:
 def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query's column, id, score) of each query's k best rows of the block; ties to smaller ids."""
     out: list[tuple[int, int, int]] = []
+    np.seterr(over="ignore", invalid="ignore")
     exact = queries.dtype != object and rows.dtype != object
     q_tail, r_tail = tails(queries), tails(rows)
     q = queries.astype(np.float64)
@@ -55,14 +56,16 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np
         score = first[j, alive]
         for s in range(1, steps + 1):
             slack = q_tail[s, j] * r_tail[s, alive]
+            if not exact:  # rounding may be off by so much
+                slack = slack + 1e-9 * q_tail[0, j] * r_tail[0, alive]
             if len(alive) > k:
                 sure = np.partition(score - slack, len(alive) - k)[len(alive) - k]
-                stay = score + slack >= sure - (0 if exact else abs(sure) * 1e-6)
+                stay = ~(score + slack < sure)  # what overflowed stays too
                 alive, score = alive[stay], score[stay]
             if s < steps:
                 part = slice(s * STEP, (s + 1) * STEP)
                 score = score + q[part, j] @ r[part][:, alive]
-        sums = [int(x) for x in score] if exact else [int(x) for x in queries[:, j].astype(object) @ rows[:, alive].astype(object)]
+        sums = [int(x) for x in score] if exact else [sum(int(a) * int(b) for a, b in zip(queries[:, j], rows[:, i], strict=True)) for i in alive]
         best = sorted(zip((-x for x in sums), ids[alive].tolist(), strict=True))[:k]
         out += [(j, i, max(-LONG, min(LONG, -x))) for x, i in best]
     return out
@@ -88,11 +91,15 @@ def top_k(
     ready(vectors.sparkSession)
     x = F.col(vector)
     sound = F.col(key).isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
-    whole = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("double") if scale < 2**20 else F.floor(e.cast("double") * scale))
+
+    def floored(e: Column) -> Column:
+        v = e.cast("double") * scale  # beyond 2**53 a double is whole; floor() would make it a long
+        return F.when(F.abs(v) < 2.0**53, F.floor(v).cast("double")).otherwise(v)
+
+    whole = F.transform(x, floored)
     rows = kept(vectors.where(sound).select(F.col(key).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")))
     queries = rows.where("q").groupBy("id", "v").agg(F.lit(1).alias("one"))
     queries = queries.select("id", "v", F.xxhash64("id", "v").alias("no"))
-    q_blocks = parts(rows, 1 << 30)
     width, n, nq = rows.agg(F.max(F.size("v")), F.count("*"), F.count_if("q")).first()
     q_blocks = max(1, -(-(nq or 0) // block))
     cells = max(1, -(-(n or 0) // (4 * block)))

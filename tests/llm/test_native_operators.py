@@ -32,6 +32,9 @@ def test_search(spark):
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, block=64)
     assert got.columns == ["query_id", "rank", "vec_id", "score"] and sorted(map(tuple, got.collect())) == brute_top(rows)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    huge = [(i, [float(rng.choice([1e300, -1e300, 2.0**40, 3.5])) for _ in range(3)]) for i in range(20)]
+    got = topk.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    assert sorted(map(tuple, got.collect())) == brute_top(huge)
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [1e30])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk.top_k(few, F.col("vec_id") % 50 == 0).collect())) == [(0, 1, 2, 2**63 - 1), (0, 2, 1, 131072)]
 
