@@ -60,14 +60,15 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np
                 slack = slack + 1e-9 * q_tail[0, j] * r_tail[0, alive]
             if len(alive) > k:
                 sure = np.partition(score - slack, len(alive) - k)[len(alive) - k]
+                sure = min(sure, 9e18) if sure > -9e18 else -np.inf  # scores beyond a long are ties
                 stay = ~(score + slack < sure)  # what overflowed stays too
                 alive, score = alive[stay], score[stay]
             if s < steps:
                 part = slice(s * STEP, (s + 1) * STEP)
                 score = score + q[part, j] @ r[part][:, alive]
         sums = [int(x) for x in score] if exact else [sum(int(a) * int(b) for a, b in zip(queries[:, j], rows[:, i], strict=True)) for i in alive]
-        best = sorted(zip((-x for x in sums), ids[alive].tolist(), strict=True))[:k]
-        out += [(j, i, max(-LONG, min(LONG, -x))) for x, i in best]
+        best = sorted(zip((-max(-LONG, min(LONG, x)) for x in sums), ids[alive].tolist(), strict=True))[:k]
+        out += [(j, i, -x) for x, i in best]
     return out
 
 

@@ -19,8 +19,9 @@ def brute_top(rows, k=5):
     sound = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, qv in {(i, tuple(v)) for i, v in sound if i % 50 == 0}:
-        scored = sorted((-sum(a * b for a, b in zip(qv, v, strict=False)), i) for i, v in sound if i != q)[:k]
-        out += [(q, n + 1, i, max(-(2**63 - 1), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scored)]
+        long = 2**63 - 1
+        scored = sorted((-max(-long, min(long, sum(a * b for a, b in zip(qv, v, strict=False)))), i) for i, v in sound if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     return sorted(out)
 
 
