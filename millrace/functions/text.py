@@ -39,7 +39,7 @@ def norm(text: Column) -> Column:
 def canonical(text: Column, composed: bool = True) -> Column:
     """NFC, lines ended by \\n and stripped at their right, stripped as a whole."""
     t = F.regexp_replace(nfc(text) if composed else text, LINE_ENDS, "\n")
-    t = F.regexp_replace(t, f"(?m){SPACES}+$", "")
+    t = F.regexp_replace(t, f"(?m)[{SPACES}&&[^\\n]]+$", "")
     return F.regexp_replace(F.regexp_replace(t, f"^{SPACES}+", ""), f"{SPACES}+$", "")
 
 

@@ -83,30 +83,33 @@ def build_pool(records: DataFrame, held: DataFrame, sources: list[str], targets:
     it cuts must not turn others down, so sources are settled one after the other.
     """
     r = turns(records.where("disposition = 'available'"), ["source"], "stratum", "draw", "gid")
-    r = r.withColumn("put_off", F.length(message_json(F.col("messages"))) > most_chars)
-    tasks = r.where(~F.col("put_off")).select(F.concat(F.lit("candidate:"), "gid").alias("k"), "family", "source", "turn", "stratum")
+    r = r.withColumn("visit", F.row_number().over(Window.partitionBy("source").orderBy("turn", "stratum")))
+    r = r.withColumn("put_off", F.length(message_json(F.col("messages"))) > most_chars).checkpoint()
+    tasks = r.where(~F.col("put_off")).select(F.concat(F.lit("candidate:"), "gid").alias("k"), "family", "source", "visit")
     marks = held.select(F.concat(F.lit("heldout:"), "gid").alias("k"), "family")
     pairs = near_pairs(tasks.select("k", "family").unionByName(marks), "k", F.col("family"), threshold).select("a", "b").checkpoint()
-    taken, done = marks.select("k"), None
+    tasks, taken, done = tasks.select("k", "source", F.col("visit").alias("r")).checkpoint(), marks.select("k").checkpoint(), None
     position = 0
     for source in sources:
         own = tasks.where(F.col("source") == source)
-        own = own.withColumn("r", F.row_number().over(Window.orderBy("turn", "stratum")))
         order = taken.withColumn("r", F.lit(0)).unionByName(own.select("k", "r"))
         among = pairs.join(taken.select(F.col("k").alias("a"), F.lit(1).alias("ta")), "a", "left").join(taken.select(F.col("k").alias("b"), F.lit(1).alias("tb")), "b", "left").where("ta is null or tb is null").select("a", "b")
         chosen = first_of_each(order, among, "k", "r").join(own.select("k", "r"), "k")
-        chosen = chosen.withColumn("n", F.sum(F.col("accepted").cast("int")).over(Window.orderBy("r")))
-        target = targets.get(source, 0)
-        chosen = chosen.withColumn("seen", F.col("n") - F.col("accepted").cast("int") < target)
-        chosen = chosen.select("k", F.lit(source).alias("source"), "r", F.when(~F.col("seen"), "available").when(F.col("accepted"), "pending").otherwise("near_duplicate").alias("state"), F.when(F.col("seen"), F.col("matched")).alias("matched"), F.when(F.col("seen") & F.col("accepted"), F.col("n") - 1 + position).alias("pool_position")).checkpoint()
+        top = chosen.where("accepted").orderBy("r").limit(targets.get(source, 0))
+        top = top.select("k", "r", (F.row_number().over(Window.orderBy("r")) - 1 + position).alias("pool_position")).checkpoint()
+        n, end = top.agg(F.count("*"), F.max("r")).first()
+        seen = F.col("r") <= F.lit(2**31 - 1 if n < targets.get(source, 0) else end or 0)
+        state = F.when(~seen, "available").when(F.col("accepted"), "pending").otherwise("near_duplicate")
+        chosen = chosen.join(top.drop("r"), "k", "left").select("k", F.lit(source).alias("source"), "r", state.alias("state"), F.when(seen, F.col("matched")).alias("matched"), "pool_position").checkpoint()
         done = chosen if done is None else done.unionByName(chosen)
-        new = chosen.where("pool_position is not null")
-        position += new.count()
-        taken = taken.unionByName(new.select("k"))
-    last = done.where("pool_position is not null").join(tasks.select("k", "turn"), "k").groupBy("source").agg(F.max("turn").alias("last_turn"))
+        position += n
+        taken = taken.unionByName(top.select("k"))
+    met = F.element_at(F.create_map(*[x for k in sources for x in (F.lit(k), F.lit(targets.get(k, 0)))]), F.col("source"))
+    last = done.groupBy("source").agg(F.max(F.when(F.col("pool_position").isNotNull(), F.col("r"))).alias("r"), F.count("pool_position").alias("n"))
+    last = last.select("source", F.when(F.col("n") >= met, F.coalesce("r", F.lit(0))).otherwise(2**31 - 1).alias("last_visit"))
     gids = done.select(F.substring("k", 11, 64).alias("gid"), "state", "matched", "pool_position")
     r = r.join(gids, "gid", "left").join(last, "source", "left")
-    state = F.when(F.col("put_off") & (F.col("turn") <= F.coalesce("last_turn", F.lit(-1))), "deferred_input_limit").otherwise(F.coalesce("state", F.lit("available")))
+    state = F.when(F.col("put_off") & (F.col("visit") < F.coalesce("last_visit", F.lit(0))), "deferred_input_limit").otherwise(F.coalesce("state", F.lit("available")))
     out = r.select("gid", "source", "stratum", "draw", "messages", "family", state.alias("disposition"), "matched", "pool_position")
     rest = records.where("disposition <> 'available'").select("gid", "source", "stratum", "draw", "messages", "family", "disposition", F.lit(None).cast("string").alias("matched"), F.lit(None).cast("long").alias("pool_position"))
     return out.unionByName(rest)

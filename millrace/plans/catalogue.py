@@ -138,7 +138,7 @@ def token_counts(spark, d):
     return docs(spark, d).select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("tokens"))
 
 
-@query(f"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), '(?m){WS}+$', '', 'g'), chr(10) || ' ')) AS canonical FROM documents""")
+@query(f"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), '(?m){WS.replace(chr(92) + 's', ' ' + chr(92) + 't')}+$', '', 'g'), chr(10) || ' ')) AS canonical FROM documents""")
 def canonical_texts(spark, d):
     return docs(spark, d).select("doc_id", identity.digest(text.canonical(F.col("text"))).alias("canonical"))
 
