@@ -65,12 +65,16 @@ def grams(parts: Column, n: int) -> Column:
     return F.when(F.size(parts) >= n, F.slice(joined, 1, F.size(parts) - n + 1)).otherwise(F.array().cast("array<string>"))
 
 
-def shingle_keys(text: Column, n: int = 3, least: int = 12) -> Column:
-    """Distinct 8-byte keys (16 hex digits of md5) of the n-token runs, sorted; none in texts of
-    fewer than `least` tokens. Case is folded by lower and for sharp s."""
-    t = tokens(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
-    keys = F.array_sort(F.array_distinct(F.transform(grams(t, n), lambda g: F.substring(F.md5(g), 1, 16))))
-    return F.when(F.size(t) >= least, keys).otherwise(F.array().cast("array<string>"))
+def folded_tokens(text: Column) -> Column:
+    """Tokens for comparing: case is folded by lower and for sharp s."""
+    return tokens(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+
+
+def shingle_keys(parts: Column, n: int = 3, least: int = 12) -> Column:
+    """Distinct 8-byte keys (16 hex digits of md5) of the runs of n tokens, sorted; none where
+    there are fewer than `least` tokens. Give the tokens as a column that is computed already."""
+    keys = F.sort_array(F.array_distinct(F.transform(grams(parts, n), lambda g: F.substring(F.md5(g), 1, 16))))
+    return F.when(F.size(parts) >= least, keys).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

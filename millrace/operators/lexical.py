@@ -13,9 +13,10 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 
 def terms(df: DataFrame, key: str, text: Column, n: tuple[int, ...] = (1, 2)) -> DataFrame:
     """key, term, tf: word n-grams of the lower-cased text."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    w = F.col("__w")
     every = F.flatten(F.array(*[w if k == 1 else grams(w, k) for k in n]))
-    return df.select(F.col(key), F.explode(every).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    split = df.select(F.col(key), F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("__w"))
+    return split.select(key, F.explode(every).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def idf(t: DataFrame, n: int, most: int | None = None) -> DataFrame:
@@ -54,8 +55,8 @@ def near_existing(new: DataFrame, existing: DataFrame, key: str, text: str, thre
 
 
 def gram_sets(df: DataFrame, key: str, text: Column, n: int = 5) -> DataFrame:
-    w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    return df.select(F.col(key), F.explode(F.array_distinct(grams(w, n))).alias("gram"))
+    split = df.select(F.col(key), F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "").alias("__w"))
+    return split.select(key, F.explode(F.array_distinct(grams(F.col("__w"), n))).alias("gram"))
 
 
 def containment(part: DataFrame, whole: DataFrame, key: str) -> DataFrame:

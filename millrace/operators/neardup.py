@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import shingle_keys, sizes_allow
+from ..functions.text import folded_tokens, shingle_keys, sizes_allow
 
 
 def features(df: DataFrame, key: str, text: Column, kept: int = 12) -> DataFrame:
     """key, n (shingle keys), shingles and the `kept` smallest, of texts that have any."""
-    f = df.select(F.col(key), shingle_keys(text).alias("shingles")).where(F.size("shingles") > 0)
+    t = df.select(F.col(key), folded_tokens(text).alias("__t")).where(F.size("__t") >= 12)
+    f = t.select(key, shingle_keys(F.col("__t")).alias("shingles"))
     return f.select(key, F.size("shingles").alias("n"), "shingles", F.slice("shingles", 1, kept).alias("bottom"))
 
 
@@ -26,7 +27,7 @@ def candidate_pairs(f: DataFrame, key: str, threshold: float) -> DataFrame:
 def near_pairs(df: DataFrame, key: str, text: Column, threshold: float = 0.9) -> DataFrame:
     """a, b, shared, total: pairs whose shingle sets have Jaccard >= threshold (compared as
     shared >= threshold * total)."""
-    f = features(df, key, text)
+    f = features(df, key, text).repartition(F.col(key))  # made once: all four uses read this exchange
     sets = f.select(F.col(key).alias("k"), "n", "shingles")
     p = candidate_pairs(f, key, threshold)
     p = p.join(sets.withColumnsRenamed({"k": "a", "n": "an", "shingles": "as"}), "a").join(sets.withColumnsRenamed({"k": "b", "n": "bn", "shingles": "bs"}), "b")
