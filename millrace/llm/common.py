@@ -138,14 +138,23 @@ def keyed(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(LOW)) % np.uint64(buckets)) << np.uint64(LOW) | (hashes & LOW_MASK)
 
 
-def by_bucket(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """The buckets of sorted keys, and where they are."""
-    b = (keys >> np.uint64(LOW)).astype(np.int64)
+def spans(b: np.ndarray) -> Iterator[tuple[int, slice]]:
     edges = np.flatnonzero(np.diff(b, prepend=-1, append=-1))
     for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         yield int(b[x]), slice(x, y)
 
 
+def by_bucket(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The buckets of sorted keys, and where they are."""
+    return spans((keys >> np.uint64(LOW)).astype(np.int64))
+
+
+def by_range(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """As by_bucket, for sorted hashes that travel with all 64 bits: a bucket is a range of them."""
+    high = hashes >> np.uint64(32)
+    return spans(((high * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64))
+
+
 def packed(keys: np.ndarray, *more: np.ndarray) -> bytes:
     """The low 40 bits of keys, and other arrays as they are."""
     low = keys & LOW_MASK

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, group_of, in_rounds, keyed, packed, parts, ready, unpacked
+from .common import by_bucket, by_range, group_of, in_rounds, keyed, packed, parts, ready, unpacked
 from .wordgrid import Grid, grids
 
 GROUP_BYTES, BUCKET_BYTES = 1 << 20, 2 << 20
@@ -95,7 +95,7 @@ def removed_words(docs: DataFrame, window: int, consume_rows, schema: str) -> Da
         held, owner, seed_keys, pieces = [], [], [np.empty(0, np.uint64)], []
         for grid in grids(t["text"]):
             at, seed = seeds(grid, window)
-            pieces.append((keyed(seed, buckets), keyed(grid.grams(window)[0], buckets), row[grid.row + grid.doc[at]]))
+            pieces.append((keyed(seed, buckets), grid.grams(window)[0], row[grid.row + grid.doc[at]]))
             seed_keys.append(np.unique(pieces[-1][0][pieces[-1][2] >= 0]))
         known = np.unique(np.concatenate(seed_keys))
         shared = [np.unpackbits(np.frombuffer(answers[b], np.uint8), count=at.stop - at.start) for b, at in by_bucket(known)]
@@ -105,22 +105,21 @@ def removed_words(docs: DataFrame, window: int, consume_rows, schema: str) -> Da
             held.append(run[stay])
             owner.append(own[stay])
         keys, least, _ = firsts(np.concatenate(held), np.concatenate(owner)) if held else (np.empty(0, np.uint64),) * 3
-        ids = distinct.astype("<i8").tobytes()
-        for b, at in by_bucket(keys):
-            if 4 * (at.stop - at.start) + len(ids) > 8 * (at.stop - at.start):
-                yield b, packed(keys[at], np.zeros(1, "<u4"), distinct[least[at]].astype("<i8"))
+        for b, at in by_range(keys, buckets):
+            runs = keys[at].astype("<u8").tobytes()
+            if len(distinct) > (at.stop - at.start) // 2:  # the documents themselves, or their places in a list
+                yield b, b"".join([np.array([len(keys[at]), 0], "<u4").tobytes(), runs, distinct[least[at]].astype("<i8").tobytes()])
             else:
-                yield b, packed(keys[at], np.array([len(distinct)], "<u4"), distinct.astype("<i8"), least[at].astype("<u4"))
+                yield b, b"".join([np.array([len(keys[at]), len(distinct)], "<u4").tobytes(), runs, distinct.astype("<i8").tobytes(), least[at].astype("<u4").tobytes()])
 
     def merge_runs(payloads: list[bytes]) -> list[bytes]:
         """Each group's runs that stand in a document before the group's first one with it."""
         keys, least = [], []
         for p in payloads:
-            k, rest = unpacked(p)
-            n = int(np.frombuffer(rest, "<u4", 1)[0])
-            ids = np.frombuffer(rest, "<i8", n or len(k), 4)
-            keys.append(k)
-            least.append(ids[np.frombuffer(rest, "<u4", len(k), 4 + 8 * n)] if n else ids)
+            n, listed = np.frombuffer(p, "<u4", 2).tolist()
+            keys.append(np.frombuffer(p, "<u8", n, 8))
+            ids = np.frombuffer(p, "<i8", listed or n, 8 + 8 * n)
+            least.append(ids[np.frombuffer(p, "<u4", n, 8 + 8 * n + 8 * listed)] if listed else ids)
         all_keys, all_least = np.concatenate(keys), np.concatenate(least)
         order = np.lexsort((all_least, all_keys))
         k, m = all_keys[order], all_least[order]
@@ -128,16 +127,16 @@ def removed_words(docs: DataFrame, window: int, consume_rows, schema: str) -> Da
         first = np.empty(len(k), np.int64)
         first[order] = m[new][np.cumsum(new) - 1]
         earlier = first < all_least
-        return [packed(x[e]) for x, e in zip(keys, np.split(earlier, np.cumsum([len(x) for x in keys])[:-1]), strict=True)]
+        return [x[e].tobytes() for x, e in zip(keys, np.split(earlier, np.cumsum([len(x) for x in keys])[:-1]), strict=True)]
 
     def consume(t: pa.Table, answers: dict[int, bytes]) -> pa.Table:
         _, row = numbered(t)
-        gone = [unpacked(p)[0] | np.uint64(b << 40) for b, p in answers.items()]
+        gone = [np.frombuffer(p, "<u8") for p in answers.values()]
         gone = np.sort(np.concatenate(gone)) if gone else np.empty(0, np.uint64)
         runs, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for grid in grids(t["text"]):
             h, at = grid.grams(window)
-            runs.append(keyed(h, buckets))
+            runs.append(h)
             owner.append(row[grid.row + grid.doc[at]])
         runs, owner = np.concatenate(runs), np.concatenate(owner)
         keys, least, several = firsts(runs[owner >= 0], owner[owner >= 0])

@@ -5,11 +5,13 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import jaccard, lm, packing, quality, substring, tokens
+from millrace.llm.common import by_range
 from millrace.llm.components import components
 
 from .conftest import TEXTS
@@ -112,6 +114,17 @@ def test_substring_dedup(docs, window):
     assert rows(substring.substring_dedup(docs, window)) == brute_dedup(TEXTS, window)
 
 
+@pytest.mark.parametrize("buckets", [1, 7, 1 << 23])
+def test_ranges_of_hashes_cover_all_of_them_in_order(buckets):
+    hashes = np.sort(np.random.default_rng(0).integers(0, 2**64, 5000, np.uint64, endpoint=False))
+    hashes = np.concatenate([np.zeros(1, np.uint64), hashes, np.full(1, 2**64 - 1, np.uint64)])
+    found = list(by_range(hashes, buckets))
+    assert [x for _, at in found for x in range(at.start, at.stop)] == list(range(len(hashes)))
+    of = [b for b, _ in found]
+    assert of == sorted(set(of)) and 0 <= of[0] and of[-1] < buckets
+    assert list(by_range(hashes[:0], buckets)) == []
+
+
 def test_cut_repeats_keeps_the_rest_as_it_was(docs, none):
     got = substring.cut_repeats(docs, 13)
     assert got.columns == docs.columns
