@@ -181,13 +181,15 @@ def chat_structure(spark, d):
     return chats(spark, d).select("conv_id", flags.structurally_valid(f).alias("valid"))
 
 
-HINT_SQL = " ".join(f"WHEN regexp_matches(left(text, 4000), '{p}', 'is') THEN '{n}'" for n, p in flags.TASK_RULES)
+HINT_SQL = " ".join(f"WHEN regexp_matches(text, '{p}', 'is') THEN '{n}'" for n, p in flags.TASK_RULES)
 
 
-@query(f"SELECT hint, count(*) AS count FROM (SELECT CASE {HINT_SQL} ELSE 'other_uncertain' END AS hint FROM conversations WHERE role = 'user') GROUP BY hint")
+@query(f"""WITH {CHAT_SQL}, u AS (SELECT list_filter(list_zip(roles, texts), lambda x: x[1] = 'user') AS users FROM t), s AS (SELECT left(coalesce(users[-1][2], ''), 4000) AS last, left(users[1][2], 4000) AS first FROM u),
+  h AS (SELECT CASE WHEN length(last) < 80 AND first IS NOT NULL THEN last || chr(10) || first ELSE last END AS text FROM s)
+  SELECT hint, count(*) AS count FROM (SELECT CASE {HINT_SQL} ELSE 'other_uncertain' END AS hint FROM h) GROUP BY hint""")
 def task_hints(spark, d):
-    c = table(spark, d, "conversations").where("role = 'user'")
-    return c.select(flags.task_hint(flags.task_signals(F.left("text", F.lit(4000)))).alias("hint")).groupBy("hint").agg(F.count("*").alias("count"))
+    c = chats(spark, d)
+    return c.select(flags.task_hint(flags.task_signals(flags.hint_text(F.col("messages")))).alias("hint")).groupBy("hint").agg(F.count("*").alias("count"))
 
 
 @query("""SELECT d.doc_id, CASE WHEN d.n_chars > 8000 THEN 'deferred_input_limit' WHEN l.toxic = 1 THEN 'outside_general_scope' WHEN l.quality = 1 THEN 'include' WHEN l.quality = 0 THEN 'exclude' ELSE 'pending' END AS disposition
@@ -214,9 +216,9 @@ def exact_duplicate_groups(spark, d):
     return duplicates.duplicate_groups(docs(spark, d), identity.text_key(F.col("text")), "doc_id")
 
 
-@query("SELECT substr(text, 1, 12) AS key, count(*) AS rows, count(DISTINCT text) AS values FROM documents GROUP BY 1 HAVING count(DISTINCT text) > 1")
+@query("SELECT text AS key, count(*) AS rows, count(DISTINCT source) AS values FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1")
 def same_key_diff_value(spark, d):
-    return duplicates.differing_values(docs(spark, d), F.substring("text", 1, 12), F.col("text"))
+    return duplicates.differing_values(docs(spark, d).where("text is not null"), F.col("text"), F.col("source"))
 
 
 @query("SELECT doc_id, d.text IN (SELECT text FROM benchmark) AS known FROM documents d")

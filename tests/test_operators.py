@@ -305,3 +305,14 @@ def test_rewritten_history_and_breaker(spark):
     assert [r["seq"] for r in trace.rewritten(df, ["ep"], "seq", "h").collect()] == [3]
     f = spark.createDataFrame([("e", i, x) for i, x in enumerate([True, True, False, True])], "ep string, seq int, failed boolean")
     assert [r["open"] for r in trace.breaker(f, ["ep"], ["seq"], "failed", 2).orderBy("seq").collect()] == [False, False, True, False]
+
+
+def test_hint_text_takes_the_first_message_where_the_last_is_short(spark):
+    long = "x" * 5000
+    chats = [
+        (0, [("user", "first"), ("assistant", "a"), ("user", "last")]), (1, [("user", "first"), ("user", long)]), (2, [("user", long), ("user", "y" * 80)]),
+        (3, [("system", "s")]), (4, []), (5, None), (6, [("user", None), ("user", "last")]), (7, [("user", "only")]), (8, [("user", long), ("user", None)]),
+    ]
+    df = spark.createDataFrame(chats, "k int, messages array<struct<role:string,content:string>>")
+    got = {r["k"]: r["t"] for r in df.select("k", flags.hint_text(F.col("messages")).alias("t")).collect()}
+    assert got == {0: "last\nfirst", 1: "x" * 4000, 2: "y" * 80, 3: "", 4: "", 5: "", 6: "last", 7: "only\nonly", 8: "\n" + "x" * 4000}
