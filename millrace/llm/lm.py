@@ -1,20 +1,27 @@
 """A log-bilinear language model, trained in numpy with noise-contrastive estimation.
 
 Word counts over all training documents give the units: the most frequent words each for itself,
-and classes (by the last letters) for all others. The model predicts the next unit from the one
-before: the score of unit w after unit h is r_h . q_w + b_w. Training draws from the counts of
-unit pairs over all training documents; noise units are drawn from the unit counts. Matrix
-products over all units then give normalised log-probabilities. A class's probability is spread
-over its words by their counts, with one place kept for words never seen.
+about twice the square root of the number of training tokens, and classes (by the last letters)
+for all others. The model predicts the next unit from the one before: the score of unit w after
+unit h is r_h . q_w + b_w. Training goes through the unit pairs of all training documents, each
+occurrence once a round at least; noise units are drawn from the unit counts. Matrix products over all
+units then give each unit's normaliser. A class's probability is spread over its words by their
+counts, with one place kept for words never seen.
+
+As units grow with the root of the tokens, so do the trainers: what trainers send (their number
+times the units) and the normalisers (units squared) grow with the input, and no faster.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_bucket, group_of, in_rounds, kept, keyed, packed, parts, ready, unpacked
@@ -22,11 +29,16 @@ from .wordgrid import Grid, grids, mix
 
 GROUP_BYTES, BUCKET_BYTES = 1 << 20, 2 << 20
 
+#: Pairs that are put in random order at once, and units of a message or of a normaliser's task.
+SHUFFLED, BLOCK = 1 << 20, 1024
+
 
 @dataclass(frozen=True)
 class Settings:
-    """words: units of their own; classes: units of all other words. Their square bounds what
-    training gathers. The end of a text is a unit too, and the context of its first word."""
+    """words: units of their own, at least (more where the corpus is large); classes: units of all
+    other words; steps: batches of training, at least; rounds: how often all pairs take part, however
+    many, and the trainers' models are put together. The end of a text is a unit too, and the
+    context of its first word."""
 
     words: int = 1023
     classes: int = 1024
@@ -36,10 +48,17 @@ class Settings:
     steps: int = 800
     rate: float = 0.1
     seed: int = 0
+    rounds: int = 3
+
+    def words_for(self, tokens: int) -> int:
+        return max(self.words, 2 * isqrt(tokens))
 
-    @property
-    def units(self) -> int:
-        return 1 + self.words + self.classes
+    def trainers_for(self, tokens: int) -> int:
+        return max(1, isqrt(tokens) // 1000)
+
+    def passes_for(self, tokens: int) -> int:
+        """How often a round goes through all pairs."""
+        return max(1, -(-self.steps * self.batch // max(self.rounds * tokens, 1)))
 
 
 def word_classes(grid: Grid, classes: int) -> np.ndarray:
@@ -56,8 +75,8 @@ def held_out(key: Column) -> Column:
 
 
 def word_counts(docs: DataFrame, s: Settings) -> DataFrame:
-    """Exact word counts of the training documents, one row a bucket of words: words, kinds, the
-    same by class, and the bucket's most frequent words (at most as many as get units)."""
+    """Exact word counts of the training documents, one row a bucket of words: tokens and kinds,
+    the same by class, how many words have each count, and the words with their counts and classes."""
     buckets = parts(docs, BUCKET_BYTES)
 
     def send(batches):
@@ -78,15 +97,37 @@ def word_counts(docs: DataFrame, s: Settings) -> DataFrame:
         words, n, kind = (np.concatenate([np.frombuffer(x, d) for x in t[c].to_pylist()]) for c, d in (("words", "<u8"), ("n", "<i8"), ("kind", "<u2")))
         words, first, which = np.unique(words, return_index=True, return_inverse=True)
         n, kind = np.bincount(which, n).astype(np.int64), kind[first]
-        best = np.lexsort((words, -n))[: s.words]
-        by_class = np.bincount(kind, n, s.classes).astype(np.int64), np.bincount(kind, minlength=s.classes)
-        longs = pa.list_(pa.int64())
-        row = (*by_class, words[best].view(np.int64), n[best], kind[best].astype(np.int64))
-        names = ["class_n", "class_kinds", "top_word", "top_n", "top_kind"]
-        return pa.table([pa.array([int(n.sum())]), pa.array([len(words)]), *(pa.array([x.tolist()], longs) for x in row)], ["n", "kinds", *names])
+        row = (np.bincount(kind, n, s.classes).astype(np.int64), np.bincount(kind, minlength=s.classes), *np.unique(n, return_counts=True))
+        sums = [pa.array([int(n.sum())]), pa.array([len(words)]), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in row)]
+        own = [pa.array([x.astype(d).tobytes()], pa.binary()) for x, d in ((words, "<u8"), (n, "<i8"), (kind, "<u2"))]
+        return pa.table([*sums, *own], ["n", "kinds", "class_n", "class_kinds", "level", "many", "words", "word_n", "word_kind"])
 
     sent = docs.select("text").mapInArrow(send, "bucket int, words binary, n binary, kind binary")
-    return sent.groupBy("bucket").applyInArrow(count, "n long, kinds long, class_n array<bigint>, class_kinds array<bigint>, top_word array<bigint>, top_n array<bigint>, top_kind array<bigint>")
+    return sent.groupBy("bucket").applyInArrow(count, "n long, kinds long, class_n array<bigint>, class_kinds array<bigint>, level array<bigint>, many array<bigint>, words binary, word_n binary, word_kind binary")
+
+
+def most_frequent(counts: DataFrame, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """About `wanted` of the most frequent words, in order of their hashes: hash, count, class.
+    Of the words with the least count among them, those with small hashes are taken."""
+    levels = counts.select(F.explode(F.arrays_zip("level", "many")).alias("l")).groupBy("l.level").agg(F.sum("l.many").alias("many")).orderBy(F.desc("level")).collect()
+    level, most, above = 1, 2**64 - 1, 0
+    for r in levels:
+        if above + r["many"] > wanted:
+            level, most = r["level"], 2**64 * (wanted - above) // r["many"]
+            break
+        above += r["many"]
+
+    def choose(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                words, n, kind = (np.frombuffer(row[c], d) for c, d in (("words", "<u8"), ("word_n", "<i8"), ("word_kind", "<u2")))
+                stay = (n > level) | ((n == level) & (words <= np.uint64(most)))
+                yield pa.record_batch([pa.array([x[stay].tobytes()], pa.binary()) for x in (words, n, kind)], ["words", "word_n", "word_kind"])
+
+    rows = counts.select("words", "word_n", "word_kind").mapInArrow(choose, "words binary, word_n binary, word_kind binary").collect()
+    words, n, kind = (np.concatenate([np.empty(0, d), *(np.frombuffer(r[c], d) for r in rows)]) for c, d in (("words", "<u8"), ("word_n", "<i8"), ("word_kind", "<u2")))
+    order = np.argsort(words)
+    return words[order], n[order], kind[order].astype(np.int64)
 
 
 @dataclass
@@ -103,29 +144,29 @@ class Vocabulary:
 
     def units(self, grid: Grid, s: Settings) -> np.ndarray:
         """Each word's unit: 0 is the end, then words, then classes."""
-        kind = 1 + s.words + word_classes(grid, s.classes)
+        kind = 1 + len(self.words) + word_classes(grid, s.classes)
         if not len(self.words):
             return kind
         at = np.minimum(np.searchsorted(self.words, grid.word), len(self.words) - 1)
         return np.where(self.words[at] == grid.word, 1 + at, kind)
 
+    def unit_counts(self) -> np.ndarray:
+        return np.concatenate([[self.texts], self.n, self.class_n])
+
 
 def vocabulary(docs: DataFrame, s: Settings) -> Vocabulary:
-    """From all training documents; sums, one row a class and one a unit reach the driver."""
+    """From all training documents; sums, one row a class and the units' words reach the driver."""
     counts = kept(word_counts(docs, s))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     classes = counts.select(F.posexplode(F.arrays_zip("class_n", "class_kinds")).alias("k", "c")).groupBy("k").agg(F.sum("c.class_n"), F.sum("c.class_kinds")).collect()
-    top = counts.select(F.explode(F.arrays_zip(F.col("top_word").alias("word"), F.col("top_n").alias("n"), F.col("top_kind").alias("kind"))).alias("t")).select("t.*").orderBy(F.desc("n"), "word").limit(s.words).collect()
+    texts = docs.count()
+    words, word_n, kind = most_frequent(counts, s.words_for(total + texts))
     class_n, class_kinds = np.zeros(s.classes, np.int64), np.zeros(s.classes, np.int64)
     for k, n, v in classes:
         class_n[k], class_kinds[k] = n, v
-    for r in top:
-        class_n[r["kind"]] -= r["n"]
-        class_kinds[r["kind"]] -= 1
-    words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    texts = docs.count()
-    return Vocabulary(words[order], np.array([r["n"] for r in top], np.int64)[order], total + texts, kinds + (texts > 0), texts, class_n, class_kinds)
+    np.subtract.at(class_n, kind, word_n)
+    np.subtract.at(class_kinds, kind, 1)
+    return Vocabulary(words, word_n, total + texts, kinds + (texts > 0), texts, class_n, class_kinds)
 
 
 def sequence(units: np.ndarray, grid: Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,52 +182,28 @@ def sequence(units: np.ndarray, grid: Grid) -> tuple[np.ndarray, np.ndarray, np.
     return before, out, text
 
 
-def pair_counts(docs: DataFrame, v: Vocabulary, s: Settings) -> np.ndarray:
-    """How often each unit follows each, over all training documents: a table of units squared,
-    whatever the corpus. Each task sums its own first."""
-    u = s.units
-    shared = docs.sparkSession.sparkContext.broadcast(v)
+def fresh(unit_counts: np.ndarray, s: Settings) -> np.ndarray:
+    """An untrained model, one row a unit: r, q, b, and Adagrad's sums of squares of each."""
+    u, rng = len(unit_counts), np.random.default_rng(s.seed)
+    r, q = rng.normal(0, 0.1, (u, s.width)), rng.normal(0, 0.1, (u, s.width))
+    b = np.log((unit_counts + 1.0) / (unit_counts + 1.0).sum())
+    return np.concatenate([r, q, b[:, None], np.full((u, 2 * s.width + 1), 1e-2)], axis=1).astype(np.float32)
 
-    def send(batches):
-        total = np.zeros(u * u, np.int64)
-        for b in batches:
-            for grid in grids(b.column(0), lower=True):
-                before, unit, _ = sequence(shared.value.units(grid, s), grid)
-                total += np.bincount(before * u + unit, minlength=u * u)
-        for h in np.flatnonzero(total.reshape(u, u).any(axis=1)).tolist():
-            row = total[h * u : (h + 1) * u]
-            at = np.flatnonzero(row)
-            yield pa.record_batch([pa.array([h], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([row[at].astype("<i8").tobytes()], pa.binary())], ["h", "units", "n"])
-
-    def add(t: pa.Table) -> pa.Table:
-        row = np.zeros(u, np.int64)
-        for at, n in zip(t["units"].to_pylist(), t["n"].to_pylist(), strict=True):
-            row[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
-        at = np.flatnonzero(row)
-        return pa.table([t["h"].slice(0, 1), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([row[at].astype("<i8").tobytes()], pa.binary())], ["h", "units", "n"])
-
-    rows = docs.select("text").mapInArrow(send, "h int, units binary, n binary").groupBy("h").applyInArrow(add, "h int, units binary, n binary").collect()
-    counts = np.zeros((u, u), np.float32)
-    for r in rows:
-        counts[r["h"], np.frombuffer(r["units"], "<u2")] = np.frombuffer(r["n"], "<i8")
-    return counts
 
+def parameters(model: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return model[:, : s.width], model[:, s.width : 2 * s.width], model[:, 2 * s.width]
 
-def train(counts: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, q, b by noise-contrastive estimation with Adagrad; pairs are drawn by their counts."""
-    u, rng = len(counts), np.random.default_rng(s.seed)
-    flat = np.flatnonzero(counts)
-    weight = np.cumsum(counts.reshape(-1)[flat], dtype=np.float64)
-    unigram = counts.sum(axis=0, dtype=np.float64) + 1.0
-    unigram /= unigram.sum()
+
+def learn(model: np.ndarray, unit_counts: np.ndarray, pairs: Iterable[tuple[np.ndarray, np.ndarray]], s: Settings, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Noise-contrastive estimation with Adagrad, in place: a step for each batch (units before,
+    units). Returns how often each unit took part as context, and as unit or noise."""
+    u = len(model)
+    unigram = unit_counts + 1.0
+    unigram = unigram / unigram.sum()
     noise_sum = np.cumsum(unigram)
     log_noise = (np.log(unigram) + np.log(s.noise)).astype(np.float32)
-    r = rng.normal(0, 0.1, (u, s.width)).astype(np.float32)
-    q = rng.normal(0, 0.1, (u, s.width)).astype(np.float32)
-    b = np.log(unigram).astype(np.float32)
-    squares = [np.full(x.shape, 1e-2, np.float32) for x in (r, q, b)]
-    if not len(flat):
-        return r, q, b
+    (r, q, b), squares = parameters(model, s), parameters(model[:, 2 * s.width + 1 :], s)
+    as_context, as_unit = np.zeros(u, np.int64), np.zeros(u, np.int64)
 
     def move(x: np.ndarray, square: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
         order = np.argsort(at, kind="stable")
@@ -195,20 +212,124 @@ def train(counts: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.n
         square[rows] += total**2
         x[rows] -= s.rate * total / np.sqrt(square[rows])
 
-    for _ in range(s.steps):
-        pair = flat[np.searchsorted(weight, rng.random(s.batch) * weight[-1], "right").clip(max=len(flat) - 1)]
-        h, w = pair // u, pair % u
+    for h, w in pairs:
         n = np.searchsorted(noise_sum, rng.random(s.noise)).clip(max=u - 1)
         rh, qw, qn = r[h], q[w], q[n]
         d = np.einsum("ij,ij->i", rh, qw) + b[w] - log_noise[w]
         dn = rh @ qn.T + (b[n] - log_noise[n])
-        g = (1 / (1 + np.exp(-np.clip(d, -30, 30))) - 1) / s.batch
-        gn = 1 / (1 + np.exp(-np.clip(dn, -30, 30))) / s.batch
+        g = (1 / (1 + np.exp(-np.clip(d, -30, 30))) - 1) / len(h)
+        gn = 1 / (1 + np.exp(-np.clip(dn, -30, 30))) / len(h)
         grow = g[:, None] * qw + gn @ qn
-        move(q, squares[1], np.concatenate([w, n]), np.concatenate([g[:, None] * rh, gn.T @ rh]))
-        move(b, squares[2], np.concatenate([w, n]), np.concatenate([g, gn.sum(axis=0)]))
+        both = np.concatenate([w, n])
+        move(q, squares[1], both, np.concatenate([g[:, None] * rh, gn.T @ rh]))
+        move(b, squares[2], both, np.concatenate([g, gn.sum(axis=0)]))
         move(r, squares[0], h, grow)
-    return r, q, b
+        np.add.at(as_context, h, 1)
+        np.add.at(as_unit, both, 1)
+    return as_context, as_unit
+
+
+def train(counts: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, q, b from a table of pair counts at hand; pairs are drawn by their counts."""
+    rng, unit_counts = np.random.default_rng(s.seed), counts.sum(axis=0, dtype=np.float64)
+    model = fresh(unit_counts, s)
+    flat = np.flatnonzero(counts)
+    weight = np.cumsum(counts.reshape(-1)[flat], dtype=np.float64)
+
+    def drawn():
+        for _ in range(s.steps if len(flat) else 0):
+            pair = flat[np.searchsorted(weight, rng.random(s.batch) * weight[-1], "right").clip(max=len(flat) - 1)]
+            yield pair // len(counts), pair % len(counts)
+
+    learn(model, unit_counts, drawn(), s, rng)
+    return parameters(model, s)
+
+
+def in_batches(pairs: Iterable[tuple[np.ndarray, np.ndarray]], passes: int, s: Settings, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs, each as often as there are passes, some at a time in random order."""
+
+    def mixed(held):
+        h, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        for _ in range(passes):
+            order = rng.permutation(len(h))
+            for a in range(0, len(h), s.batch):
+                yield h[order[a : a + s.batch]], w[order[a : a + s.batch]]
+
+    held, n = [], 0
+    for h, w in pairs:
+        held.append((h, w))
+        n += len(h)
+        if n >= SHUFFLED:
+            yield from mixed(held)
+            held, n = [], 0
+    if held:
+        yield from mixed(held)
+
+
+def trained(docs: DataFrame, v: Vocabulary, s: Settings) -> np.ndarray:
+    """The model after all pairs of the training documents. In each round the trainers start from
+    one model and each goes through its own documents; a unit's new row is the mean of theirs,
+    weighted by how often it took part. Which documents a trainer has depends on how the input is
+    split, and the model with it."""
+    sc, unit_counts = docs.sparkSession.sparkContext, v.unit_counts()
+    model, passes = fresh(unit_counts, s), s.passes_for(v.total)
+    for i in range(s.rounds if v.texts else 0):
+        shared = sc.broadcast((v, model))
+
+        def run(batches, i=i, shared=shared):
+            v, start = shared.value
+            rng, mine = np.random.default_rng([s.seed, i, TaskContext.get().partitionId()]), start.copy()
+
+            def pairs():
+                for b in batches:
+                    for grid in grids(b.column(0), lower=True):
+                        yield sequence(v.units(grid, s), grid)[:2]
+
+            taken = np.stack(learn(mine, unit_counts, in_batches(pairs(), passes, s, rng), s, rng), axis=1)
+            for a in range(0, len(mine), BLOCK):
+                at = a + np.flatnonzero(taken[a : a + BLOCK].any(axis=1))
+                if len(at):
+                    yield pa.record_batch([pa.array([a // BLOCK], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype("<i8"), taken[at].astype("<i8"), mine[at].astype("<f4")))], ["block", "units", "taken", "rows"])
+
+        def average(t: pa.Table) -> pa.Table:
+            units = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in t["units"].to_pylist()]))
+            weight, width = np.zeros((len(units), 2)), s.width
+            total = np.zeros((len(units), 4 * width + 2))
+            role = np.concatenate([np.zeros(width, int), np.ones(width + 1, int)] * 2)
+            for at, taken, rows in zip(*(t[c].to_pylist() for c in ("units", "taken", "rows")), strict=True):
+                at = np.searchsorted(units, np.frombuffer(at, "<i8"))
+                taken = np.frombuffer(taken, "<i8").reshape(-1, 2) + 1e-9
+                weight[at] += taken
+                total[at] += taken[:, role] * np.frombuffer(rows, "<f4").reshape(-1, 4 * width + 2)
+            return pa.table([pa.array([x.tobytes()], pa.binary()) for x in (units.astype("<i8"), (total / weight[:, role]).astype("<f4"))], ["units", "rows"])
+
+        sent = docs.select("text").coalesce(s.trainers_for(v.total)).mapInArrow(run, "block int, units binary, taken binary, rows binary")
+        for row in sent.groupBy("block").applyInArrow(average, "units binary, rows binary").toLocalIterator():
+            at = np.frombuffer(row["units"], "<i8")
+            model[at] = np.frombuffer(row["rows"], "<f4").reshape(len(at), -1)
+        shared.unpersist()
+    return model
+
+
+def normalisers(spark: SparkSession, model: np.ndarray, s: Settings) -> np.ndarray:
+    """For each unit the log of the sum over all units that makes its scores probabilities."""
+    blocks = -(-len(model) // BLOCK)
+    shared = spark.sparkContext.broadcast(np.ascontiguousarray(model[:, : 2 * s.width + 1]))
+
+    def run(batches):
+        r, q, b = parameters(shared.value, s)
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                rows, out = r[i * BLOCK : (i + 1) * BLOCK], None
+                for a in range(0, len(q), 8 * BLOCK):
+                    x = rows @ q[a : a + 8 * BLOCK].T + b[a : a + 8 * BLOCK]
+                    top = x.max(axis=1, keepdims=True)
+                    part = top[:, 0].astype(np.float64) + np.log(np.exp(x - top).sum(axis=1, dtype=np.float64))
+                    out = part if out is None else np.logaddexp(out, part)
+                yield pa.record_batch([pa.array([i]), pa.array([out.astype("<f8").tobytes()], pa.binary())], ["i", "z"])
+
+    rows = spark.range(blocks, numPartitions=min(blocks, 1024)).mapInArrow(run, "i long, z binary").collect()
+    return np.concatenate([np.frombuffer(r["z"], "<f8") for r in sorted(rows)])
 
 
 def log_probabilities(r: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -233,8 +354,8 @@ def score_texts(docs: DataFrame, settings: Settings | None = None, key: str = "d
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), held_out(F.col(key)).alias("held_out"))
     training = docs.where("not held_out")
     v = vocabulary(training, s)
-    table = log_probabilities(*train(pair_counts(training, v, s), s))
-    shared = docs.sparkSession.sparkContext.broadcast((v, table))
+    model = trained(training, v, s)
+    shared = docs.sparkSession.sparkContext.broadcast((v, np.ascontiguousarray(model[:, : 2 * s.width + 1]), normalisers(docs.sparkSession, model, s)))
     groups, buckets = parts(docs, GROUP_BYTES), parts(docs, BUCKET_BYTES)
     dealt = docs.withColumn("g", group_of(groups, F.col("key"), F.col("text")))
 
@@ -263,7 +384,8 @@ def score_texts(docs: DataFrame, settings: Settings | None = None, key: str = "d
         return [x.astype("<i8").tobytes() for x in np.split(total[which], np.cumsum([len(k) for k, _ in both])[:-1])]
 
     def consume(t: pa.Table, answers: dict[int, bytes]) -> pa.Table:
-        v, table = shared.value
+        v, model, z = shared.value
+        r, q, b = parameters(model, s)
         words, _ = words_of(t)
         distinct, which = np.unique(words, return_inverse=True)
         c = np.concatenate([np.frombuffer(answers[b], "<i8") for b, _ in by_bucket(distinct)] or [np.empty(0, np.int64)])[which]
@@ -273,11 +395,12 @@ def score_texts(docs: DataFrame, settings: Settings | None = None, key: str = "d
             own = c[done : done + len(grid.word)]
             done += len(grid.word)
             units = v.units(grid, s)
-            kind = units - 1 - s.words
+            kind = units - 1 - len(v.words)
             inside = np.where(kind >= 0, np.log10(own + 1.0) - spread[np.maximum(kind, 0)], 0.0)
             before, unit, of = sequence(units, grid)
             n = len(grid.counts)
-            score = np.bincount(of, table[before, unit].astype(np.float64), n) + np.bincount(grid.doc, inside, n)
+            natural = np.einsum("ij,ij->i", r[before], q[unit]).astype(np.float64) + b[unit] - z[before]
+            score = np.bincount(of, natural / np.log(10), n) + np.bincount(grid.doc, inside, n)
             scale = np.log10(float(v.total) + 1.0 * (v.kinds + 1))
             base = np.bincount(grid.doc, np.log10(own + 1.0), n) + np.log10(v.texts + 1.0) - (grid.counts + 1) * scale
             known = np.bincount(grid.doc, own > 0, n).astype(np.int64) + (v.texts > 0)

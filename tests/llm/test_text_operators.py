@@ -260,3 +260,23 @@ def test_model_is_normalised():
     counts = np.random.default_rng(0).integers(0, 5, (20, 20)).astype(np.float32)
     p = lm.log_probabilities(*lm.train(counts, lm.Settings(words=9, classes=10, steps=50, batch=32, noise=8)))
     assert np.allclose((10.0 ** p.astype(np.float64)).sum(axis=1), 1, atol=1e-5)
+
+
+def test_units_and_training_grow_with_the_corpus(spark):
+    rng = np.random.default_rng(0)
+    texts = [(i, " ".join(f"w{x}ing" for x in rng.zipf(1.3, 500) % 5000)) for i in range(400)]
+    df = spark.createDataFrame(texts, "key long, text string").repartition(3)
+    s = lm.Settings(words=50, classes=16, steps=1, batch=256, noise=16, rounds=1)
+    counts = Counter(w for _, t in texts for w in t.split())
+    found = {}
+    for n in (25, 400):
+        v = lm.vocabulary(df.where(f"key < {n}"), s)
+        found[n] = len(v.words), v.unit_counts().sum()
+        assert v.unit_counts().sum() == v.total == 501 * n
+    assert found[25][0] > 50 and found[400][0] > 3 * found[25][0]
+    assert v.n.sum() >= sum(c for _, c in counts.most_common(2 * math.isqrt(v.total) * 9 // 10)) and v.n.max() == max(counts.values())
+    batches = list(lm.in_batches(((np.arange(a, a + 1000), np.arange(a, a + 1000)) for a in (0, 1000)), 2, s, rng))
+    assert Counter(np.concatenate([h for h, _ in batches]).tolist()) == dict.fromkeys(range(2000), 2)
+    start = lm.fresh(v.unit_counts(), s)
+    moved = (lm.trained(df, v, s) != start).any(axis=1)
+    assert moved[1 : 1 + len(v.words)].all()
