@@ -70,7 +70,8 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 def prefix_postings(docs: DataFrame, representatives: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Documents whose prefix holds an n-gram that others hold too: key, n, u (n-grams of their
-    own), prefix (the n-grams of the prefix after these) and fragments (all that others hold)."""
+    own), prefix (the n-grams of the prefix after these), fragments (all that others hold) and row,
+    which tells rows of one key apart."""
     groups, buckets = parts(docs, GROUP_BYTES), parts(docs, BUCKET_BYTES)
     dealt = docs.select("key", "text", group_of(groups, F.col("key")).alias("g"))
 
@@ -86,6 +87,12 @@ def prefix_postings(docs: DataFrame, representatives: DataFrame, k: int, num: in
         keys = t["key"].fill_null(0).to_numpy()
         stay = np.isin(keys, wanted) & t["key"].is_valid().to_numpy()
         t, keys = t.filter(pa.array(stay)), keys[stay]
+        if len(np.unique(keys)) < len(keys):  # repeated rows count once
+            seen = {}
+            for i, row in enumerate(zip(keys.tolist(), t["text"].to_pylist(), strict=True)):
+                seen.setdefault(row, i)
+            once = np.array(list(seen.values()))
+            t, keys = t.take(once), keys[once]
         docs, grams = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         for grid in grids(t["text"], lower=True):
             doc, h = document_sets(grid, k)
@@ -128,12 +135,12 @@ def prefix_postings(docs: DataFrame, representatives: DataFrame, k: int, num: in
             if n and u < p:
                 shared = np.sort(gram[a + u : z])
                 cut = np.split(shared, np.searchsorted(shared, fragment_edges))
-                rows.append((int(keys[i]), n, u, gram[a + u : a + p], cut))
-        k_, n_, u_, p_, f_ = zip(*rows, strict=True) if rows else [[]] * 5
-        return pa.table([pa.array(k_, pa.int64()), pa.array(n_, pa.int64()), pa.array(u_, pa.int32()), pa.array(list(p_), pa.list_(pa.int64())), pa.array([[list(x) for x in y] for y in f_], pa.list_(pa.list_(pa.int64())))], ["key", "n", "u", "prefix", "fragments"])
+                rows.append((int(keys[i]), n, u, gram[a + u : a + p], cut, i))
+        k_, n_, u_, p_, f_, r_ = zip(*rows, strict=True) if rows else [[]] * 6
+        return pa.table([pa.array(k_, pa.int64()), pa.array(n_, pa.int64()), pa.array(u_, pa.int32()), pa.array(list(p_), pa.list_(pa.int64())), pa.array([[list(x) for x in y] for y in f_], pa.list_(pa.list_(pa.int64()))), pa.array(r_, pa.int32())], ["key", "n", "u", "prefix", "fragments", "row"])
 
     fragment_edges = np.array([(buckets << 40) * i // FRAGMENTS for i in range(1, FRAGMENTS)], np.int64)
-    return in_rounds(dealt, [(emit, merge)], consume, "key long, n long, u int, prefix array<bigint>, fragments array<array<bigint>>", told)
+    return in_rounds(dealt, [(emit, merge)], consume, "key long, n long, u int, prefix array<bigint>, fragments array<array<bigint>>, row int", told)
 
 
 def can_link(num: int, den: int) -> Column:
@@ -144,11 +151,11 @@ def can_link(num: int, den: int) -> Column:
 
 def linked(pairs: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link: overlaps counted by fragment, summed by pair."""
-    parts_of = shared.select("key", "n", F.posexplode("fragments").alias("fragment", "grams"))
-    left = pairs.join(parts_of.withColumnsRenamed({"key": "a", "n": "a_n", "grams": "a_grams"}), "a")
-    both = left.join(parts_of.withColumnsRenamed({"key": "b", "n": "b_n", "grams": "b_grams"}), ["b", "fragment"])
+    parts_of = shared.select("key", "n", "row", F.posexplode("fragments").alias("fragment", "grams"))
+    left = pairs.join(parts_of.withColumnsRenamed({"key": "a", "n": "a_n", "row": "a_row", "grams": "a_grams"}), "a")
+    both = left.join(parts_of.withColumnsRenamed({"key": "b", "n": "b_n", "row": "b_row", "grams": "b_grams"}), ["b", "fragment"])
     overlap = F.size(F.array_intersect("a_grams", "b_grams"))
-    sums = both.groupBy("a", "b", "a_n", "b_n").agg(F.sum(overlap).alias("o"))
+    sums = both.groupBy("a", "b", "a_n", "b_n", "a_row", "b_row").agg(F.sum(overlap).alias("o"))
     return sums.where(den * F.col("o") >= num * (F.col("a_n") + F.col("b_n") - F.col("o"))).select("a", "b")
 
 

@@ -75,6 +75,21 @@ def test_jaccard_on_random_near_copies(spark):
         assert rows(jaccard.jaccard_components(df, k, num, 100)) == brute_jaccard(texts, k, num, 100)
 
 
+@pytest.mark.parametrize("again", ["same", "upper"])
+def test_repeated_rows_do_not_add_to_an_overlap(spark, again):
+    """Documents 1 and 2 share a rare passage, half of each; what else they hold is common."""
+
+    def some(name):
+        return " ".join(f"{name}{i}" for i in range(50))
+
+    texts = [(1, some("rare") + " " + some("c"), "a"), (2, some("rare") + " " + some("d"), "a")]
+    texts += [(texts[0][0], texts[0][1].upper() if again == "upper" else texts[0][1], "a")]
+    texts += [(10 + 10 * (c == "d") + i, some(c) + " " + some(f"own{c}{i}x"), "a") for c in "cd" for i in range(6)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    assert rows(jaccard.jaccard_components(df, 3, 90, 100)) == brute_jaccard(texts, 3, 90, 100)
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(df, 3, 90, 100).collect()) == sorted({k for k, _, _ in texts})
+
+
 def test_keep_one(docs, none):
     kept = jaccard.keep_one(docs, k=3, num=90, den=100)
     assert kept.columns == docs.columns
