@@ -1,10 +1,10 @@
-"""Substring dedup by seed and extend, on word sequences.
+"""Substring dedup by shared seeds and hashes of whole windows, on word sequences.
 
 Each run of `window` words has a seed: of its shorter runs the one with the least hash
-(winnowing), which equal runs share. Documents meet on seeds. Where a seed stands in two or more
-documents, the text around it is extended word by word to both sides as far as a run that holds
-the seed can reach; the runs' hashes tell the smallest document with each. What overlaps joins
-up, so what is removed are the maximal repeats of at least `window` words.
+(winnowing), which equal runs share. Seeds only sift: where one stands in two or more documents,
+the runs that have it are compared by their hashes, which tell the smallest document with each.
+No match is extended word by word and no two texts are compared; window hashes take the place of
+that. Runs that overlap join up, so what is removed are the repeats of at least `window` words.
 """
 
 from __future__ import annotations
