@@ -1,8 +1,9 @@
-"""Exact n-gram Jaccard join by vertical partitioning of one global n-gram order.
+"""Exact n-gram Jaccard join by prefixes of one global n-gram order, checked in fragments.
 
 N-grams are ordered by the number of documents that hold them, rarest first. Documents that can
-link share an n-gram of their prefixes in that order. For each candidate pair, the order is cut
-into fragments; the overlaps of the fragments are counted apart and summed per pair.
+link share an n-gram of their prefixes in that order; that alone makes candidates. Fragments only
+check them: they are ranges of the n-grams' hashes, not of that order, and a pair's overlaps in
+them are counted apart and summed.
 
 Copies with equal sets meet as one class, and what is wanted is which classes hang together, so
 the pairs of a group of near copies are not all made: the documents of a prefix n-gram first meet
@@ -25,7 +26,7 @@ from .wordgrid import Grid, grids, mix
 #: Bytes of (compressed) input for a group of documents, and for a bucket of n-grams.
 GROUP_BYTES, BUCKET_BYTES = 1 << 20, 2 << 20
 
-#: Fragments of the n-gram order in which overlaps are counted.
+#: Ranges of n-gram hashes in which overlaps are counted.
 FRAGMENTS = 4
 LARGEST = (1 << 16) - 1
 
