@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from math import isqrt
 from pathlib import Path
 
 import numpy as np
@@ -24,12 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ready(spark: SparkSession) -> SparkSession:
     """Make this package importable on the workers and give the session a checkpoint folder.
 
-    The folder is spark.checkpoint.dir where the cluster names one; only a session without
-    that setting (a test on one machine) gets a temporary one.
+    The folder is spark.checkpoint.dir where the cluster names one. Without that setting only a
+    session on one machine (local) gets a temporary one; any other is refused. What nothing refers
+    to any more is removed from the folder by Spark's cleaner, which is told so here.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     root = Path(__file__).resolve().parents[2]
     on_path = str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if not on_path and not getattr(sc, "_millrace_shipped", False):
@@ -44,19 +52,52 @@ def ready(spark: SparkSession) -> SparkSession:
 
 def kept(df: DataFrame) -> DataFrame:
     """The rows, computed once and written to the shared checkpoint folder: a lost executor
-    costs a reread, not the lineage. Spark's cleaner removes the files after use."""
+    costs a reread, not the lineage. The files go once the driver has dropped the frame."""
     ready(df.sparkSession)
     return df.checkpoint()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The planner's estimate of the scan's size; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def writer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes tables to the shared folder as Parquet and reads them again, one
+    after another: the one before goes when the next is written, the last when the application ends."""
+    ready(spark)
+    path, last = spark._jvm.org.apache.hadoop.fs.Path, []
+    top = path(f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}")
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(top)
 
+    def put(df: DataFrame) -> DataFrame:
+        at = path(top, str(len(last)))
+        df.write.parquet(at.toString())
+        if last:
+            files.delete(last[-1], True)
+        last.append(at)
+        return spark.read.schema(df.schema).parquet(at.toString())
 
-def parts(df: DataFrame, bytes_each: int, least: int = 1, most: int = 1 << 23) -> int:
-    """How many groups of about bytes_each the input makes: the count grows with the input."""
-    return max(least, min(most, -(-input_bytes(df) // bytes_each)))
+    return put
+
+
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """What the documents really weigh: the bytes of their texts, and a little for each row. One
+    pass over that column; planners' estimates multiply at joins and are no measure."""
+    size, rows = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
+    return (size or 0) + 64 * rows
+
+
+#: Bytes of text for a message from a group to a bucket, and bounds for a group.
+A_MESSAGE, SMALL_GROUP, LARGE_GROUP = 8 << 10, 256 << 10, 32 << 20
+
+
+def groups_for(total: int) -> int:
+    """How many groups, and about as many buckets, so many bytes of text make. A group grows with
+    the root of the whole, so that messages (groups times buckets) grow in proportion to the
+    bytes; from LARGE_GROUP on groups stay as they are and messages get smaller."""
+    return max(1, -(-total // min(LARGE_GROUP, max(SMALL_GROUP, isqrt(total * A_MESSAGE)))))
+
+
+def bucket_bits(total: int) -> int:
+    """Buckets are told by so many of a hash's upper bits."""
+    return (groups_for(total) - 1).bit_length()
 
 
 def group_of(n: int, *cols: Column) -> Column:
@@ -128,41 +169,38 @@ def in_rounds(dealt: DataFrame, rounds: list[tuple[Emit, Merge]], consume: Calla
     return dealt.groupBy("g").cogroup(heard.groupBy("g")).applyInArrow(finish, schema)
 
 
-#: Keys travel as a bucket number and the 40 bits below it.
-LOW = 40
-LOW_MASK = np.uint64((1 << LOW) - 1)
-
-
-def keyed(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and 40 bits of each hash, as one number: what a key is from here on."""
-    return ((hashes >> np.uint64(LOW)) % np.uint64(buckets)) << np.uint64(LOW) | (hashes & LOW_MASK)
-
-
-def spans(b: np.ndarray) -> Iterator[tuple[int, slice]]:
+def by_range(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """The buckets of sorted hashes, which are ranges of them, and where they are."""
+    high = hashes >> np.uint64(32)
+    b = ((high * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
     edges = np.flatnonzero(np.diff(b, prepend=-1, append=-1))
     for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         yield int(b[x]), slice(x, y)
 
 
-def by_bucket(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """The buckets of sorted keys, and where they are."""
-    return spans((keys >> np.uint64(LOW)).astype(np.int64))
+def by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    return by_range(keys, 1 << bits)
 
 
-def by_range(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """As by_bucket, for sorted hashes that travel with all 64 bits: a bucket is a range of them."""
-    high = hashes >> np.uint64(32)
-    return spans(((high * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64))
+def shortened(hashes: np.ndarray, bits: int, low: int = 40) -> np.ndarray:
+    """Hashes cut to their bucket and the next `low` bits, for keys that only propose."""
+    cut = np.uint64(max(0, 64 - bits - low))
+    return hashes >> cut << cut
 
 
-def packed(keys: np.ndarray, *more: np.ndarray) -> bytes:
-    """The low 40 bits of keys, and other arrays as they are."""
-    low = keys & LOW_MASK
-    return b"".join([len(keys).to_bytes(4, "little"), low.astype("<u4").tobytes(), (low >> np.uint64(32)).astype(np.uint8).tobytes(), *(x.tobytes() for x in more)])
+def packed(keys: np.ndarray, bits: int, *more: np.ndarray, low: int = 64) -> bytes:
+    """Keys of one bucket without its bits (all the others, or the next `low`), byte by byte from
+    the lowest, and other arrays as they are."""
+    low = min(low, 64 - bits)
+    wide = -(-low // 8)
+    rest = (keys >> np.uint64(64 - bits - low)).astype("<u8")
+    planes = np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :wide].T)
+    return b"".join([len(keys).to_bytes(4, "little"), bytes([wide]), planes.tobytes(), *(x.tobytes() for x in more)])
 
 
 def unpacked(payload: bytes) -> tuple[np.ndarray, memoryview]:
-    """The low 40 bits, and what follows them."""
-    n = int.from_bytes(payload[:4], "little")
-    keys = np.frombuffer(payload, "<u4", n, 4).astype(np.uint64) | np.frombuffer(payload, np.uint8, n, 4 + 4 * n).astype(np.uint64) << np.uint64(32)
-    return keys, memoryview(payload)[4 + 5 * n :]
+    """Numbers that are equal, and in order, as the bucket's keys are; and what follows them."""
+    n, wide = int.from_bytes(payload[:4], "little"), payload[4]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :wide] = np.frombuffer(payload, np.uint8, n * wide, 5).reshape(wide, n).T
+    return out.view("<u8").reshape(-1), memoryview(payload)[5 + n * wide :]

@@ -19,15 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOLD, by_bucket, group_of, in_rounds, kept, keyed, packed, parts, ready, unpacked
+from .common import TOLD, bucket_bits, by_bucket, group_of, groups_for, in_rounds, kept, packed, ready, text_bytes, unpacked
 from .components import components
 from .wordgrid import Grid, grids, mix
 
-#: Bytes of (compressed) input for a group of documents, and for a bucket of n-grams.
-GROUP_BYTES, BUCKET_BYTES = 1 << 20, 2 << 20
-
-#: Ranges of n-gram hashes in which overlaps are counted.
-FRAGMENTS = 4
+#: Where the order of n-grams, rarest first, is cut into fragments: numbers of documents that hold them.
+CUTS = (3, 6, 20, 200)
 LARGEST = (1 << 16) - 1
 
 
@@ -73,7 +70,9 @@ def prefix_postings(docs: DataFrame, representatives: DataFrame, k: int, num: in
     """Documents whose prefix holds an n-gram that others hold too: key, n, u (n-grams of their
     own), prefix (the n-grams of the prefix after these), fragments (all that others hold) and row,
     which tells rows of one key apart."""
-    groups, buckets = parts(docs, GROUP_BYTES), parts(docs, BUCKET_BYTES)
+    docs = docs.where("key is not null")
+    total = text_bytes(docs)
+    groups, bits = groups_for(total), bucket_bits(total)
     dealt = docs.select("key", "text", group_of(groups, F.col("key")).alias("g"))
 
     def one_message(t: pa.Table) -> pa.Table:
@@ -85,8 +84,8 @@ def prefix_postings(docs: DataFrame, representatives: DataFrame, k: int, num: in
     def sets(t: pa.Table, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the group's representatives; (document, n-gram) of all of their sets."""
         wanted = np.frombuffer(answers.get(TOLD, b""), np.int64)
-        keys = t["key"].fill_null(0).to_numpy()
-        stay = np.isin(keys, wanted) & t["key"].is_valid().to_numpy()
+        keys = t["key"].to_numpy()
+        stay = np.isin(keys, wanted)
         t, keys = t.filter(pa.array(stay)), keys[stay]
         if len(np.unique(keys)) < len(keys):  # repeated rows count once
             seen = {}
@@ -98,14 +97,14 @@ def prefix_postings(docs: DataFrame, representatives: DataFrame, k: int, num: in
         for grid in grids(t["text"], lower=True):
             doc, h = document_sets(grid, k)
             docs.append(doc + grid.row)
-            grams.append(keyed(h, buckets))
+            grams.append(h)
         return keys, np.concatenate(docs), np.concatenate(grams)
 
     def emit(t: pa.Table, answers: dict[int, bytes]):
         grams, counts = np.unique(sets(t, answers)[2], return_counts=True)
-        for b, at in by_bucket(grams):
+        for b, at in by_bucket(grams, bits):
             many = np.flatnonzero(counts[at] > 1)
-            yield b, packed(grams[at], many.astype("<u4"), counts[at][many].astype("<u4"))
+            yield b, packed(grams[at], bits, many.astype("<u4"), counts[at][many].astype("<u4"))
 
     def merge(payloads: list[bytes]) -> list[bytes]:
         all_keys, all_counts = [], []
@@ -123,9 +122,10 @@ def prefix_postings(docs: DataFrame, representatives: DataFrame, k: int, num: in
     def consume(t: pa.Table, answers: dict[int, bytes]) -> pa.Table:
         keys, doc, gram = sets(t, answers)
         distinct, which = np.unique(gram, return_inverse=True)
-        df = np.concatenate([np.frombuffer(answers[b], "<u2") for b, _ in by_bucket(distinct)] or [np.empty(0, "<u2")])[which]
+        df = np.concatenate([np.frombuffer(answers[b], "<u2") for b, _ in by_bucket(distinct, bits)] or [np.empty(0, "<u2")])[which]
         order = np.lexsort((gram, df, doc))
         doc, gram, df = doc[order], gram[order].view(np.int64), df[order]
+        level = np.searchsorted(np.array(CUTS), df, "right")
         edges = np.searchsorted(doc, np.arange(len(keys) + 1))
         alone = np.concatenate([[0], np.cumsum(df == 1)])
         rows = []
@@ -134,13 +134,11 @@ def prefix_postings(docs: DataFrame, representatives: DataFrame, k: int, num: in
             n, u = z - a, int(alone[z] - alone[a])
             p = n - -(-n * num // den) + 1
             if n and u < p:
-                shared = np.sort(gram[a + u : z])
-                cut = np.split(shared, np.searchsorted(shared, fragment_edges))
+                cut = np.split(gram[a + u : z], np.searchsorted(level[a + u : z], np.arange(1, len(CUTS) + 1)))
                 rows.append((int(keys[i]), n, u, gram[a + u : a + p], cut, i))
         k_, n_, u_, p_, f_, r_ = zip(*rows, strict=True) if rows else [[]] * 6
         return pa.table([pa.array(k_, pa.int64()), pa.array(n_, pa.int64()), pa.array(u_, pa.int32()), pa.array(list(p_), pa.list_(pa.int64())), pa.array([[list(x) for x in y] for y in f_], pa.list_(pa.list_(pa.int64()))), pa.array(r_, pa.int32())], ["key", "n", "u", "prefix", "fragments", "row"])
 
-    fragment_edges = np.array([(buckets << 40) * i // FRAGMENTS for i in range(1, FRAGMENTS)], np.int64)
     return in_rounds(dealt, [(emit, merge)], consume, "key long, n long, u int, prefix array<bigint>, fragments array<array<bigint>>, row int", told)
 
 
@@ -213,8 +211,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the smallest key of each component, one row each; documents with null
+    """The documents with the smallest key of each component. Rows of one key stay together, but
+    for those whose texts differ by case (A-Z) at most, of which one stays; documents with null
     keys stay, as no name tells them apart."""
     found = jaccard_components(docs, k, num, den, key, text)
     stay = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(stay, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    lower = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    once = docs.join(stay, key, "left_semi").withColumn("__text", F.sha2(lower, 256)).dropDuplicates([key, "__text"]).drop("__text")
+    return once.unionByName(docs.where(F.col(key).isNull()))

@@ -24,14 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bucket, group_of, in_rounds, kept, keyed, packed, parts, ready, unpacked
+from .common import bucket_bits, by_bucket, group_of, groups_for, in_rounds, kept, packed, ready, text_bytes, unpacked
 from .wordgrid import Grid, grids, mix
 
-GROUP_BYTES, BUCKET_BYTES = 1 << 20, 2 << 20
-
 #: Pairs that are put in random order at once, and units of a message or of a normaliser's task.
 SHUFFLED, BLOCK = 1 << 20, 1024
 
+#: Words with counts that a task holds before it sends them.
+HELD = 2 << 20
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -77,21 +78,36 @@ def held_out(key: Column) -> Column:
 def word_counts(docs: DataFrame, s: Settings) -> DataFrame:
     """Exact word counts of the training documents, one row a bucket of words: tokens and kinds,
     the same by class, how many words have each count, and the words with their counts and classes."""
-    buckets = parts(docs, BUCKET_BYTES)
+    buckets = groups_for(text_bytes(docs))
+
+    def messages(words: np.ndarray, n: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        b_of = ((words >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(b_of, kind="stable")
+        cuts = np.flatnonzero(np.diff(b_of[order], prepend=-1, append=-1))
+        rows = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        columns = [pa.array([x[r].astype(t).tobytes() for r in rows], pa.binary()) for x, t in ((words, "<u8"), (n, "<i8"), (kind, "<u2"))]
+        return pa.record_batch([pa.array([int(b_of[r[0]]) for r in rows], pa.int32()), *columns], ["bucket", "words", "n", "kind"])
+
+    def summed(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words, n, kind = (np.concatenate(x) for x in zip(*held, strict=True))
+        words, first, which = np.unique(words, return_index=True, return_inverse=True)
+        return words, np.bincount(which, n).astype(np.int64), kind[first]
 
     def send(batches):
+        held, size = [], 0
         for b in batches:
             for grid in grids(b.column(0), lower=True):
                 words, first, n = np.unique(grid.word, return_index=True, return_counts=True)
-                kind = word_classes(grid, s.classes)[first]
-                b_of = ((words >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(b_of, kind="stable")
-                cuts = np.flatnonzero(np.diff(b_of[order], prepend=-1, append=-1))
-                rows = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.record_batch(
-                    [pa.array([int(b_of[r[0]]) for r in rows], pa.int32()), *(pa.array([x[r].astype(t).tobytes() for r in rows], pa.binary()) for x, t in ((words, "<u8"), (n, "<i8"), (kind, "<u2")))],
-                    ["bucket", "words", "n", "kind"],
-                )
+                held.append((words, n, word_classes(grid, s.classes)[first]))
+                size += len(words)
+                if size > HELD:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if 2 * size > HELD:
+                        yield messages(*held[0])
+                        held, size = [], 0
+        if held:
+            yield messages(*summed(held))
 
     def count(t: pa.Table) -> pa.Table:
         words, n, kind = (np.concatenate([np.frombuffer(x, d) for x in t[c].to_pylist()]) for c, d in (("words", "<u8"), ("n", "<i8"), ("kind", "<u2")))
@@ -356,7 +372,8 @@ def score_texts(docs: DataFrame, settings: Settings | None = None, key: str = "d
     v = vocabulary(training, s)
     model = trained(training, v, s)
     shared = docs.sparkSession.sparkContext.broadcast((v, np.ascontiguousarray(model[:, : 2 * s.width + 1]), normalisers(docs.sparkSession, model, s)))
-    groups, buckets = parts(docs, GROUP_BYTES), parts(docs, BUCKET_BYTES)
+    total = text_bytes(docs)
+    groups, bits = groups_for(total), bucket_bits(total)
     dealt = docs.withColumn("g", group_of(groups, F.col("key"), F.col("text")))
 
     def words_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -364,7 +381,7 @@ def score_texts(docs: DataFrame, settings: Settings | None = None, key: str = "d
         trains = ~t["held_out"].to_numpy()
         words, of = [np.empty(0, np.uint64)], [np.empty(0, bool)]
         for grid in grids(t["text"], lower=True):
-            words.append(keyed(grid.word, buckets))
+            words.append(grid.word)
             of.append(trains[grid.row + grid.doc])
         return np.concatenate(words), np.concatenate(of)
 
@@ -372,8 +389,8 @@ def score_texts(docs: DataFrame, settings: Settings | None = None, key: str = "d
         words, trains = words_of(t)
         words, which = np.unique(words, return_inverse=True)
         n = np.bincount(which, trains, len(words)).astype("<u4")
-        for b, at in by_bucket(words):
-            yield b, packed(words[at], n[at])
+        for b, at in by_bucket(words, bits):
+            yield b, packed(words[at], bits, n[at])
 
     def merge(payloads: list[bytes]) -> list[bytes]:
         both = [unpacked(p) for p in payloads]
@@ -388,7 +405,7 @@ def score_texts(docs: DataFrame, settings: Settings | None = None, key: str = "d
         r, q, b = parameters(model, s)
         words, _ = words_of(t)
         distinct, which = np.unique(words, return_inverse=True)
-        c = np.concatenate([np.frombuffer(answers[b], "<i8") for b, _ in by_bucket(distinct)] or [np.empty(0, np.int64)])[which]
+        c = np.concatenate([np.frombuffer(answers[b], "<i8") for b, _ in by_bucket(distinct, bits)] or [np.empty(0, np.int64)])[which]
         spread = np.log10(v.class_n + v.class_kinds + 1.0)
         done, found = 0, []
         for grid in grids(t["text"], lower=True):

@@ -121,10 +121,18 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", **
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, **options) -> DataFrame:
-    """The mix as documents: each as often as it is taken, rounded to whole documents."""
+    """The mix as documents: each as often as it is taken, rounded to whole documents.
+
+    Rows find what is taken of them by their draw, and rows of one draw (equal key and text) in
+    the order of their sources. Rows that are equal in all three are the same to the mix.
+    """
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    takes = mixed(docs, key=key, text=text, source=source, seed=seed, **options).groupBy("draw", "key").agg(F.sum(times).cast("int").alias("times")).where("times > 0")
-    takes = takes.withColumnsRenamed({"draw": "__draw", "key": "__key", "times": "__times"})
+    mix = mixed(docs, key=key, text=text, source=source, seed=seed, **options)
+    each = F.struct(F.col("source").isNotNull().alias("named"), "source", F.col("key").isNotNull().alias("keyed"), "key", (-times).alias("less"))
+    takes = mix.groupBy(F.col("draw").alias("__draw")).agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: -x["less"]).alias("__times")).where(F.exists("__times", lambda n: n > 0))
     marked = docs.withColumn("__row", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
-    whole = marked.join(takes, (F.col("__row") == F.col("__draw")) & F.col(key).eqNullSafe(F.col("__key"))).dropDuplicates(["__draw", "__key"])
-    return whole.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    whole = marked.join(takes, F.col("__row") == F.col("__draw"))
+    order = Window.partitionBy("__row").orderBy(F.col(source).asc_nulls_first(), F.col(key).asc_nulls_first(), F.xxhash64(*docs.columns))
+    whole = whole.withColumn("__no", F.when(F.size("__times") > 1, F.row_number().over(order)).otherwise(1))
+    copies = F.array_repeat(F.lit(0), F.element_at("__times", F.col("__no")))
+    return whole.withColumn("__copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,9 @@ SYMBOL[list(b"#*$%&|<>")] = True
 @dataclass(frozen=True)
 class Rules:
     """The first two are the base rules; `suspect_rate` is the shrunken failure rate from which
-    a host is suspect, and the last three hold in suspect hosts only."""
+    a host is suspect, and the strict ones hold in suspect hosts only. With `above`, failures of
+    all rules count for a host, strict ones too, and it is suspect from a shrunken rate so many
+    standard deviations of the prior above the prior's mean."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
@@ -34,6 +36,7 @@ class Rules:
     strict_repeat_percent: int = 10
     strict_symbol_percent: int = 10
     strict_dup_line_percent: int = 30
+    above: float | None = None
 
 
 def measure(texts: pa.ChunkedArray) -> dict[str, np.ndarray]:
@@ -102,13 +105,16 @@ def host_rates(features: DataFrame, host: str, rules: Rules) -> DataFrame:
     The prior is a beta distribution with the mean and variance of the hosts' rates (one row
     reaches the driver). Where the hosts do not differ, it weighs as one document.
     """
-    hosts = features.groupBy(host).agg(F.count("*").alias("n"), F.count_if(base_failed(rules)).alias("failed"))
+    counted = base_failed(rules) if rules.above is None else base_failed(rules) | F.coalesce(strictly_failed(rules), F.lit(False))
+    hosts = features.groupBy(host).agg(F.count("*").alias("n"), F.count_if(counted).alias("failed"))
     rate = F.col("failed") / F.col("n")
     m, v = hosts.agg(F.avg(rate), F.var_samp(rate)).first()
     m = min(max(m or 0.0, 1e-6), 1 - 1e-6)
     weight = max(1.0, m * (1 - m) / v - 1) if v else 1.0
     shrunk = (F.col("failed") + F.lit(m * weight)) / (F.col("n") + F.lit(weight))
-    return hosts.withColumn("rate", shrunk).withColumn("suspect", F.col("rate") >= rules.suspect_rate)
+    level = rules.suspect_rate if rules.above is None else m + rules.above * (v or 0.0) ** 0.5
+    suspect = F.col("rate") >= level if rules.above is None else F.col("rate") > level
+    return hosts.withColumn("rate", shrunk).withColumn("suspect", suspect)
 
 
 def judged(features: DataFrame, rates: DataFrame, host: str, rules: Rules) -> DataFrame:

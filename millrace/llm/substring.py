@@ -17,12 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, by_range, group_of, in_rounds, keyed, packed, parts, ready, unpacked
+from .common import bucket_bits, by_bucket, group_of, groups_for, in_rounds, packed, ready, shortened, text_bytes, unpacked
 from .wordgrid import Grid, grids
 
-GROUP_BYTES, BUCKET_BYTES = 1 << 20, 2 << 20
-
-
 def seeds(grid: Grid, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For each run of `window` words of one text: its first word's place, and its seed's hash."""
     k = (window + 1) // 2
@@ -60,7 +57,8 @@ def removed_words(docs: DataFrame, window: int, consume_rows, schema: str) -> Da
     take any from others.
     """
     ready(docs.sparkSession)
-    groups, buckets = parts(docs, GROUP_BYTES), parts(docs, BUCKET_BYTES)
+    total = text_bytes(docs)
+    groups, bits = groups_for(total), bucket_bits(total)
     dealt = docs.withColumn("g", group_of(groups, F.col("key"), F.col("text")))
 
     def send_seeds(t: pa.Table, _: dict[int, bytes]):
@@ -70,11 +68,11 @@ def removed_words(docs: DataFrame, window: int, consume_rows, schema: str) -> Da
             at, seed = seeds(grid, window)
             own = row[grid.row + grid.doc[at]]
             new = (own >= 0) & np.concatenate([[True], (seed[1:] != seed[:-1]) | (own[1:] != own[:-1])])[: len(at)]
-            keys.append(keyed(seed[new], buckets))
+            keys.append(shortened(seed[new], bits))
             owner.append(own[new])
         keys, _, several = firsts(np.concatenate(keys), np.concatenate(owner))
-        for b, at in by_bucket(keys):
-            yield b, packed(keys[at], np.packbits(several[at]))
+        for b, at in by_bucket(keys, bits):
+            yield b, packed(keys[at], bits, np.packbits(several[at]), low=40)
 
     def merge_seeds(payloads: list[bytes]) -> list[bytes]:
         """Which of each group's seeds stand in two documents or more."""
@@ -95,17 +93,17 @@ def removed_words(docs: DataFrame, window: int, consume_rows, schema: str) -> Da
         held, owner, seed_keys, pieces = [], [], [np.empty(0, np.uint64)], []
         for grid in grids(t["text"]):
             at, seed = seeds(grid, window)
-            pieces.append((keyed(seed, buckets), grid.grams(window)[0], row[grid.row + grid.doc[at]]))
+            pieces.append((shortened(seed, bits), grid.grams(window)[0], row[grid.row + grid.doc[at]]))
             seed_keys.append(np.unique(pieces[-1][0][pieces[-1][2] >= 0]))
         known = np.unique(np.concatenate(seed_keys))
-        shared = [np.unpackbits(np.frombuffer(answers[b], np.uint8), count=at.stop - at.start) for b, at in by_bucket(known)]
+        shared = [np.unpackbits(np.frombuffer(answers[b], np.uint8), count=at.stop - at.start) for b, at in by_bucket(known, bits)]
         known = known[np.concatenate(shared) > 0] if shared else known
         for seed, run, own in pieces:
             stay = (own >= 0) & np.isin(seed, known)
             held.append(run[stay])
             owner.append(own[stay])
         keys, least, _ = firsts(np.concatenate(held), np.concatenate(owner)) if held else (np.empty(0, np.uint64),) * 3
-        for b, at in by_range(keys, buckets):
+        for b, at in by_bucket(keys, bits):
             runs = keys[at].astype("<u8").tobytes()
             if len(distinct) > (at.stop - at.start) // 2:  # the documents themselves, or their places in a list
                 yield b, b"".join([np.array([len(keys[at]), 0], "<u4").tobytes(), runs, distinct[least[at]].astype("<i8").tobytes()])

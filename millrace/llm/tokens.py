@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready
-from .wordgrid import P_INVERSE, VALUE, P, mix, powers_of
+from .wordgrid import span_hashes
 
 #: Chunks that a worker remembers at most.
 REMEMBERED = 1_500_000
@@ -68,9 +68,8 @@ class Chunks:
         self.first = np.flatnonzero(cut)
         self.end = np.append(self.first[1:], len(data))
         self.starts = np.searchsorted(self.first, edges)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(VALUE[data] * powers_of(P, len(data)))])
-        raw = (total[self.end] - total[self.first]) * powers_of(P_INVERSE, len(data) + 1)[self.first]
-        self.keys, self.sample, self.which = np.unique(mix(raw + (self.end - self.first).astype(np.uint64)), return_index=True, return_inverse=True)
+        keys = span_hashes(data, self.first, self.end) if len(data) else np.empty(0, np.uint64)
+        self.keys, self.sample, self.which = np.unique(keys, return_index=True, return_inverse=True)
 
     def text(self, i: int) -> str:
         """The chunk that unique key i stands for."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +26,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BASE = 0x9E3779B97F4A7C15
-VALUE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(BASE))
-P = 0xD1342543DE82EF95
-P_INVERSE = pow(P, -1, 1 << 64)
+SEED = np.uint64(0x9E3779B97F4A7C15)
+STEP = np.uint64(0xD1342543DE82EF95)
 
+#: Bytes of a part that are hashed at once, how many such blocks all parts take together, and what is left of a block's bytes.
+BLOCK, TOGETHER = 8, 32
+HEAD = np.array([(1 << 8 * n) - 1 for n in range(BLOCK + 1)], np.uint64)
 
-@lru_cache(maxsize=2)
-def powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, np.uint64))])
 
+def span_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the parts data[first:end], none empty. Eight bytes at a time go into a
+    chain of finalisers, so that no pattern of bytes makes two parts meet, as it can in sums of
+    powers. The few parts beyond 256 bytes go through BLAKE2 each."""
+    size = end - first
+    out = mix(size.astype(np.uint64) + SEED)
+    padded = np.concatenate([data, np.zeros(BLOCK, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    at = np.flatnonzero(size <= BLOCK * TOGETHER)
+    for j in range(TOGETHER):
+        at = at[size[at] > BLOCK * j] if j else at
+        if not len(at):
+            break
+        left = np.minimum(size[at] - BLOCK * j, BLOCK)
+        out[at] = mix(out[at] ^ (blocks[first[at] + BLOCK * j] & HEAD[left]))
+    body = memoryview(data)
+    for i in np.flatnonzero(size > BLOCK * TOGETHER).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(body[int(first[i]) : int(end[i])], digest_size=8).digest(), "little")
+    return out
 
-def powers_of(base: int, n: int) -> np.ndarray:
-    return powers(base, 1 << max(21, int(n).bit_length()))[:n]
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of pairs."""
+    return mix(left * STEP + right)
 
 
 class Grid:
@@ -65,21 +84,25 @@ class Grid:
         self.counts = np.diff(np.searchsorted(self.first, edges))
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        n = len(data)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(VALUE[data] * powers_of(P, n))])
-        raw = (total[self.end] - total[self.first]) * powers_of(P_INVERSE, n + 1)[self.first]
-        self.word = mix(raw + (self.end - self.first).astype(np.uint64))
+        self.word = span_hashes(data, self.first, self.end)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of k words of one text, and each run's first word's place in the grid."""
+        """Hashes of all runs of k words of one text, and each run's first word's place in the grid.
+        Runs are joined of halves, as k's binary digits tell."""
         n = len(self.word)
         if n < k:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        h = np.full(n - k + 1, np.uint64(k))
-        for j in range(k):
-            h = h * np.uint64(P) + self.word[j : n - k + 1 + j]
+        h, length, part, size = None, 0, self.word, 1
+        while True:
+            if k & size:
+                h = part if h is None else joined(part[: len(part) - length], h[size:])
+                length += size
+            if 2 * size > k:
+                break
+            part, size = joined(part[:-size], part[size:]), 2 * size
+        h = h[: n - k + 1]
         at = np.flatnonzero(self.doc[: n - k + 1] == self.doc[k - 1 :])
-        return mix(h[at]), at
+        return mix(h[at] ^ np.uint64(k)), at
 
 
 def grids(texts: pa.ChunkedArray | pa.Array, lower: bool = False) -> Iterator[Grid]:
