@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import jaccard, mixing, packing, quality, substring
-from millrace.llm.common import kept, table
+from millrace.llm.common import table, writer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, put = table(spark, sf_dir, "documents"), writer(spark)
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if i == 0 else kept(docs), sf_dir)
+        docs = stage(spark, docs if i == 0 else put(docs), sf_dir)
     return docs
