@@ -7,11 +7,14 @@ and nothing runs unless the caller says that it may.
 from __future__ import annotations
 
 import ast
+import contextlib
 import json
 import os
+import resource
 import signal
 import subprocess
 import sys
+import threading
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -95,18 +98,39 @@ print("\\n" + json.dumps({"raw": float(raw) if kind == "number" else None, "kind
 """
 
 
-def run_isolated(argv: list[str], stdin: str, seconds: float, most_output: int = 65536) -> tuple[int | None, str, str]:
+def run_isolated(argv: list[str], stdin: str, seconds: float, most_output: int = 65536, memory: int = 1 << 30) -> tuple[int | None, str, str]:
     """(exit code, stdout, stderr) of a process in a group of its own, which is killed whole when
-    time is up (exit code None)."""
-    p = subprocess.Popen(argv, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, start_new_session=True, env={"PATH": os.environ.get("PATH", "")})
+    time is up (exit code None). It gets `memory` bytes of address space, and of what it prints
+    the last `most_output` bytes are held."""
+    p = subprocess.Popen(argv, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, start_new_session=True, env={"PATH": os.environ.get("PATH", "")})
+    with contextlib.suppress(ProcessLookupError):
+        resource.prlimit(p.pid, resource.RLIMIT_AS, (memory, memory))
+    held = {p.stdout: b"", p.stderr: b""}
+
+    def feed() -> None:
+        with contextlib.suppress(BrokenPipeError), p.stdin:
+            p.stdin.write(stdin.encode())
+
+    def listen(stream) -> None:
+        while chunk := stream.read1(1 << 16):
+            held[stream] = (held[stream] + chunk)[-most_output:]
+
+    helpers = [threading.Thread(target=feed), *(threading.Thread(target=listen, args=(x,)) for x in held)]
+    for h in helpers:
+        h.start()
     try:
-        out, err = p.communicate(stdin, timeout=seconds)
-        code = p.returncode
+        code = p.wait(timeout=seconds)
     except subprocess.TimeoutExpired:
-        os.killpg(p.pid, signal.SIGKILL)
-        out, err = p.communicate()
         code = None
-    return code, out[-most_output:], err[-most_output:]
+    with contextlib.suppress(ProcessLookupError):  # also what it left running
+        os.killpg(p.pid, signal.SIGKILL)
+    p.wait()
+    for h in helpers:
+        h.join()
+    out, err = (held[x].decode(errors="replace") for x in (p.stdout, p.stderr))
+    for x in held:
+        x.close()
+    return code, out, err
 
 
 def score_one(source: str, example: dict, seconds: float) -> dict:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,16 +52,59 @@ class Registry:
         return out
 
 
-def numbered(df: DataFrame, name: str = "row") -> DataFrame:
-    """Dense row numbers in file order. Each file numbers its own lines by position; for one
-    global number use the pair (path, row)."""
-    rdd = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(rdd, df.schema.add(name, "long"))
+def scanned(spark: SparkSession, path: str, line_end: str | None = None) -> DataFrame:
+    """path, block, file_size, no, raw of the lines of text files: no rises through a block (the
+    part of a file that one task reads), without a shuffle."""
+    r = spark.read if line_end is None else spark.read.option("lineSep", line_end)
+    t = r.text(path)
+    facts = [F.col(f"_metadata.{a}").alias(b) for a, b in (("file_path", "path"), ("file_block_start", "block"), ("file_size", "file_size"))]
+    return t.select(*facts, F.monotonically_increasing_id().alias("no"), F.col("value").alias("raw"))
+
+
+def numbered(t: DataFrame) -> DataFrame:
+    """`scanned` rows with line, from 0 in each file. Only counts of blocks, one row each, are
+    summed and joined back."""
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = t.groupBy("path", "block").agg(F.min("no").alias("first"), F.count("*").alias("n"))
+    blocks = blocks.select("path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return t.join(blocks, ["path", "block"]).withColumn("line", F.col("no") + F.col("shift")).drop("shift")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 0) and raw of a text file; blank lines are left out but keep their numbers."""
-    return numbered(spark.read.text(path), "line").select("line", F.col("value").alias("raw")).where(F.trim("raw") != "")
+    """line (from 0 in each file), raw and path of text files; blank lines are left out but keep
+    their numbers."""
+    return numbered(scanned(spark, path)).where(F.trim("raw") != "").select("line", "raw", "path")
+
+
+def whole_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line, at, size, raw of the lines that \\n ends: at is a line's first byte in its file
+    and size its bytes, so that it can be read alone. A last line without an end is torn and left
+    out: with its missing end the lines are one byte more than the file."""
+    t = numbered(scanned(spark, path, "\n")).withColumn("size", F.octet_length("raw").cast("long"))
+    in_block = Window.partitionBy("path", "block").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("until", F.sum(F.col("size") + 1).over(in_block))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = t.groupBy("path", "block").agg(F.max("until").alias("bytes")).select("path", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
+    t = t.join(blocks, ["path", "block"]).withColumn("until", F.col("start") + F.col("until"))
+    return t.where(F.col("until") <= F.col("file_size")).select("path", "line", (F.col("until") - F.col("size") - 1).alias("at"), "size", "raw")
+
+
+def read_at(index: DataFrame) -> DataFrame:
+    """raw of (path, at, size) rows, read from their places in the files, without a scan. For
+    files that Arrow's file systems can open."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            found = []
+            for path, at, size in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                system, name = fs.FileSystem.from_uri(path)
+                with system.open_input_file(name) as f:
+                    found.append(f.read_at(size, at).decode())
+            yield pa.record_batch([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "raw"])
+
+    return index.select("path", "at", "size").mapInArrow(run, "path string, at long, size long, raw string")
 
 
 def strict_records(raw: DataFrame, schema: str, key: str, required: tuple[str, ...] = (), start: int = 0) -> DataFrame:
@@ -105,9 +149,7 @@ def journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Events and faults of an append-only log. A last line that was torn (it has no line end) is
     no event and no fault; a broken line elsewhere, a number that does not rise and a repeated
     event are faults, and the first event of an id stays."""
-    whole = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
-    each = whole.select("path", F.posexplode(F.split("text", "\n")).alias("line", "raw"), F.size(F.split("text", "\n")).alias("n"))
-    each = each.where(F.col("line") < F.col("n") - 1).where("raw <> ''")
+    each = whole_lines(spark, path).where("raw <> ''")
     e = each.withColumn("e", F.from_json("raw", EVENT)).withColumn("broken", F.try_parse_json("raw").isNull() | F.col("e.seq").isNull())
     order = Window.partitionBy("path").orderBy("line")
     e = e.withColumn("last_seq", F.max(F.when(~F.col("broken"), F.col("e.seq"))).over(order.rowsBetween(Window.unboundedPreceding, -1)))
@@ -119,10 +161,8 @@ def journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def committed(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """Records of a log that counts only lines ended by \\n; the last record of a key stays."""
-    whole = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("text"))
-    each = whole.select(F.posexplode(F.split("text", "\n")).alias("line", "raw"), F.size(F.split("text", "\n")).alias("n")).where(F.col("line") < F.col("n") - 1)
-    r = each.where("raw <> ''").select("line", F.from_json("raw", schema).alias("r"))
-    return r.groupBy(F.col(f"r.{key}").alias("key")).agg(F.max_by("r", "line").alias("r")).select("r.*")
+    r = whole_lines(spark, path).where("raw <> ''").select("path", "line", F.from_json("raw", schema).alias("r"))
+    return r.groupBy(F.col(f"r.{key}").alias("key")).agg(F.max_by("r", F.struct("path", "line")).alias("r")).select("r.*")
 
 
 def blob_references(events: DataFrame, payload: str = "payload") -> DataFrame:
@@ -166,7 +206,3 @@ def snapshot(df: DataFrame, path: str) -> DataFrame:
     """A read-only copy of a table at this moment."""
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def row_error(condition: Column, name: str) -> Column:
-    return F.when(condition, F.lit(name))

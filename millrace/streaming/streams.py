@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,17 +14,23 @@ def read_stream(spark: SparkSession, path: str, schema, format: str = "parquet",
     return spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", files).load(path)
 
 
-def commit_once(results: str, key: str, work: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def commit_once(results: str, key: str, work: Callable[[DataFrame], DataFrame], parts: int = 256) -> Callable[[DataFrame, int], None]:
     """A foreachBatch body: rows whose key is committed already are left out, the others are
-    worked and appended. A batch that is run again so changes nothing."""
+    worked and appended. A batch that is run again so changes nothing.
+
+    Results are partitioned by `key_part`, a hash of the key, and a batch reads the keys of its own
+    parts only: its cost grows with the batch, as long as that has fewer keys than there are parts.
+    """
+    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts)).cast("int")
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates([key])
         p = spark._jvm.org.apache.hadoop.fs.Path(results)
         if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            new = new.join(spark.read.parquet(results).select(key), key, "left_anti")
-        work(new).write.mode("append").parquet(results)
+            touched = [r["p"] for r in batch.select(part.alias("p")).distinct().collect()]  # `parts` numbers at most
+            new = new.join(spark.read.parquet(results).where(F.col("key_part").isin(touched)).select(key), key, "left_anti")
+        work(new).withColumn("key_part", part).write.mode("append").partitionBy("key_part").parquet(results)
 
     return run
 
@@ -98,7 +103,3 @@ def joined_chunks(stream_rows: DataFrame, key: str, order: str, chunk: str) -> D
 def late_responses(responses: DataFrame, cursors: DataFrame) -> DataFrame:
     """Responses that came after their history moved on: kept, but never a target."""
     return responses.join(cursors, "episode_id", "left").withColumn("is_target", F.col("history_position") >= F.coalesce("cursor", F.lit(0)))
-
-
-def state_json(state: dict) -> str:
-    return json.dumps(state, sort_keys=True)
