@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import collapsed, is_blank, nfc, norm
+
 
 def group_audit(df: DataFrame, key: Column, split: str = "split") -> DataFrame:
     """Per split: duplicate groups, their rows and the redundant ones; and how many keys and rows
-    are shared with other splits. Null keys are not grouped."""
-    per = df.where(key.isNotNull()).groupBy(key.alias("k"), split).agg(F.count("*").alias("n"))
+    are shared with other splits. Null keys are not grouped. The key is made once: a filter on it
+    would be worked out before the grouping, and the key again after it."""
+    per = df.select(key.alias("k"), split).groupBy("k", split).agg(F.count("*").alias("n"), F.count("k").alias("known")).where("known > 0")
     per = per.withColumn("splits", F.count("*").over(Window.partitionBy("k")))
     twice, shared = F.col("n") > 1, F.col("splits") > 1
     return per.groupBy(split).agg(
@@ -21,9 +24,31 @@ def group_audit(df: DataFrame, key: Column, split: str = "split") -> DataFrame:
     )
 
 
+def sample_keys(body: Column) -> dict[str, Column]:
+    """The eight keys by which training rows are looked through for copies, of rows with
+    data_source, ability, prompt, reward_model and extra_info; body: the text without its task's
+    template. Null where a key does not apply."""
+    source, ability = F.col("data_source"), F.col("ability")
+    truth, question, first = F.col("reward_model.ground_truth"), F.col("extra_info.question"), F.get("prompt", 0)["content"]
+    as_json = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    told = F.transform("prompt", lambda m: F.array(m["role"], collapsed(F.coalesce(m["content"], F.lit("")))))
+    title = lambda t: norm(F.get(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), 0))
+    pair = F.when(source.endswith("en-fr"), F.array(norm(body), norm(truth))).otherwise(F.array(norm(truth), norm(body)))
+    return {
+        "prompt_exact": as_json("prompt"),
+        "prompt_normalized": nfc(F.to_json(told)),
+        "question_normalized_nonempty": F.when(~is_blank(question), norm(question)),
+        "answer_normalized": norm(truth),
+        "sample_without_split_or_function": as_json(F.struct("data_source", "prompt", "reward_model")),
+        "wildchat_first_user_message": F.when((ability == "multi-turn") & (first != ""), norm(first)),
+        "translation_pair_direction_invariant": F.when(ability == "translation", F.to_json(pair)),
+        "essay_title_candidate": F.when(source == "essay_abs2text", title(truth)).when(source == "essay_infilling", title(body)),
+    }
+
+
 def duplicate_groups(df: DataFrame, key: Column, row: str) -> DataFrame:
-    g = df.where(key.isNotNull()).groupBy(key.alias("key")).agg(F.count("*").alias("copies"), F.min(row).alias("first"))
-    return g.where("copies > 1")
+    g = df.select(key.alias("key"), row).groupBy("key").agg(F.count("*").alias("copies"), F.min(row).alias("first"), F.count("key").alias("known"))
+    return g.where("copies > 1 and known > 0").drop("known")
 
 
 def differing_values(df: DataFrame, key: Column, value: Column) -> DataFrame:
@@ -75,6 +100,18 @@ def upstream_match(local: DataFrame, upstream: DataFrame) -> DataFrame:
     return j.select("row", state.alias("state"), unique.alias("offset"))
 
 
+def cached(tasks: DataFrame, cache: DataFrame, key: str, same: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses) of tasks in a cache of results: a hit has the key and equal columns `same`
+    (null equals null), and the entry's other columns. A key has one entry."""
+    rest = [c for c in cache.columns if c not in (key, *same)]
+    entry = cache.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in same], *rest)
+    on = F.col(key) == F.col("__k")
+    for c in same:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    drop = ["__k", *[f"__{c}" for c in same]]
+    return tasks.join(entry, on).drop(*drop), tasks.join(entry.select(*drop), on, "left_anti")
+
+
 def starts_with_prompt(messages: Column, prompt: Column) -> Column:
     return F.coalesce(F.get(messages, 0)["content"] == prompt, F.lit(False))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams
+from ..session import spread
 
 #: Words of two letters or digits or more, as is usual for TF-IDF.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -15,7 +16,7 @@ def terms(df: DataFrame, key: str, text: Column, n: tuple[int, ...] = (1, 2)) ->
     """key, term, tf: word n-grams of the lower-cased text."""
     w = F.col("__w")
     every = F.flatten(F.array(*[w if k == 1 else grams(w, k) for k in n]))
-    split = df.select(F.col(key), F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("__w"))
+    split = spread(df.select(F.col(key), text.alias("__text"))).select(key, F.regexp_extract_all(F.lower("__text"), F.lit(WORD), F.lit(0)).alias("__w"))
     return split.select(key, F.explode(every).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -55,8 +56,10 @@ def near_existing(new: DataFrame, existing: DataFrame, key: str, text: str, thre
 
 
 def gram_sets(df: DataFrame, key: str, text: Column, n: int = 5) -> DataFrame:
-    split = df.select(F.col(key), F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "").alias("__w"))
-    return split.select(key, F.explode(F.array_distinct(grams(F.col("__w"), n))).alias("gram"))
+    """key, gram: 64-bit hashes of the distinct word n-grams of the lower-cased text."""
+    words = F.filter(F.split(F.lower("__text"), r"\s+"), lambda x: x != "")
+    split = spread(df.select(F.col(key), text.alias("__text"))).select(key, words.alias("__w"))
+    return split.select(key, F.explode(F.array_distinct(F.transform(grams(F.col("__w"), n), lambda g: F.xxhash64(g)))).alias("gram"))
 
 
 def containment(part: DataFrame, whole: DataFrame, key: str) -> DataFrame:

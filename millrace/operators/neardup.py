@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import folded_tokens, sizes_allow
+from ..session import kept, spread
+
 
-from ..functions.text import folded_tokens, shingle_keys, sizes_allow
+def features(df: DataFrame, key: str, text: Column, bottom: int = 12, n: int = 3, least: int = 12) -> DataFrame:
+    """key, n (shingle keys), shingles and the `bottom` smallest, of texts of `least` tokens or more.
+    A shingle's key are the first 8 bytes of its md5, as a long that keeps their order."""
+    t = spread(df.select(F.col(key), text.alias("__text"))).select(key, folded_tokens(F.col("__text")).alias("__t")).where(F.size("__t") >= least)
 
+    def run(batches):
+        for b in batches:
+            sets = []
+            for t in b.column(1):
+                words = [x.encode() for x in t.as_py()]
+                raw = b"".join([md5(b" ".join(g)).digest()[:8] for g in zip(*(words[i:] for i in range(n)))])
+                sets.append((np.unique(np.frombuffer(raw, ">u8")).astype("u8") ^ np.uint64(1 << 63)).view("i8"))
+            lists = lambda xs: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype("i4"), np.concatenate([np.empty(0, "i8"), *xs]))
+            yield pa.record_batch([b.column(0), pa.array([len(x) for x in sets], pa.int32()), lists(sets), lists([x[:bottom] for x in sets])], [key, "n", "shingles", "bottom"])
 
-def features(df: DataFrame, key: str, text: Column, kept: int = 12) -> DataFrame:
-    """key, n (shingle keys), shingles and the `kept` smallest, of texts that have any."""
-    t = df.select(F.col(key), folded_tokens(text).alias("__t")).where(F.size("__t") >= 12)
-    f = t.select(key, shingle_keys(F.col("__t")).alias("shingles"))
-    return f.select(key, F.size("shingles").alias("n"), "shingles", F.slice("shingles", 1, kept).alias("bottom"))
+    return t.mapInArrow(run, t.select(key).schema.add("n", "integer").add("shingles", T.ArrayType(T.LongType())).add("bottom", T.ArrayType(T.LongType())))
 
 
 def candidate_pairs(f: DataFrame, key: str, threshold: float) -> DataFrame:
@@ -26,8 +43,8 @@ def candidate_pairs(f: DataFrame, key: str, threshold: float) -> DataFrame:
 
 def near_pairs(df: DataFrame, key: str, text: Column, threshold: float = 0.9) -> DataFrame:
     """a, b, shared, total: pairs whose shingle sets have Jaccard >= threshold (compared as
-    shared >= threshold * total)."""
-    f = features(df, key, text).repartition(F.col(key))  # made once: all four uses read this exchange
+    shared >= threshold * total). All such pairs are rows, so n copies of a text make n squared / 2."""
+    f = kept(features(df, key, text))
     sets = f.select(F.col(key).alias("k"), "n", "shingles")
     p = candidate_pairs(f, key, threshold)
     p = p.join(sets.withColumnsRenamed({"k": "a", "n": "an", "shingles": "as"}), "a").join(sets.withColumnsRenamed({"k": "b", "n": "bn", "shingles": "bs"}), "b")
