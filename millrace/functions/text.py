@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,9 +93,16 @@ def sizes_allow(a: Column, b: Column, threshold: float) -> Column:
     return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
 
 
+# What language marks look away from, and what has no language to tell.
+LANGUAGE_MASKS = (r"(?s)```.*?```", r"`[^`\n]+`", r"https?://\S+", r"(?s)\\\[.*?\\\]|\$\$.*?\$\$")
+CHOICE_LETTER = r"^[A-Ea-e]$"
+NUMERIC_ANSWER = r"^(?:####\s*)?[-+\d.,%$ /\\{}()=]+$"
+# End of fixed values.
+
+
 def masked_for_language(text: Column) -> Column:
     """Code blocks, code spans, URLs and displayed formulas as spaces: for language marks only."""
-    for pattern in (r"(?s)```.*?```", r"`[^`\n]+`", r"https?://\S+", r"(?s)\\\[.*?\\\]|\$\$.*?\$\$"):
+    for pattern in LANGUAGE_MASKS:
         text = F.regexp_replace(text, pattern, " ")
     return F.trim(text)
 
@@ -101,7 +110,7 @@ def masked_for_language(text: Column) -> Column:
 def is_neutral(text: Column) -> Column:
     """Numbers, signs or a single choice letter: no language to tell."""
     t = F.trim(text)
-    return t.rlike(r"^[\p{N}\P{L}_]+$") & ~t.rlike(r"\p{L}") & (t != "") | t.rlike(r"^[A-Ea-e]$") | t.rlike(r"^(?:####\s*)?[-+\d.,%$ /\\{}()=]+$")
+    return t.rlike(r"^[\p{N}\P{L}_]+$") & ~t.rlike(r"\p{L}") & (t != "") | t.rlike(CHOICE_LETTER) | t.rlike(NUMERIC_ANSWER)
 
 
 def ends_of(text: Column, n: int = 4000, beyond: int = 6000) -> Column:
@@ -124,6 +133,39 @@ def redacted(text: Column, *secrets: str) -> Column:
     return text
 
 
+def scrubbed(value: Column, kind: T.DataType, *secrets: str) -> Column:
+    """A nested value with the secrets redacted in all of its strings, however deep; names of
+    fields and keys of maps stay."""
+    if isinstance(kind, T.StringType):
+        return redacted(value, *secrets)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: scrubbed(x, kind.elementType, *secrets))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: scrubbed(x, kind.valueType, *secrets))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[scrubbed(value[f.name], f.dataType, *secrets).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def without_fields(value: Column, kind: T.DataType, hidden: tuple[str, ...]) -> Column:
+    """A nested value without the fields and map keys of these names, however deep. A struct that
+    has hidden fields only becomes null."""
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: without_fields(x, kind.elementType, hidden))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(F.map_filter(value, lambda k, _: ~k.isin(*hidden)), lambda _, x: without_fields(x, kind.valueType, hidden))
+    if isinstance(kind, T.StructType):
+        told = [without_fields(value[f.name], f.dataType, hidden).alias(f.name) for f in kind.fields if f.name not in hidden]
+        return F.when(value.isNotNull(), F.struct(*told)) if told else F.lit(None)
+    return value
+
+
 def rounded(x: Column, digits: int) -> Column:
-    """Decimal ties to even (exact for values that are decimal ties in binary too)."""
-    return F.bround(x, digits)
+    """Doubles rounded as Python's round does: the decimal nearest to the binary value itself,
+    ties to even. 2.675 is a little less than its name and gives 2.67."""
+
+    @F.arrow_udf(T.DoubleType())
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([v if v is None or not math.isfinite(v) else round(v, digits) for v in values.to_pylist()], pa.float64())
+
+    return run(x.cast("double"))

@@ -153,10 +153,29 @@ def fine_tuning_rows(c: DataFrame, role: str, selected: DataFrame, most: int) ->
     w = Window.partitionBy("logical_call_id", F.col("reason").isNull()).orderBy("seq")
     j = j.withColumn("reason", F.when(F.col("reason").isNull() & (F.row_number().over(w) > 1), "duplicate_logical_response").otherwise(F.col("reason")))
     j = j.withColumn("reason", F.when(F.col("reason").isNull() & (F.octet_length("request") + F.octet_length("response") > most), "context_window").otherwise(F.col("reason")))
-    good = j.where("reason is null").select(F.col("logical_call_id").alias("sample_id"), "episode_id", "request", F.col("response").alias("target"), F.lit("target_assistant_only").alias("loss_scope"))
+    good = j.where("reason is null").select(F.col("logical_call_id").alias("sample_id"), "episode_id", "request", F.col("response").alias("target"), F.lit("target_assistant_only").alias("loss_scope"), "seq")
     return good, j.where("reason is not null").groupBy("reason").agg(F.count("*").alias("count"))
 
 
+def full_traces(samples: DataFrame, histories: DataFrame, role: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, exclusions): one row an episode that has samples, its whole history with a mask of
+    the replies that the samples are. histories: episode_id, messages (role, content, actor,
+    logical_call_id). Histories beyond `most` bytes of JSON are excluded."""
+    targets = samples.groupBy("episode_id").agg(F.collect_set("sample_id").alias("targets"))
+    j = histories.join(targets, "episode_id")
+    told = F.transform("messages", lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role")))
+    j = j.select(F.concat("episode_id", F.lit(f":{role}")).alias("sample_id"), "episode_id", told.alias("told"), loss_mask(F.col("messages"), F.col("targets")).alias("message_loss_mask"), F.lit("selected_assistants_once").alias("loss_scope"))
+    fits = F.octet_length(F.to_json("told", {"ignoreNullFields": "false"})) <= most
+    return j.where(fits).withColumnRenamed("told", "messages"), j.where(~fits).agg(F.lit("context_window").alias("reason"), F.count("*").alias("count")).where("count > 0")
+
+
+def final_programs(samples: DataFrame, selected: DataFrame) -> DataFrame:
+    """One row an episode that has samples: the request of its first one, and the program that was
+    selected. selected: episode_id, target_program, reward_key; samples with their seq."""
+    first = samples.groupBy("episode_id").agg(F.min_by("request", "seq").alias("request"))
+    return first.join(selected, "episode_id").select(F.concat("episode_id", F.lit(":program")).alias("sample_id"), "episode_id", "request", "target_program", "reward_key", F.lit("verified_artifact").alias("target_origin"), F.lit("program_only").alias("loss_scope"))
+
+
 def loss_mask(messages: Column, logical_ids: Column) -> Column:
     """Per message whether it trains: an assistant's whose call is one of the chosen."""
     return F.transform(messages, lambda m: (m["actor"] == "assistant") & F.array_contains(logical_ids, m["logical_call_id"]))
