@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import answers, identity, text
 from ..functions.envelope import extract_envelope
 from ..operators import drift, duplicates, flags, graph, lexical, neardup, profile, rollouts, sampling, scorer, scoring, selection, trace
-from ..session import table
+from ..session import checkpoints, spread, table
 from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,14 +32,6 @@ def query(sql: str | None = None):
     return put
 
 
-def checkpoints(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
@@ -125,7 +117,7 @@ def length_differences(spark, d):
 
 @query(f"SELECT doc_id, sha256({NORM}) AS text_key FROM documents")
 def text_keys(spark, d):
-    return docs(spark, d).select("doc_id", identity.text_key(F.col("text")).alias("text_key"))
+    return spread(docs(spark, d)).select("doc_id", identity.text_key(F.col("text")).alias("text_key"))
 
 
 @query("SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 4) AS BIGINT) + 16 AS estimate, octet_length(encode(text)) + 16 AS fallback FROM documents")
@@ -135,12 +127,12 @@ def token_estimate(spark, d):
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS BIGINT) AS tokens FROM documents")
 def token_counts(spark, d):
-    return docs(spark, d).select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("tokens"))
+    return spread(docs(spark, d)).select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("tokens"))
 
 
 @query(f"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), '(?m){WS.replace(chr(92) + 's', ' ' + chr(92) + 't')}+$', '', 'g'), chr(10) || ' ')) AS canonical FROM documents""")
 def canonical_texts(spark, d):
-    return docs(spark, d).select("doc_id", identity.digest(text.canonical(F.col("text"))).alias("canonical"))
+    return spread(docs(spark, d)).select("doc_id", identity.digest(text.canonical(F.col("text"))).alias("canonical"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE text[:186] || '...[truncated]' END AS short FROM documents")
@@ -208,12 +200,12 @@ def dispositions(spark, d):
   SELECT split, count(*) FILTER (n > 1) AS duplicate_groups, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS rows_in_duplicate_groups, CAST(coalesce(sum(n - 1) FILTER (n > 1), 0) AS BIGINT) AS redundant_rows,
   count(*) FILTER (splits > 1) AS shared_keys, CAST(coalesce(sum(n) FILTER (splits > 1), 0) AS BIGINT) AS shared_rows FROM s GROUP BY split""")
 def exact_duplicate_audit(spark, d):
-    return duplicates.group_audit(docs(spark, d).withColumnRenamed("lang", "split"), identity.text_key(F.col("text")))
+    return duplicates.group_audit(spread(docs(spark, d)).withColumnRenamed("lang", "split"), identity.text_key(F.col("text")))
 
 
 @query(f"SELECT sha256({NORM}) AS key, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicate_groups(spark, d):
-    return duplicates.duplicate_groups(docs(spark, d), identity.text_key(F.col("text")), "doc_id")
+    return duplicates.duplicate_groups(spread(docs(spark, d)), identity.text_key(F.col("text")), "doc_id")
 
 
 @query("SELECT text AS key, count(*) AS rows, count(DISTINCT source) AS values FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1")
@@ -288,7 +280,6 @@ def near_dup_pairs(spark, d):
 
 @query()
 def near_dup_first(spark, d):
-    checkpoints(spark)
     t = docs(spark, d)
     return neardup.first_of_each(t.select("doc_id", F.col("doc_id").alias("rank")), neardup.near_pairs(t, "doc_id", F.col("text")), "doc_id", "rank")
 
