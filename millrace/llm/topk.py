@@ -3,7 +3,8 @@
 Vectors are whole numbers, kept dimension by dimension. A block of queries meets blocks of
 candidates: scores grow a few dimensions at a time, and after each step only candidates stay
 whose score so far plus the mass that remains (the product of the remaining norms) can still
-reach the k-th best sure score.
+reach the k-th best sure score. Dimensions with most mass come first. One cell of candidates goes
+ahead of the others; what it finds is each query's bound in all of them.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ from .common import group_of, kept, ready
 
 #: Dimensions that are added before candidates are looked at again.
 STEP = 16
+
+#: Queries whose first scores are held at once.
+TOGETHER = 256
 LONG = 2**63 - 1
-FOUND = "query_id long, query_no long, vec_id long, score long"
+FOUND = "query_id long, query_no long, vec_id long, vec_no long, score long"
 
 
 def matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -41,34 +45,41 @@ def tails(m: np.ndarray) -> np.ndarray:
     return np.sqrt(np.concatenate([squares[::STEP], np.zeros((1, m.shape[1]))])) * (1 + 1e-9)
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query's column, id, score) of each query's k best rows of the block; ties to smaller ids."""
+def search(queries: np.ndarray, query_rows: np.ndarray, rows: np.ndarray, row_numbers: np.ndarray, k: int, ids: np.ndarray | None = None, floors: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(query's column, row number, score) of each query's k best rows of the block, but for the
+    query's own row; ties to smaller ids (row numbers, where no ids are given), then numbers.
+    floors: scores below which a query needs no row."""
     out: list[tuple[int, int, int]] = []
     np.seterr(over="ignore", invalid="ignore")
+    ids = row_numbers if ids is None else ids
     exact = queries.dtype != object and rows.dtype != object
+    heavy = np.argsort(-(rows.astype(np.float64) ** 2).sum(axis=1), kind="stable")
+    queries, rows = queries[heavy], rows[heavy]
     q_tail, r_tail = tails(queries), tails(rows)
     q = queries.astype(np.float64)
     r = rows.astype(np.float64)
     steps = -(-rows.shape[0] // STEP)
-    first = q[:STEP].T @ r[:STEP]  # the first block of dimensions for all pairs at once
-    for j in range(queries.shape[1]):
-        alive = np.flatnonzero(ids != query_ids[j])
-        score = first[j, alive]
-        for s in range(1, steps + 1):
-            slack = q_tail[s, j] * r_tail[s, alive]
-            if not exact:  # rounding may be off by so much
-                slack = slack + 1e-9 * q_tail[0, j] * r_tail[0, alive]
-            if len(alive) > k:
-                sure = np.partition(score - slack, len(alive) - k)[len(alive) - k]
+    for a in range(0, queries.shape[1], TOGETHER):
+        first = q[:STEP, a : a + TOGETHER].T @ r[:STEP]  # the first block of dimensions for some queries at once
+        for j in range(a, min(a + TOGETHER, queries.shape[1])):
+            alive = np.flatnonzero(row_numbers != query_rows[j])
+            score = first[j - a, alive]
+            for s in range(1, steps + 1):
+                slack = q_tail[s, j] * r_tail[s, alive]
+                if not exact:  # rounding may be off by so much
+                    slack = slack + 1e-9 * q_tail[0, j] * r_tail[0, alive]
+                sure = -np.inf if floors is None else floors[j]
+                if len(alive) > k:
+                    sure = max(sure, np.partition(score - slack, len(alive) - k)[len(alive) - k])
                 sure = min(sure, 9e18) if sure > -9e18 else -np.inf  # scores beyond a long are ties
                 stay = ~(score + slack < sure)  # what overflowed stays too
                 alive, score = alive[stay], score[stay]
-            if s < steps:
-                part = slice(s * STEP, (s + 1) * STEP)
-                score = score + q[part, j] @ r[part][:, alive]
-        sums = [int(x) for x in score] if exact else [sum(int(a) * int(b) for a, b in zip(queries[:, j], rows[:, i], strict=True)) for i in alive]
-        best = sorted(zip((-max(-LONG, min(LONG, x)) for x in sums), ids[alive].tolist(), strict=True))[:k]
-        out += [(j, i, -x) for x, i in best]
+                if s < steps:
+                    part = slice(s * STEP, (s + 1) * STEP)
+                    score = score + q[part, j] @ r[part][:, alive]
+            sums = [int(x) for x in score] if exact else [sum(int(x) * int(y) for x, y in zip(queries[:, j], rows[:, i], strict=True)) for i in alive]
+            best = sorted(zip((-max(-LONG, min(LONG, x)) for x in sums), ids[alive].tolist(), row_numbers[alive].tolist(), strict=True))[:k]
+            out += [(j, i, -x) for x, _, i in best]
     return out
 
 
@@ -84,8 +95,8 @@ def top_k(
     """query_id, rank, vec_id, score of each query row's k best rows by inner product of floor(scale * x).
 
     Rows whose id or vector is null, or whose vector holds a null, NaN or infinity, take no part.
-    A query row given twice counts once; a row never meets rows of its own id. Vectors of
-    different lengths meet as if the shorter ended in zeros. Scores beyond a long are cut to its
+    A query meets every row but its own; a repeated row is a row, and a query, of its own. Vectors
+    of different lengths meet as if the shorter ended in zeros. Scores beyond a long are cut to its
     range. Candidates stay whole: queries are dealt to blocks, candidates to cells, and each
     (block, cell) is one bounded task; a cell sends each query's k best only.
     """
@@ -98,25 +109,32 @@ def top_k(
         return F.when(F.abs(v) < 2.0**53, F.floor(v).cast("double")).otherwise(v)
 
     whole = F.transform(x, floored)
-    rows = kept(vectors.where(sound).select(F.col(key).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")))
-    queries = rows.where("q").groupBy("id", "v").agg(F.lit(1).alias("one"))
-    queries = queries.select("id", "v", F.xxhash64("id", "v").alias("no"))
+    rows = kept(vectors.where(sound).select(F.col(key).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), F.monotonically_increasing_id().alias("no")))
     width, n, nq = rows.agg(F.max(F.size("v")), F.count("*"), F.count_if("q")).first()
     q_blocks = max(1, -(-(nq or 0) // block))
     cells = max(1, -(-(n or 0) // (4 * block)))
     width = max(width or 0, 1)
-    left = queries.withColumn("b", group_of(q_blocks, F.col("no"))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    right = rows.select("id", "v", group_of(cells, F.monotonically_increasing_id()).alias("c")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    queries = rows.where("q").select("id", "v", "no", group_of(q_blocks, F.col("no")).alias("b"))
+    spread = rows.select(*[F.col(c).alias(c) for c in ("id", "v", "no")], group_of(cells, F.col("no")).alias("c")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            found = []
-        else:
-            found = search(matrix(a["v"], width), a["id"].to_numpy(), matrix(b["v"], width), b["id"].to_numpy(), k)
-        js = [j for j, _, _ in found]
-        take = pa.array(js, pa.int64())
-        return pa.table([a["id"].take(take), a["no"].take(take), pa.array([i for _, i, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.int64())], ["query_id", "query_no", "vec_id", "score"])
-
-    found = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(cell, FOUND)
-    order = Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), "vec_id")
+        found = []
+        if len(a) and len(b):
+            floors = a["least"].fill_null(-np.inf).to_numpy() if "least" in a.column_names else None
+            found = search(matrix(a["v"], width), a["no"].to_numpy(), matrix(b["v"], width), b["no"].to_numpy(), k, b["id"].to_numpy(), floors)
+        take = pa.array([j for j, _, _ in found], pa.int64())
+        of = dict(zip(b["no"].to_pylist(), b["id"].to_pylist(), strict=True)) if found else {}
+        return pa.table([a["id"].take(take), a["no"].take(take), *(pa.array(x, pa.int64()) for x in ([of[i] for _, i, _ in found], [i for _, i, _ in found], [s for _, _, s in found]))], ["query_id", "query_no", "vec_id", "vec_no", "score"])
+
+    def met(some: DataFrame, at: int, until: int) -> DataFrame:
+        left = some.withColumn("c", F.explode(F.sequence(F.lit(at), F.lit(until))))
+        right = spread.where(F.col("c").between(at, until))
+        return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(cell, FOUND)
+
+    found = met(queries, 0, 0)
+    if cells > 1:
+        found = kept(found)
+        least = found.groupBy(F.col("query_no").alias("no")).agg(F.count("*").alias("m"), F.min("score").cast("double").alias("least")).where(F.col("m") == k)
+        found = found.unionByName(met(queries.join(least.drop("m"), "no", "left").select("id", "v", "no", "b", "least"), 1, cells - 1))
+    order = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id", "vec_no")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
