@@ -34,22 +34,22 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-def json_fingerprint(text: Column) -> Column:
-    """The same hash for a JSON object, row by row: paths of its keys, and of the keys of the
-    objects in its arrays' first elements. Null where the text is no JSON object."""
-    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
+def in_some(maps: Column, name: str) -> Column:
+    return F.exists(maps, lambda e: F.map_contains_key(e, name))
+
+
+def json_fingerprint(text: Column, paths: list[str]) -> Column:
+    """The same hash for a JSON object, row by row, of those of the paths that it has; an array's
+    elements all count, and an empty array is a path of its own. Other fields do not count. Null
+    where the text is no JSON object or has none of the paths."""
     v = F.from_json(text, "map<string,string>")
-    elements = lambda k: F.json_object_keys(F.get(F.from_json(F.element_at(v, k), "array<string>"), 0))
-    objects = lambda k: F.json_object_keys(F.element_at(v, k))
-    paths = F.flatten(
-        F.transform(
-            keys,
-            lambda k: F.when(F.element_at(v, k).startswith("["), F.coalesce(F.transform(elements(k), lambda x: F.concat(F.lit("."), k, F.lit("[]."), x)), F.array(F.concat(F.lit("."), k, F.lit("[]")))))
-            .when(F.element_at(v, k).startswith("{"), F.coalesce(F.transform(objects(k), lambda x: F.concat(F.lit("."), k, F.lit("."), x)), F.array(F.concat(F.lit("."), k))))
-            .otherwise(F.array(F.concat(F.lit("."), k))),
-        )
-    )
-    return F.when(F.size(keys) > 0, F.left(F.sha2(F.array_join(F.array_sort(paths), "\n"), 256), F.lit(16)))
+    arrays = sorted({p.split("[].")[0] for p in paths if "[]." in p})
+    elements = {a: F.from_json(F.get_json_object(text, f"$['{a[1:]}']"), "array<map<string,string>>") for a in arrays}
+    has = {p: F.map_contains_key(v, p[1:]) for p in paths if "[]" not in p}
+    has |= {f"{a}[]": F.size(elements[a]) == 0 for a in arrays}
+    has |= {p: in_some(elements[p.split("[].")[0]], p.split("[].")[1]) for p in paths if "[]." in p}
+    found = F.array_compact(F.array(*[F.when(has[p], F.lit(p)) for p in sorted(has)]))
+    return F.when(F.size(found) > 0, F.left(F.sha2(F.array_join(found, "\n"), 256), F.lit(16)))
 
 
 @dataclass(frozen=True)
@@ -65,8 +65,9 @@ class Layout:
     roles: dict[str, str] = field(default_factory=dict)
 
     @property
-    def key(self) -> str:
-        return fingerprint(list(self.paths))
+    def keys(self) -> tuple[str, ...]:
+        """Of the whole layout, and of one without turns."""
+        return (fingerprint(list(self.paths)), *([fingerprint([f".{self.turns[0]}[]"])] if self.turns else []))
 
 
 SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -99,22 +100,24 @@ def turns_of(layout: Layout, get: Callable[[str], Column], elements: Callable[[s
 
 def canonical(df: DataFrame, key: str, layouts: tuple[Layout, ...] = LAYOUTS, json: str | None = None) -> DataFrame:
     """key, layout, turns. A typed table has one fingerprint, of its columns but the key; with
-    `json`, each row's text is fingerprinted and mixed layouts may stand in one table. Rows of
-    unknown layouts have null layout and turns; null texts are empty."""
+    `json`, each row's text is fingerprinted and mixed layouts may stand in one table. Fields that
+    no layout names are left aside; rows of unknown layouts have null layout and turns; null texts
+    are empty."""
     ready(df.sparkSession)
+    known = sorted({p for x in layouts for p in x.paths})
     if json is None:
         rest = [f for f in df.schema.fields if f.name != key]
-        mark = fingerprint(field_paths(T.StructType(rest)))
-        layout = next((x for x in layouts if x.key == mark), None)
+        mark = fingerprint([p for p in field_paths(T.StructType(rest)) if p in known])
+        layout = next((x for x in layouts if mark in x.keys), None)
         turns = turns_of(layout, lambda n: F.col(f"`{n}`").cast("string"), lambda n: F.col(f"`{n}`")) if layout else F.lit(None).cast(TURNS)
         return df.select(F.col(key), F.lit(layout.name if layout else None).cast("string").alias("layout"), turns.alias("turns"))
-    marked = df.select(F.col(key), F.col(json).alias("__json"), json_fingerprint(F.col(json)).alias("__mark"))
+    marked = df.select(F.col(key), F.col(json).alias("__json"), json_fingerprint(F.col(json), known).alias("__mark"))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for x in layouts:
-        hit = F.col("__mark") == x.key
-        array = lambda n, x=x: F.from_json(F.get_json_object("__json", f"$.{n}"), f"array<struct<`{x.turns[1]}`:string,`{x.turns[2]}`:string>>")
+    for x in reversed(layouts):
+        hit = F.col("__mark").isin(*x.keys)
+        array = lambda n, x=x: F.from_json(F.get_json_object("__json", f"$['{n}']"), f"array<struct<`{x.turns[1]}`:string,`{x.turns[2]}`:string>>")
         name = F.when(hit, F.lit(x.name)).otherwise(name)
-        turns = F.when(hit, turns_of(x, lambda n: F.get_json_object("__json", f"$.{n}"), array)).otherwise(turns)
+        turns = F.when(hit, turns_of(x, lambda n: F.get_json_object("__json", f"$['{n}']"), array)).otherwise(turns)
     return marked.select(key, name.alias("layout"), turns.alias("turns"))
 
 
@@ -126,13 +129,15 @@ TURN_ROWS = (
 )
 
 
-def turn_rows(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """key, turn, role, text of a table with one message a row, by its columns' fingerprint."""
-    mark = fingerprint(field_paths(T.StructType([f for f in df.schema.fields if f.name != key])))
-    names = dict(TURN_ROWS).get(mark)
-    if names is None:
-        raise ValueError(f"no known turn table: {df.columns}")
-    return df.select(key, *[F.col(f"`{a}`").alias(b) for a, b in zip(names, ("turn", "role", "text"), strict=True)])
+def turn_rows(df: DataFrame, key: str = "conv_id", strict: bool = True) -> DataFrame:
+    """key, turn, role, text of a table with one message a row, by its columns' fingerprint. Not
+    strict, columns that a known table does not name are left aside, and the first known table
+    that the columns hold counts."""
+    paths = field_paths(T.StructType([f for f in df.schema.fields if f.name != key]))
+    for mark, names in TURN_ROWS:
+        if fingerprint(paths if strict else [p for p in paths if p[1:] in names]) == mark:
+            return df.select(key, *[F.col(f"`{a}`").alias(b) for a, b in zip(names, ("turn", "role", "text"), strict=True)])
+    raise ValueError(f"no known turn table: {df.columns}")
 
 
 def escaped(text: Column) -> Column:
