@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOLD, bucket_bits, by_bucket, group_of, groups_for, in_rounds, kept, packed, ready, text_bytes, unpacked
+from .common import TOLD, bucket_bits, by_bucket, group_of, groups_for, in_rounds, kept, packed, ready, spread, text_bytes, unpacked
 from .components import components
 from .wordgrid import Grid, grids, mix
 
@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     s.append((total[edges[1:]] - total[edges[:-1]]).view(np.int64))
             yield pa.record_batch([b.column(0), *(pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (n, s1, s2))], ["key", "n", "s1", "s2"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, n long, s1 long, s2 long")
+    return spread(docs.select("key", "text")).mapInArrow(run, "key long, n long, s1 long, s2 long")
 
 
 def prefix_postings(docs: DataFrame, representatives: DataFrame, k: int, num: int, den: int) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, by_bucket, group_of, groups_for, in_rounds, kept, packed, ready, text_bytes, unpacked
+from .common import bucket_bits, by_bucket, group_of, groups_for, in_rounds, kept, packed, ready, spread, text_bytes, unpacked
 from .wordgrid import Grid, grids, mix
 
 #: Pairs that are put in random order at once, and units of a message or of a normaliser's task.
@@ -118,7 +118,7 @@ def word_counts(docs: DataFrame, s: Settings) -> DataFrame:
         own = [pa.array([x.astype(d).tobytes()], pa.binary()) for x, d in ((words, "<u8"), (n, "<i8"), (kind, "<u2"))]
         return pa.table([*sums, *own], ["n", "kinds", "class_n", "class_kinds", "level", "many", "words", "word_n", "word_kind"])
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, words binary, n binary, kind binary")
+    sent = spread(docs.select("text")).mapInArrow(send, "bucket int, words binary, n binary, kind binary")
     return sent.groupBy("bucket").applyInArrow(count, "n long, kinds long, class_n array<bigint>, class_kinds array<bigint>, level array<bigint>, many array<bigint>, words binary, word_n binary, word_kind binary")
 
 

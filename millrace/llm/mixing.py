@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, kept, ready
+from .common import WORD, kept, ready, spread
 
 #: Fine shards of a source. Documents meet their source's quotas by (source, shard), so that a
 #: source with a third of all rows is spread over so many keys.
@@ -87,7 +87,8 @@ def mixed(
     rows are documents of their own.
     """
     ready(docs.sparkSession)
-    slim = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("draw"))
+    slim = spread(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text")))
+    slim = slim.select("key", "source", size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "key", "text").alias("draw"))
     slim = kept(slim.withColumn("shard", F.pmod("draw", F.lit(SHARDS)).cast("int")))
     fine = slim.groupBy("source", "shard").agg(F.sum("size").alias("size"))
     per_source = targets(fine.groupBy("source").agg(F.sum("size").alias("size")), weights, most)

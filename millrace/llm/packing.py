@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_of, kept, ready
+from .common import group_of, kept, ready, spread
 from .tokens import default_vocabulary, reader, small_runs
 
 #: Pieces that are packed together. Each such share ends with one underfull bin at most, or a few.
@@ -21,7 +21,7 @@ SHARE = 40_000
 def pieces_of(docs: DataFrame, capacity: int, vocabulary: str, key: str, text: str, end_id: int) -> DataFrame:
     """key, piece, start, length, ids_crc32 of each document's pieces. Documents beyond the
     capacity are cut into full pieces; the first one is the shorter."""
-    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    named = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     end = np.array([end_id], "<u4")
 
     def run(batches):

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, ready
+from .common import kept, ready, spread
 from .wordgrid import grids
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -73,7 +73,7 @@ def with_features(docs: DataFrame, text: str, carry: list[str], inside: str | No
     """The carried columns and the features of `text`, which is read once and not passed on;
     `inside` names a carried struct that has it, so that it travels once."""
     ready(docs.sparkSession)
-    docs = docs.select(*carry, *([] if inside else [F.col(text).cast("string").alias("__text")]))
+    docs = spread(docs.select(*carry, *([] if inside else [F.col(text).cast("string").alias("__text")])))
 
     def run(batches):
         for b in batches:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, spread
 from .wordgrid import span_hashes
 
 #: Chunks that a worker remembers at most.
@@ -200,7 +200,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, key: str = "doc
     """One row a document: key, n_bytes (UTF-8) and n_tokens of the whole text; null is empty."""
     ready(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
-    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    named = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
 
     def run(batches):
         m = merger(vocabulary)
