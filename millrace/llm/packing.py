@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -44,86 +45,121 @@ def pieces_of(docs: DataFrame, capacity: int, vocabulary: str, key: str, text: s
     return named.mapInArrow(run, schema)
 
 
+class Rooms:
+    """Bins by the room that is left in them; full and empty ones are not held."""
+
+    def __init__(self, capacity: int) -> None:
+        self.bins: list[dict[int, None]] = [{} for _ in range(capacity + 1)]
+        self.values: list[int] = []
+
+    def put(self, b: int, room: int) -> None:
+        if 0 < room < len(self.bins) - 1:
+            if not self.bins[room]:
+                insort(self.values, room)
+            self.bins[room][b] = None
+
+    def take(self, b: int, room: int) -> None:
+        if self.bins[room].pop(b, 0) is None and not self.bins[room]:
+            self.values.pop(bisect_left(self.values, room))
+
+    def tightest(self, n: int, but: int = -1) -> int:
+        """A bin with the least room that holds n, other than `but`; -1 where there is none."""
+        for room in islice(self.values, bisect_left(self.values, n), None):
+            for b in reversed(self.bins[room]):
+                if b != but:
+                    return b
+        return -1
+
+
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Bins of places in `lengths`: longest first, each into the fullest bin that holds it."""
     bins: list[list[int]] = []
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms: list[int] = []
+    room: list[int] = []
+    rooms = Rooms(capacity)
     for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
-        at = bisect_left(rooms, n)
-        if at < len(rooms):
-            room = rooms[at]
-            b = by_room[room].pop()
-            if not by_room[room]:
-                rooms.pop(at)
-            bins[b].append(i)
-            room -= n
-        else:
-            b, room = len(bins), capacity - n
-            bins.append([i])
-        if room:
-            if not by_room[room]:
-                insort(rooms, room)
-            by_room[room].append(b)
+        b = rooms.tightest(int(lengths[i]))
+        if b < 0:
+            b = len(bins)
+            bins.append([])
+            room.append(capacity)
+        rooms.take(b, room[b])
+        bins[b].append(i)
+        room[b] -= int(lengths[i])
+        rooms.put(b, room[b])
     return bins
 
 
-def swapped(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 8) -> list[list[int]]:
-    """Local search: take documents of the emptiest bins, and move each to an underfull bin,
-    exchange it for a shorter one there, or exchange two for one. Every step raises the sum of
-    squared fills, so that the emptiest bins empty; bins left empty are dropped.
+def swapped(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 32) -> list[list[int]]:
+    """Local search over the underfull bins, the emptiest first: a document moves to the fullest
+    bin that holds it, is exchanged for a shorter one of another bin, or goes with a second one
+    for one that is shorter than both. Every step raises the sum of squared fills, so that the
+    emptiest bins empty; bins left empty are dropped.
 
-    rounds bounds how often the underfull bins are gone through, not which documents take part.
+    It ends where no step is left, or where no packing has fewer bins. rounds bounds how often the
+    underfull bins are gone through, not which documents take part; an exchange shifts an eighth of
+    the capacity at most.
     """
+    size_of = lengths.tolist()
     fill = np.array([lengths[b].sum() for b in bins], np.int64)
-    fewest = -(-int(fill.sum()) // capacity)  # no packing has fewer bins
+    fewest = -(-int(fill.sum()) // capacity)
+    reach = max(1, capacity // 8)
+    rooms = Rooms(capacity)
+    for b, f in enumerate(fill.tolist()):
+        rooms.put(b, capacity - f)
+
+    def shift(weak: int, to: int, give: list[int], take: list[int]) -> None:
+        n = sum(size_of[i] for i in give) - sum(size_of[i] for i in take)
+        for b, less, more, gain in ((weak, give, take, -n), (to, take, give, n)):
+            rooms.take(b, capacity - int(fill[b]))
+            bins[b] = [i for i in bins[b] if i not in less] + more
+            fill[b] += gain
+            rooms.put(b, capacity - int(fill[b]))
+
+    def underfull() -> list[int]:
+        return [b for b in np.argsort(fill, kind="stable").tolist() if 0 < fill[b] < capacity]
+
+    def longest_first(b: int) -> list[int]:
+        return sorted(bins[b], key=lambda i: -size_of[i])
+
     for _ in range(rounds):
-        loose = [b for b in np.argsort(fill, kind="stable").tolist() if 0 < fill[b] < capacity]
-        spare = int((fill > 0).sum()) - fewest
-        if len(loose) < 2 or spare <= 0:
+        if int((fill > 0).sum()) <= fewest:
             break
         steps = 0
-        # every document in a loose bin, as rows of (bin, place)
-        owner = np.array([b for b in loose for _ in bins[b]], np.int64)
+        for weak in underfull():
+            for i in longest_first(weak):
+                n = size_of[i]
+                to = rooms.tightest(n, weak)
+                if to >= 0 and fill[to] > fill[weak] - n:
+                    shift(weak, to, [i], [])
+                    steps += 1
+        # every document of an underfull bin, by its length
+        loose = underfull()
         place = np.array([i for b in loose for i in bins[b]], np.int64)
-        size = lengths[place]
-
-        def best(n: int, weak: int) -> int:
-            """The row whose document gives way to n more tokens with the fullest outcome."""
-            ok = (size < n) & (fill[owner] - size + n <= capacity) & (fill[owner] > fill[weak] - n + size) & (owner != weak)
-            return int(np.argmax(np.where(ok, fill[owner] - size + n, -1))) if ok.any() else -1
-
-        for weak in loose[:spare]:
-            for i in sorted(bins[weak], key=lambda x: -lengths[x]):
-                if i not in bins[weak]:
-                    continue
-                n = int(lengths[i])
-                room = capacity - fill[loose]
-                fits = (room >= n) & (fill[loose] > 0) & (np.array(loose) != weak) & (fill[loose] >= fill[weak] - n)
-                if fits.any():  # a move
-                    to = loose[int(np.argmin(np.where(fits, room, capacity + 1)))]
-                    give, take = [i], []
-                elif (r := best(n, weak)) >= 0:  # one for one
-                    to, give, take = int(owner[r]), [i], [int(place[r])]
-                else:  # two for one
-                    give = []
-                    for j in bins[weak]:
-                        if j != i and (r := best(n + int(lengths[j]), weak)) >= 0:
-                            to, give, take = int(owner[r]), [i, j], [int(place[r])]
-                            break
-                    if not give:
-                        continue
-                gained = int(lengths[give].sum() - (lengths[take].sum() if take else 0))
-                bins[weak] = [x for x in bins[weak] if x not in give] + take
-                bins[to] = [x for x in bins[to] if x not in take] + give
-                fill[to] += gained
-                fill[weak] -= gained
-                owner[np.isin(place, give)] = to
-                owner[np.isin(place, take)] = weak
-                steps += 1
-                if fill[weak] == 0:
-                    break
+        owner = np.repeat(loose, [len(bins[b]) for b in loose])
+        order = np.argsort(lengths[place], kind="stable")
+        place, owner = place[order], owner[order]
+        size, row_of = lengths[place], {i: k for k, i in enumerate(place.tolist())}
+
+        def exchanged(weak: int, give: list[int], size=size, owner=owner, place=place, row_of=row_of) -> bool:
+            """Whether the documents went for one that is shorter than they are, with the fullest outcome."""
+            n = sum(size_of[i] for i in give)
+            some = slice(int(np.searchsorted(size, n - reach)), int(np.searchsorted(size, n)))
+            of, shorter = owner[some], size[some]
+            after = fill[of] - shorter + n
+            ok = (after <= capacity) & (fill[of] > fill[weak] - n + shorter) & (of != weak)
+            if not ok.any():
+                return False
+            k = some.start + int(np.argmax(np.where(ok, after, -1)))
+            to = int(owner[k])
+            shift(weak, to, give, [int(place[k])])
+            owner[k] = weak
+            owner[[row_of[i] for i in give]] = to
+            return True
+
+        for weak in loose:
+            for i in longest_first(weak):
+                if i in bins[weak]:
+                    steps += exchanged(weak, [i]) or any(exchanged(weak, [i, j]) for j in bins[weak] if j != i)
         if not steps:
             break
     return [b for b in bins if b]
