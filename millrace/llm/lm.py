@@ -15,7 +15,7 @@ times the units) and the normalisers (units squared) grow with the input, and no
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import isqrt
 
 import numpy as np
@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 from .common import bucket_bits, by_bucket, group_of, groups_for, in_rounds, kept, packed, ready, spread, text_bytes, unpacked
 from .wordgrid import Grid, grids, mix
 
-#: Pairs that are put in random order at once, and units of a message or of a normaliser's task.
-SHUFFLED, BLOCK = 1 << 20, 1024
+#: Pairs that are counted and put in random order at once, and how many a single one may stand for.
+SHUFFLED, HEAVY = 1 << 22, 32
+
+#: Units of a message or of a normaliser's task.
+BLOCK = 1024
 
 #: Words with counts that a task holds before it sends them.
 HELD = 2 << 20
@@ -37,16 +40,16 @@ HELD = 2 << 20
 @dataclass(frozen=True)
 class Settings:
     """words: units of their own, at least (more where the corpus is large); classes: units of all
-    other words; steps: batches of training, at least; rounds: how often all pairs take part, however
+    other words; batch: pairs a step; steps: batches of training, at least; rounds: how often all pairs take part, however
     many, and the trainers' models are put together. The end of a text is a unit too, and the
     context of its first word."""
 
     words: int = 1023
     classes: int = 1024
     width: int = 32
-    batch: int = 4096
+    batch: int = 1024
     noise: int = 256
-    steps: int = 800
+    steps: int = 3200
     rate: float = 0.1
     seed: int = 0
     rounds: int = 3
@@ -210,39 +213,51 @@ def parameters(model: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray,
     return model[:, : s.width], model[:, s.width : 2 * s.width], model[:, 2 * s.width]
 
 
-def learn(model: np.ndarray, unit_counts: np.ndarray, pairs: Iterable[tuple[np.ndarray, np.ndarray]], s: Settings, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def learn(model: np.ndarray, unit_counts: np.ndarray, pairs: Iterable[tuple[np.ndarray, ...]], s: Settings, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Noise-contrastive estimation with Adagrad, in place: a step for each batch (units before,
-    units). Returns how often each unit took part as context, and as unit or noise."""
-    u = len(model)
+    units and, where pairs stand for several, their weights). Returns how often each unit took
+    part as context, and as unit or noise."""
+    u, wide = len(model), s.width
     unigram = unit_counts + 1.0
     unigram = unigram / unigram.sum()
     noise_sum = np.cumsum(unigram)
     log_noise = (np.log(unigram) + np.log(s.noise)).astype(np.float32)
-    (r, q, b), squares = parameters(model, s), parameters(model[:, 2 * s.width + 1 :], s)
-    as_context, as_unit = np.zeros(u, np.int64), np.zeros(u, np.int64)
+    # a unit's q and b stand side by side, and so do their sums of squares
+    r, qb, r_squares, qb_squares = model[:, :wide], model[:, wide : 2 * wide + 1], model[:, 2 * wide + 1 : 3 * wide + 1], model[:, 3 * wide + 1 :]
+    as_context, as_unit = np.zeros(u), np.zeros(u)
 
     def move(x: np.ndarray, square: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
         order = np.argsort(at, kind="stable")
         new = np.flatnonzero(np.diff(at[order], prepend=-1))
         total, rows = np.add.reduceat(gradient[order], new), at[order][new]
-        square[rows] += total**2
-        x[rows] -= s.rate * total / np.sqrt(square[rows])
+        now = square[rows] + total * total
+        square[rows] = now
+        x[rows] -= s.rate * total / np.sqrt(now)
 
-    for h, w in pairs:
+    for h, w, *more in pairs:
+        weight = more[0] if more else np.ones(len(h))
+        c = (weight / weight.sum()).astype(np.float32)
         n = np.searchsorted(noise_sum, rng.random(s.noise)).clip(max=u - 1)
-        rh, qw, qn = r[h], q[w], q[n]
-        d = np.einsum("ij,ij->i", rh, qw) + b[w] - log_noise[w]
-        dn = rh @ qn.T + (b[n] - log_noise[n])
-        g = (1 / (1 + np.exp(-np.clip(d, -30, 30))) - 1) / len(h)
-        gn = 1 / (1 + np.exp(-np.clip(dn, -30, 30))) / len(h)
-        grow = g[:, None] * qw + gn @ qn
+        rh, qw, qn = r[h], qb[w], qb[n]
+        d = np.einsum("ij,ij->i", rh, qw[:, :wide]) + qw[:, wide] - log_noise[w]
+        g = c * (1 / (1 + np.exp(-np.clip(d, -30, 30))) - 1)
+        dn = rh @ qn[:, :wide].T
+        dn += qn[:, wide] - log_noise[n]
+        np.clip(np.negative(dn, out=dn), -30, 30, out=dn)
+        np.exp(dn, out=dn)
+        dn += 1
+        gn = np.divide(c[:, None], dn, out=dn)
+        grow = g[:, None] * qw[:, :wide] + gn @ qn[:, :wide]
         both = np.concatenate([w, n])
-        move(q, squares[1], both, np.concatenate([g[:, None] * rh, gn.T @ rh]))
-        move(b, squares[2], both, np.concatenate([g, gn.sum(axis=0)]))
-        move(r, squares[0], h, grow)
-        np.add.at(as_context, h, 1)
-        np.add.at(as_unit, both, 1)
-    return as_context, as_unit
+        to_both = np.empty((len(both), wide + 1), np.float32)
+        to_both[: len(w), :wide], to_both[: len(w), wide] = g[:, None] * rh, g
+        to_both[len(w) :, :wide], to_both[len(w) :, wide] = gn.T @ rh, gn.sum(axis=0)
+        move(qb, qb_squares, both, to_both)
+        move(r, r_squares, h, grow)
+        np.add.at(as_context, h, weight)
+        np.add.at(as_unit, w, weight)
+        np.add.at(as_unit, n, 1)
+    return np.rint(as_context).astype(np.int64), np.rint(as_unit).astype(np.int64)
 
 
 def train(counts: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,6 +297,34 @@ def in_batches(pairs: Iterable[tuple[np.ndarray, np.ndarray]], passes: int, s: S
         yield from mixed(held)
 
 
+def counted(pairs: Iterable[tuple[np.ndarray, np.ndarray]], units: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """All pairs, some millions at a time: each pair once as a number, with how often it stands
+    there, and how many pairs these are. What is very frequent comes several times, HEAVY pairs at
+    most each."""
+
+    def some(held: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, int]:
+        codes, counts = np.unique(np.concatenate(held), return_counts=True)
+        times = -(-counts // HEAVY)
+        return np.repeat(codes, times), np.repeat(counts / times, times), n
+
+    held, n = [], 0
+    for h, w in pairs:
+        held.append(h * np.int64(units) + w)
+        n += len(h)
+        if n >= SHUFFLED:
+            yield some(held, n)
+            held, n = [], 0
+    if n:
+        yield some(held, n)
+
+
+def weighted_batches(pairs: Iterable[tuple[np.ndarray, np.ndarray]], units: int, passes: int, s: Settings, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches for `learn` that stand for about s.batch pairs each; every pair counts once a pass."""
+    for codes, weights, n in counted(pairs, units):
+        for code, weight in in_batches([(codes, weights)], passes, replace(s, batch=max(1, s.batch * len(codes) // n)), rng):
+            yield code // units, code % units, weight
+
+
 def trained(docs: DataFrame, v: Vocabulary, s: Settings) -> np.ndarray:
     """The model after all pairs of the training documents. In each round the trainers start from
     one model and each goes through its own documents; a unit's new row is the mean of theirs,
@@ -301,7 +344,7 @@ def trained(docs: DataFrame, v: Vocabulary, s: Settings) -> np.ndarray:
                     for grid in grids(b.column(0), lower=True):
                         yield sequence(v.units(grid, s), grid)[:2]
 
-            taken = np.stack(learn(mine, unit_counts, in_batches(pairs(), passes, s, rng), s, rng), axis=1)
+            taken = np.stack(learn(mine, unit_counts, weighted_batches(pairs(), len(mine), passes, s, rng), s, rng), axis=1)
             for a in range(0, len(mine), BLOCK):
                 at = a + np.flatnonzero(taken[a : a + BLOCK].any(axis=1))
                 if len(at):
