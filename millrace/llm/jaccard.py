@@ -1,9 +1,10 @@
-"""Exact n-gram Jaccard join by prefixes of one global n-gram order, checked in fragments.
+"""Exact n-gram Jaccard join by vertical partitioning of one global n-gram order.
 
-N-grams are ordered by the number of documents that hold them, rarest first. Documents that can
-link share an n-gram of their prefixes in that order; that alone makes candidates. Fragments only
-check them: they are ranges of the n-grams' hashes, not of that order, and a pair's overlaps in
-them are counted apart and summed.
+N-grams are ordered by the number of documents that hold them, rarest first, and the order is cut
+into fragments at fixed numbers of documents. A document's part of a fragment meets the same
+fragment of the documents that it could link to, the overlaps are counted fragment by fragment, and
+sums by pair decide. Which pairs could link is told by prefixes: documents that link share an
+n-gram of their first ones in that order.
 
 Copies with equal sets meet as one class, and what is wanted is which classes hang together, so
 the pairs of a group of near copies are not all made: the documents of a prefix n-gram first meet

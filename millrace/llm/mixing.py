@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, kept, ready, spread
 
-#: Fine shards of a source. Documents meet their source's quotas by (source, shard), so that a
-#: source with a third of all rows is spread over so many keys.
-SHARDS = 1024
-
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -80,33 +76,33 @@ def mixed(
     """As mix_sources, with `draw` (a hash of the row) besides, and key and source so named.
 
     The mix has as many words as the documents. Blocks of `block` words are apportioned to the
-    sources by their targets, then each source's blocks to its shards by their sizes (a shard has
-    about shard_words or more). A shard takes its words in whole rounds over its documents, then
-    the blocks that remain from its documents in an order drawn from the seed. No document is
-    taken more than `most` times. A null text has size 0; a null source is a source; repeated
-    rows are documents of their own.
+    sources by their targets, then each source's blocks to its shards by their sizes: first to
+    groups of shards, then within a group, so that no window holds more than about the root of a
+    source's shards. A source has as many shards as shard_words go into its size, as a power of
+    two; its documents are dealt to them by their draw, so that a large source is spread over many
+    tasks. A shard takes its words in whole rounds over its documents, then the blocks that remain
+    from its documents in an order drawn from the seed. No document is taken more than `most`
+    times. A null text has size 0; a null source is a source; repeated rows are documents of their
+    own. One row a source is in one task where sources are ranked and share.
     """
     ready(docs.sparkSession)
     slim = spread(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text")))
-    slim = slim.select("key", "source", size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "key", "text").alias("draw"))
-    slim = kept(slim.withColumn("shard", F.pmod("draw", F.lit(SHARDS)).cast("int")))
-    fine = slim.groupBy("source", "shard").agg(F.sum("size").alias("size"))
-    per_source = targets(fine.groupBy("source").agg(F.sum("size").alias("size")), weights, most)
+    slim = kept(slim.select("key", "source", size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "key", "text").alias("draw")))
+    per_source = kept(targets(slim.groupBy("source").agg(F.sum("size").alias("size")), weights, most))
     blocks = F.floor(F.sum("size").over(Window.partitionBy()) / block + 0.5).cast("long")
     quotas = apportioned(per_source.withColumn("blocks", blocks).withColumn("all", F.lit(0)), ["all"], "target", "blocks", [F.col("source").asc_nulls_last()])
-    # a power of two of shards for each source, by its size
-    shards = F.greatest(F.lit(1), F.least(F.lit(SHARDS), F.pow(2, F.floor(F.log2(F.greatest(F.lit(1), F.col("size") / shard_words))))).cast("int"))
-    quotas = quotas.select(F.col("source").alias("s"), F.col("size").alias("source_size"), "target", F.col("quota").alias("source_blocks"), shards.alias("shards"))
-    joined = fine.join(quotas, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("part", F.col("shard") % F.col("shards"))
-    meta = ["source", "source_size", "target", "source_blocks", "part"]
-    coarse = joined.groupBy(*meta).agg(F.sum("size").alias("part_size"))
-    coarse = apportioned(coarse, ["source"], "part_size", "source_blocks", [F.col("part")])
+    bits = F.floor(F.log2(F.greatest(F.lit(1), F.col("size") / shard_words)))
+    parts, a_group = F.pow(F.lit(2), bits).cast("long"), F.pow(F.lit(2), F.floor(bits / 2)).cast("long")
+    quotas = kept(quotas.select(F.col("source").alias("s"), F.col("size").alias("source_size"), "target", F.col("quota").alias("source_blocks"), parts.alias("parts"), a_group.alias("a_group")))
+    dealt = slim.join(quotas, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("part", F.pmod("draw", "parts")).withColumn("upper", F.floor(F.col("part") / F.col("a_group")))
+    fine = kept(dealt.groupBy("source", "source_blocks", "upper", "part").agg(F.sum("size").alias("part_size")))
+    upper = fine.groupBy("source", "source_blocks", "upper").agg(F.sum("part_size").alias("upper_size"))
+    upper = apportioned(upper, ["source"], "upper_size", "source_blocks", [F.col("upper")]).select(F.col("source").alias("s"), F.col("upper").alias("u"), F.col("quota").alias("upper_blocks"))
+    fine = fine.select("source", "upper", "part", "part_size").join(upper, F.col("source").eqNullSafe(F.col("s")) & (F.col("upper") == F.col("u"))).drop("s", "u")
+    fine = apportioned(fine, ["source", "upper"], "part_size", "upper_blocks", [F.col("part")])
     most_words = F.floor(F.lit(float(most)) * F.col("part_size")).cast("long")
-    coarse = coarse.withColumn("words", F.least(most_words, F.col("quota") * block))
-    coarse = coarse.select(F.col("source").alias("s"), F.col("part").alias("p"), "part_size", "words")
-    told = joined.join(coarse, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    told = told.select(F.col("source").alias("s"), F.col("shard").alias("h"), "source_size", "target", "part", "part_size", "words")
-    out = slim.join(told, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")))
+    told = fine.select(F.col("source").alias("s"), F.col("part").alias("p"), "part_size", F.least(most_words, F.col("quota") * block).alias("words"))
+    out = dealt.join(told, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     line = Window.partitionBy("source", "part").orderBy("draw", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = out.withColumn("end", F.sum("size").over(line))
     rounds = F.when(F.col("part_size") > 0, F.floor(F.col("words") / F.col("part_size"))).otherwise(F.lit(0)).cast("long")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import ready
 
-#: Rules up to so many are broadcast; more are dealt by their hash, each to SALTS places.
-FEW = 100_000
+#: Rules up to so many, of so many bytes together, are broadcast; more are dealt by their hash, each
+#: to SALTS places.
+FEW, FEW_BYTES = 100_000, 16 << 20
 SALTS = 32
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,7 +44,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", key:
     """
     ready(pages.sparkSession)
     made = rules.where("host is not null and path is not null").withColumn("digest", F.sha2(F.concat_ws("\n", "host", "path"), 256))
-    shapes = made.agg(F.count("*"), F.array_sort(F.collect_set(F.size(F.split("host", r"\.")))), F.array_sort(F.collect_set(F.length("path")))).first()
+    shapes = made.agg(F.struct(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 200), F.lit(0)).alias("bytes")), F.array_sort(F.collect_set(F.size(F.split("host", r"\.")))), F.array_sort(F.collect_set(F.length("path")))).first()
     count, labels, lengths = shapes[0], shapes[1] or [1], shapes[2] or [0]
     best = F.struct(F.length(F.concat("host", "path")).alias("a"), F.length("host").alias("b"), F.col("verdict").isin("block").alias("c"), F.concat("host", "path").alias("rule"), "verdict")
     made = made.groupBy("digest").agg(F.max(best).alias("best")).select(F.col("digest").alias("rule_digest"), short(F.col("digest")).alias("rule_key"), "best")
@@ -55,7 +56,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", key:
     expressions = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda q: F.sha2(F.concat_ws("\n", h, q), 256))))
     e = p.withColumn("digest", F.explode_outer(expressions)).withColumn("url_key", short(F.col("digest")))
     on = (F.col("url_key") == F.col("rule_key")) & (F.col("digest") == F.col("rule_digest"))
-    if count <= FEW:
+    if count["n"] <= FEW and count["bytes"] <= FEW_BYTES:
         e = e.join(F.broadcast(made), on, "left")
     else:
         made = made.withColumn("rule_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
