@@ -675,3 +675,182 @@ def component_failures(spark, d):
     half = "def score(example, context):\n    return 0.5 if example['k'] % 2 == 0 else None\n"
     fails = "def score(example, context):\n    return 1 // 0\n"
     return scorer.as_score(scorer.score_examples(spread(e), {"half": half, "fails": fails}, allow_code=True, seconds=30.0)).select("example_id", "component_id", "score", "error")
+
+
+# What the plain queries of the catalogue never meet: faults, ties, second kinds
+
+
+@query(f"""WITH r AS (SELECT *, trim(regexp_replace(text, '{WS}+', ' ', 'g')) = '' AS blank, doc_id % 6 AS k FROM documents)
+  SELECT doc_id, concat_ws(',', CASE WHEN k = 0 THEN 'null:title' END, CASE WHEN k = 1 THEN 'empty:title' END, CASE WHEN k = 2 THEN 'empty:prompt' END, CASE WHEN k = 3 OR (k NOT IN (2, 3, 4) AND blank) THEN 'empty:message_content' END,
+    CASE WHEN source = 'src0' AND k = 3 THEN 'empty:article_payload' END, CASE WHEN source = 'src0' AND k = 5 THEN 'article_is_publisher_boilerplate' END, CASE WHEN k IN (2, 4) THEN 'prompt_not_ending_user' END, CASE WHEN k = 4 THEN 'non_alternating_roles' END, CASE WHEN k IN (3, 4) THEN 'question_not_last_message' END) AS flags FROM r""")
+def quality_flag_families(spark, d):
+    k = F.col("doc_id") % 6
+    one = lambda role, said: F.array(F.struct(F.lit(role).alias("role"), said.alias("content"))).cast(selection.MESSAGES)
+    said = F.when(k == 2, F.array().cast(selection.MESSAGES)).when(k == 3, one("user", F.lit(" "))).when(k == 4, one("assistant", F.lit("a reply"))).otherwise(one("user", F.col("text")))
+    source = F.when(F.col("source") == "src0", "pubmed-summarization").otherwise("x")
+    article = F.when(k == 3, "\n").when(k == 5, F.lit(flags.PUBLISHER_BOILERPLATE)).otherwise("article")
+    f = flags.quality_flags({"title": F.when(k == 0, F.lit(None)).when(k == 1, " ").otherwise("t")}, source, article, F.when(k == 3, "other").otherwise(F.col("text")), said)
+    return docs(spark, d).select("doc_id", F.array_join(f, ",").alias("flags"))
+
+
+@query("""SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN '{"actions":[1]}' END AS envelope, CASE conv_id % 5 WHEN 1 THEN '2 envelopes' WHEN 2 THEN 'no ''actions'' key' WHEN 3 THEN 'empty message' WHEN 4 THEN '''['' at 12 is not closed' END AS error FROM conversations""")
+def envelope_errors(spark, d):
+    from ..functions.envelope import extract_envelope
+
+    k = F.col("conv_id") % 5
+    said = F.when(k == 0, 'so {"actions": [1]} it is').when(k == 1, '{"actions":1} or {"actions":2}').when(k == 2, '{"other":1}').when(k == 3, " \n").otherwise('{"actions": [1')
+    return spread(table(spark, d, "conversations")).select("conv_id", "turn", extract_envelope(said).alias("x")).select("conv_id", "turn", "x.envelope", "x.error")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 7 WHEN 1 THEN 'COMPONENT_BOOL_REJECTED' WHEN 2 THEN 'COMPONENT_NON_FINITE' WHEN 3 THEN 'COMPONENT_RETURN_TYPE' WHEN 4 THEN 'COMPONENT_RETURN_TYPE' WHEN 5 THEN 'COMPONENT_OUT_OF_RANGE' END AS error,
+  CASE WHEN l_linenumber % 7 IN (0, 6) THEN l_discount END AS score, CASE WHEN l_linenumber % 7 IN (0, 6) THEN 'ok' ELSE 'error' END AS status FROM lineitem""")
+def raw_score_errors(spark, d):
+    n = F.col("l_linenumber") % 7
+    kind = F.when(n == 1, "bool").when(n == 2, "nonfinite").when(n == 3, "string").when(n == 4, "null").otherwise("number")
+    r = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(n == 4, F.lit(None)).when(n == 5, 1.5).otherwise(F.col("l_discount")).alias("raw"), kind.alias("kind"))
+    none = F.lit(None).cast("double")
+    return scoring.component_scores(r, none, none).select("l_orderkey", "l_linenumber", "error", "score", "status")
+
+
+@query("""SELECT c AS component_id, 'COMPONENT_BOOL_REJECTED' AS error, count(*) AS count, arg_min(l_extendedprice::VARCHAR, o * 100 + l) AS first_message FROM (SELECT l_linenumber % 3 AS c, l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS l, l_extendedprice FROM lineitem) WHERE o % 2 = 0 GROUP BY c""")
+def first_errors(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    t = table(spark, d, "lineitem").withColumn("at", F.col("l_orderkey") * 100 + F.row_number().over(w))
+    r = t.select((F.col("l_linenumber") % 3).alias("component_id"), F.when(F.col("l_orderkey") % 2 == 0, "COMPONENT_BOOL_REJECTED").alias("error"), F.col("l_extendedprice").cast("string").alias("message"), "at")
+    return scoring.compact_errors(r, "at")
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'event_after_done' WHEN 1 THEN 'server_stream_error' WHEN 2 THEN 'malformed_or_unsupported_event' WHEN 3 THEN 'malformed_or_unsupported_event' ELSE '' END AS errors, event_id % 6 <> 4 AS done,
+  CASE event_id % 6 WHEN 0 THEN 'ab' WHEN 2 THEN 'a' WHEN 5 THEN 'a' || event_id ELSE 'a' END AS content, CASE event_id % 6 WHEN 5 THEN 'm,n' ELSE 'm' END AS models FROM events""")
+def stream_faults(spark, d):
+    k = F.col("event_id") % 6
+    said = lambda t, model="m", more="": F.concat(F.lit('data: {"model":"' + model + '","choices":[{"index":0,"delta":{"content":"'), t, F.lit('"}' + more + "}]}\n\n"))
+    done, a = F.lit("data: [DONE]\n\n"), said(F.lit("a"))
+    body = (
+        F.when(k == 0, F.concat(a, done, said(F.lit("b")))).when(k == 1, F.concat(a, F.lit('data: {"error":{"message":"x"}}\n\n'), done)).when(k == 2, F.concat(a, F.lit("data: {oops\n\n"), done))
+        .when(k == 3, F.concat(a, F.lit('data: {"choices":[{"index":0,"delta":{"tool_calls":[1]}}]}\r\n\r\n'), done)).when(k == 4, a).otherwise(F.concat(F.lit(": note\n\n"), a, said(F.col("event_id").cast("string"), "n"), done))
+    )
+    f = rollouts.folded(table(spark, d, "events").select("event_id", body.alias("body")), "event_id", "body")
+    return f.select("event_id", F.array_join("errors", ",").alias("errors"), "done", "content", F.array_join("returned_models", ",").alias("models"))
+
+
+@query("""WITH l AS (SELECT o_orderkey AS row, CASE o_orderkey % 4 WHEN 0 THEN 'none' ELSE 'q' || o_orderkey END AS q, CASE o_orderkey % 4 WHEN 1 THEN 'a' || o_orderkey WHEN 2 THEN 'a' || (o_orderkey - 1) ELSE 'other' END AS a FROM orders),
+  u AS (SELECT o_orderkey + 10 AS row, 'q' || o_orderkey AS q, 'a' || o_orderkey AS a FROM orders)
+  SELECT l.row, CASE WHEN u.q IS NULL THEN 'question_not_found' WHEN u.a = l.a THEN 'match' WHEN v.a IS NOT NULL THEN 'answer_elsewhere' ELSE 'different_answer' END AS state, CASE WHEN u.a = l.a THEN u.row - l.row END AS "offset"
+  FROM l LEFT JOIN u ON u.q = l.q LEFT JOIN u v ON v.a = l.a""")
+def upstream_states(spark, d):
+    k = F.col("o_orderkey")
+    name = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    o = table(spark, d, "orders")
+    local = o.select(k.alias("row"), F.when(k % 4 == 0, "none").otherwise(name("q", k)).alias("q"), F.when(k % 4 == 1, name("a", k)).when(k % 4 == 2, name("a", k - 1)).otherwise("other").alias("a"))
+    return duplicates.upstream_match(local, o.select((k + 10).alias("row"), name("q", k).alias("q"), name("a", k).alias("a0"), name("b", k).alias("a1")))
+
+
+@query("""WITH e AS (SELECT o_custkey AS suite, o_orderkey % 3 AS k FROM orders), s AS (SELECT suite, bool_or(k = 0) AS up, bool_or(k = 1) AS back, bool_or(k = 2) AS same FROM e GROUP BY suite)
+  SELECT suite, unnest(CASE WHEN up AND back AND same THEN ['a', 'b', 'c'] WHEN up AND back THEN ['a', 'b', 'c'][1:0] ELSE [] END) AS node FROM s""")
+def equal_cycles(spark, d):
+    """a > b, b > c and a = c: a cycle only where all three are said."""
+    k = F.col("o_orderkey") % 3
+    pick = lambda x, y, z: F.when(k == 0, x).when(k == 1, y).otherwise(z)
+    e = table(spark, d, "orders").select(F.col("o_custkey").alias("suite"), pick("a", "b", "a").alias("left"), pick(">", ">", "=").alias("op"), pick("b", "c", "c").alias("right")).distinct()
+    return graph.strict_cycles(e)
+
+
+@query("""SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity AS case_id, any_value(CASE WHEN l_returnflag = 'R' THEN 'insufficient_evidence' WHEN (l_discount >= 0.05) = (l_linestatus = 'F') THEN 'pass' ELSE 'fail' END) AS verdict
+  FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity HAVING count(*) = 1""")
+def pointwise_verdicts(spark, d):
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    t = table(spark, d, "lineitem").withColumn("case_id", F.concat_ws("-", *keys)).withColumn("n", F.count("*").over(Window.partitionBy(*keys))).where("n = 1")
+    cases = t.select("case_id", F.lit("pointwise").alias("kind"), F.when(F.col("l_linestatus") == "F", "pass").otherwise("fail").alias("expected"), F.lit("human_annotated").alias("evidence_source"))
+    points = t.select("case_id", F.lit(1).alias("example_id"), F.col("l_discount").alias("score"), (F.col("l_returnflag") != "R").alias("ok"))
+    none = t.select("case_id", F.lit(1).alias("left"), F.lit(1).alias("right"), F.lit("=").alias("op"))
+    return scoring.rule_verdicts(cases, none.limit(0), points, threshold=0.05)
+
+
+@query("""SELECT o_custkey AS case_id, CASE WHEN max(o_orderkey) % 2 = 0 THEN 'pass' ELSE 'fail' END AS verdict FROM orders GROUP BY o_custkey""")
+def tied_verdicts(spark, d):
+    """Two examples that are said to be equal, and are so up to rounding or not."""
+    c = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.max("o_orderkey").alias("k"))
+    points = c.select("case_id", F.explode(F.array(F.struct(F.lit(1).alias("e"), F.lit(0.3).alias("v")), F.struct(F.lit(2).alias("e"), F.when(F.col("k") % 2 == 0, F.lit(0.1) + F.lit(0.2)).otherwise(0.31).alias("v")))).alias("p"))
+    points = points.select("case_id", F.col("p.e").alias("example_id"), F.col("p.v").alias("score"), F.lit(True).alias("ok"))
+    cases = c.select("case_id", F.lit("ranking").alias("kind"), F.lit(None).cast("string").alias("expected"), F.lit("human_annotated").alias("evidence_source"))
+    return scoring.rule_verdicts(cases, c.select("case_id", F.lit(1).alias("left"), F.lit(2).alias("right"), F.lit("=").alias("op")), points)
+
+
+@query("SELECT c_custkey AS key, CASE WHEN c_custkey % 10 <> 0 THEN c_mktsegment END AS segment, c_custkey % 10 = 0 AS conflict FROM customer")
+def united_rows(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"), F.lit("a").alias("run"))
+    b = a.where("key % 5 <> 1").withColumn("segment", F.when(F.col("key") % 10 == 0, "other").otherwise(F.col("segment"))).withColumn("run", F.lit("b"))
+    union, conflicts = duplicates.consistent_union(a, b, "key", ("run",))
+    j = union.join(conflicts, "key", "left")
+    return j.select("key", F.when(F.col("versions").isNull(), F.col("segment")).alias("segment"), F.col("versions").isNotNull().alias("conflict"))
+
+
+@query("""WITH l AS (SELECT DISTINCT o_custkey AS suite, o_orderkey::VARCHAR AS e, o_orderstatus FROM orders WHERE o_orderstatus <> 'P') SELECT a.suite, a.e AS "left", b.e AS "right" FROM l a JOIN l b ON a.suite = b.suite AND a.o_orderstatus = 'F' AND b.o_orderstatus = 'O'""")
+def overall_orders(spark, d):
+    o = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("suite"), F.col("o_orderkey").cast("string").alias("example"), F.lit(None).cast("string").alias("cap"), F.when(F.col("o_orderstatus") == "F", "pass").otherwise("fail").alias("label"), F.lit("overall").alias("scope"))
+    return graph.implied_overall(o, o.select("suite", F.lit("a").alias("cap")).distinct())
+
+
+@query("""WITH l AS (SELECT o_custkey AS suite, o_orderkey::VARCHAR AS e, o_orderpriority AS cap, o_orderstatus FROM orders) SELECT a.suite, a.cap, a.e AS "left", b.e AS "right" FROM l a JOIN l b ON a.suite = b.suite AND a.cap = b.cap AND a.o_orderstatus = 'F' AND b.o_orderstatus <> 'F'""")
+def capability_orders(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("suite"), F.col("o_orderkey").cast("string").alias("example"), F.col("o_orderpriority").alias("cap"), F.when(F.col("o_orderstatus") == "F", "pass").otherwise("fail").alias("label"), F.lit("capability").alias("scope"))
+    return graph.implied_by_capability(o)
+
+
+PADS = ["".join(f"\\x{b ^ p:02X}" for b in b"secret".ljust(64, b"\0")) for p in (0x36, 0x5C)]
+
+
+@query(f"""SELECT item_id, sha256('{PADS[1]}'::BLOB || unhex(sha256('{PADS[0]}'::BLOB || encode(text)))) AS tag, item_id % 3 <> 0 AS holds FROM benchmark""")
+def hmac_tags(spark, d):
+    from ..functions import identity
+
+    t = spread(table(spark, d, "benchmark")).select("item_id", identity.tag(b"secret")(F.col("text")).alias("tag"), "text")
+    told = F.when(F.col("item_id") % 3 == 0, F.reverse("tag")).otherwise(F.col("tag"))
+    return t.select("item_id", "tag", identity.tag_holds(b"secret")(F.col("text"), told).alias("holds"))
+
+
+@query("SELECT item_id, sha256(lower(replace(text, 'ß', 'ss'))) AS folded FROM benchmark")
+def folded_texts(spark, d):
+    return spread(table(spark, d, "benchmark")).select("item_id", F.sha2(text.casefold(F.col("text")), 256).alias("folded"))
+
+
+@query("""WITH o AS (SELECT user_id, event_id AS seq, CASE WHEN event_type = 'view' THEN 10 ELSE -10 END AS held, CASE WHEN event_type = 'purchase' THEN 7 WHEN event_type NOT IN ('view', 'purchase') THEN 10 ELSE 0 END AS used FROM events),
+  b AS (SELECT user_id, 1000 + user_id - sum(held + used) OVER (PARTITION BY user_id ORDER BY seq) AS remaining FROM o) SELECT user_id % 4 AS pool, CAST(min(remaining) AS BIGINT) AS remaining FROM b GROUP BY 1""")
+def budget_remaining(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "view", "reserve").when(F.col("event_type") == "purchase", "settle").otherwise("unknown")
+    ops = e.select(F.col("event_id").alias("seq"), F.col("event_id").alias("op_id"), F.col("user_id").alias("level"), F.lit("calls").alias("dim"), kind.alias("kind"), F.lit(10).alias("reserved"), F.lit(7).alias("used"))
+    limits = e.select(F.col("user_id").alias("level")).distinct().select("level", F.lit("calls").alias("dim"), (1000 + F.col("level")).alias("most"))
+    return trace.remaining(trace.ledger(ops, limits).withColumn("pool", F.col("level") % 4), ["pool"])
+
+
+@query("""SELECT conv_id, turn FROM conversations WHERE turn > 0 AND conv_id % 3 = 0 AND turn % 2 = 1""")
+def rewritten_histories(spark, d):
+    """Each turn with all texts before it; every odd turn of some conversations forgets the first."""
+    t = table(spark, d, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = F.collect_list(F.concat_ws(":", "turn", F.md5("text"))).over(w)
+    t = t.select("conv_id", "turn", h.alias("h")).withColumn("h", F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") % 2 == 1), F.concat(F.array(F.lit("x")), F.slice("h", 2, 99))).otherwise(F.col("h")))
+    odd = t.withColumn("rewrites", (F.col("conv_id") % 3 == 0) & (F.col("turn") % 2 == 1))
+    bad = trace.rewritten(odd, ["conv_id"], "turn", "h")
+    return bad.where("rewrites").select("conv_id", "turn")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN (l_quantity - 1) / 40 <= 1 THEN (l_quantity - 1) / 40 END AS strict, least(1.0, (l_quantity - 1) / 40) AS clamped, CASE WHEN l_quantity <= 1 THEN l_quantity END AS plain FROM lineitem""")
+def scaled_scores(spark, d):
+    from ..functions import answers
+
+    q = F.col("l_quantity")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", answers.scaled(q, F.lit(1.0), F.lit(41.0), clamp=False).alias("strict"), answers.scaled(q, F.lit(1.0), F.lit(41.0)).alias("clamped"), answers.as_is(q).alias("plain"))
+
+
+@query()
+def prompt_token_counts(spark, d):
+    """No SQL can tokenise: tests hold it against the library."""
+    import public_tokenizers
+
+    from ..functions import token_counts
+
+    path, m = public_tokenizers.path("byte_bpe_50k.json"), F.col("messages")
+    return chats(spark, d).select("conv_id", token_counts.prompt_tokens(m, path).alias("thinking"), token_counts.prompt_tokens(m, path, thinking=False).alias("plain"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,11 +45,15 @@ def put_blobs(blobs: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def table_digest(df: DataFrame) -> DataFrame:
-    """rows and an order-free digest of a table: the sum of row hashes, twice seeded."""
+def digest_sums(df: DataFrame) -> list[Column]:
+    """rows, a, b: a count and two seeded sums of row hashes, whatever the order of the rows."""
     row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    sums = [F.sum(F.xxhash64(F.lit(i), row).cast("decimal(38,0)")) for i in (1, 2)]
-    return df.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", *[F.coalesce(s.cast("string"), F.lit("0")) for s in sums]), 256).alias("digest"))
+    return [F.count(F.lit(1)).alias("rows"), *[F.sum(F.xxhash64(F.lit(i), row).cast("decimal(38,0)")).alias(n) for i, n in ((1, "a"), (2, "b"))]]
+
+
+def table_digest(df: DataFrame) -> DataFrame:
+    """rows and an order-free digest of a table: the sums of row hashes, twice seeded."""
+    return df.agg(*digest_sums(df)).select("rows", F.sha2(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("a", "b")]), 256).alias("digest"))
 
 
 def export(tables: dict[str, DataFrame], path: str, formats: tuple[str, ...] = ("json", "parquet"), **facts) -> dict:
@@ -74,29 +79,38 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 def clean_and_replace(spark: SparkSession, path: str, keep, apply: bool = False) -> dict:
     """keep(df) -> df: a dry run by default. Applied, the old table is kept as backup, the new one
-    is written aside, read again and compared, and only then put in place."""
+    is written aside, read again and compared (rows and digest, observed while it was written),
+    and only then put in place."""
     before = spark.read.parquet(path)
     after = keep(before)
-    report = {"before": before.count(), "after": after.count(), "applied": False}
-    if apply:
-        mark = uuid.uuid4().hex
-        staged, backup = f"{path}.{mark}.staged", f"{path}.{mark}.backup"
-        after.write.parquet(staged)
-        if not same_rows(spark.read.parquet(staged), after):
-            raise ValueError("the staged copy differs from what was to be written")
-        fs, target = filesystem(spark, path)
-        path_of = spark._jvm.org.apache.hadoop.fs.Path
-        fs.rename(target, path_of(backup))
-        if not fs.rename(path_of(staged), target):
-            fs.rename(path_of(backup), target)
-            raise OSError("replacement failed; the old table is back")
-        report |= {"applied": True, "backup": backup}
-    return report
+    if not apply:
+        return {"before": before.count(), "after": after.count(), "applied": False}
+    mark = uuid.uuid4().hex
+    staged, backup = f"{path}.{mark}.staged", f"{path}.{mark}.backup"
+    told = Observation(f"written-{mark}")
+    after.observe(told, *digest_sums(after)).write.parquet(staged)
+    back = spark.read.parquet(staged)
+    if back.agg(*digest_sums(back)).first().asDict() != told.get:
+        raise ValueError("the staged copy differs from what was to be written")
+    fs, target = filesystem(spark, path)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs.rename(target, path_of(backup))
+    if not fs.rename(path_of(staged), target):
+        fs.rename(path_of(backup), target)
+        raise OSError("replacement failed; the old table is back")
+    return {"before": spark.read.parquet(backup).count(), "after": told.get["rows"], "applied": True, "backup": backup}
+
+
+def place_of(path: str) -> str:
+    """One name for a place, however it is written: with its scheme, absolute, without . and .."""
+    scheme, rest = path.split(":", 1) if re.match(r"[a-zA-Z][\w+.-]*:/", path) else ("file", os.path.abspath(path))
+    host, at = re.match(r"(//[^/]*)?(.*)", rest, re.S).groups()
+    return f"{scheme.lower()}:{(host or '//').lower()}{os.path.normpath('/' + at.lstrip('/'))}".rstrip("/")
 
 
 def guard(output: str, *sources: str) -> None:
     """Refuse to write over, into or around a source."""
-    out = os.path.normpath(output)
-    for s in map(os.path.normpath, sources):
-        if out == s or out.startswith(s + os.sep) or s.startswith(out + os.sep):
+    out = place_of(output)
+    for s in map(place_of, sources):
+        if f"{out}/".startswith(f"{s}/") or f"{s}/".startswith(f"{out}/"):
             raise ValueError(f"{output} would overwrite {s}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text, times
 from millrace.operators import duplicates, flags, lexical, neardup, scorer
 from millrace.session import checkpoints, spread
-from millrace.sources import readers
+from millrace.sources import readers, writers
 from millrace.streaming import streams
 
 
@@ -120,3 +120,45 @@ def test_commits_read_their_own_parts_only(spark, tmp_path):
     commit(spark.range(50), 0)
     commit(spark.range(40, 60), 1)
     assert sorted(r["id"] for r in spark.read.parquet(results).collect()) == list(range(60))
+
+
+def test_prompt_tokens_are_the_library_s(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from millrace.functions import token_counts
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    chats = [[("system", "be kind"), ("user", "ä b  c\n")], [], [("user", None)], None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(chats)], "k int, messages array<struct<role:string,content:string>>")
+    got = df.select("k", token_counts.prompt_tokens(F.col("messages"), path).alias("a"), token_counts.prompt_tokens(F.col("messages"), path, thinking=False).alias("b")).orderBy("k").collect()
+    for r, c in zip(got, chats, strict=True):
+        if c is None:
+            assert r["a"] is None
+            continue
+        said = "".join(f"<|im_start|>{role}\n{text or ''}<|im_end|>\n" for role, text in c) + "<|im_start|>assistant\n"
+        assert (r["a"], r["b"]) == tuple(len(t.encode(said + more, add_special_tokens=False).ids) for more in ("", "<think>\n\n</think>\n\n"))
+
+
+def test_one_place_by_many_names(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    for a, b in (("t/x", "t"), ("t", "t/x"), (f"file:{tmp_path}/t", "./t/../t/"), (f"file://{tmp_path}/t/y", "t"), ("s3a://Bucket/a/./b", "s3a://bucket/a/b/c"), ("/", "t")):
+        with pytest.raises(ValueError, match="overwrite"):
+            writers.guard(a, b)
+    for a, b in (("t", "tt"), ("hdfs://h/t", "file:///t"), ("s3a://one/t", "s3a://two/t"), (f"{tmp_path}/a", "b")):
+        writers.guard(a, b)
+
+
+def test_a_replacement_is_worked_out_once(spark, tmp_path):
+    path, seen = str(tmp_path / "t"), spark.sparkContext.accumulator(0)
+    spark.range(100).selectExpr("id", "cast(id as string) as t").repartition(3).write.parquet(path)
+
+    @F.udf("boolean")
+    def even(x):
+        seen.add(1)
+        return x % 2 == 0
+
+    report = writers.clean_and_replace(spark, path, lambda df: df.where(even("id")), apply=True)
+    assert (report["before"], report["after"], report["applied"], seen.value) == (100, 50, True, 100)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(0, 100, 2))
