@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import canonical, collapsed, is_blank, norm
+from .text import canonical, collapsed, is_blank, nfc, norm
 
 MESSAGE = "struct<role:string,content:string>"
 
@@ -99,14 +99,9 @@ def tag_holds(key: bytes):
 
 
 def nfc_messages(messages: Column) -> Column:
-    """Messages with contents in NFC; texts of ASCII stay as they are."""
-    import unicodedata
-
-    @F.udf(f"array<{MESSAGE}>", useArrow=True)
-    def run(ms):
-        return None if ms is None else [(m["role"], None if m["content"] is None else unicodedata.normalize("NFC", m["content"])) for m in ms]
-
-    return run(messages)
+    """Messages in NFC, whole as JSON: what stands around texts there composes with nothing. Texts
+    of ASCII stay as they are."""
+    return F.from_json(nfc(F.to_json(messages, {"ignoreNullFields": "false"})), f"array<{MESSAGE}>")
 
 
 def lines_unified(source: Column) -> Column:

@@ -1,4 +1,7 @@
-"""Rules on small preference graphs: admission, implied orders, strict cycles, evidence binding."""
+"""Rules on small preference graphs: admission, implied orders, strict cycles, evidence binding.
+
+A suite is written by hand or by one model call and has tens of examples; orders within a suite are
+all its pairs, which is what is asked for. Suites are many and spread over tasks."""
 
 from __future__ import annotations
 

@@ -162,3 +162,15 @@ def test_a_replacement_is_worked_out_once(spark, tmp_path):
     report = writers.clean_and_replace(spark, path, lambda df: df.where(even("id")), apply=True)
     assert (report["before"], report["after"], report["applied"], seen.value) == (100, 50, True, 100)
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(0, 100, 2))
+
+
+def test_messages_in_nfc(spark):
+    import unicodedata
+
+    from millrace.functions import identity
+
+    chats = [[("user", "é ̸\"\\ \n"), ("assistant", None)], [(None, "가̸")], [], None, [("user", "plain")]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(chats)], "k int, m array<struct<role:string,content:string>>")
+    got = [r["m"] for r in df.orderBy("k").select(identity.nfc_messages(F.col("m")).alias("m")).collect()]
+    want = [None if c is None else [(r, None if t is None else unicodedata.normalize("NFC", t)) for r, t in c] for c in chats]
+    assert [None if g is None else [tuple(m) for m in g] for g in got] == want
