@@ -34,6 +34,11 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def in_some(maps: Column, name: str) -> Column:
     return F.exists(maps, lambda e: F.map_contains_key(e, name))
 
@@ -42,14 +47,19 @@ def json_fingerprint(text: Column, paths: list[str]) -> Column:
     """The same hash for a JSON object, row by row, of those of the paths that it has; an array's
     elements all count, and an empty array is a path of its own. Other fields do not count. Null
     where the text is no JSON object or has none of the paths."""
-    v = F.from_json(text, "map<string,string>")
     arrays = sorted({p.split("[].")[0] for p in paths if "[]." in p})
-    elements = {a: F.from_json(F.get_json_object(text, f"$['{a[1:]}']"), "array<map<string,string>>") for a in arrays}
-    has = {p: F.map_contains_key(v, p[1:]) for p in paths if "[]" not in p}
-    has |= {f"{a}[]": F.size(elements[a]) == 0 for a in arrays}
-    has |= {p: in_some(elements[p.split("[].")[0]], p.split("[].")[1]) for p in paths if "[]." in p}
-    found = F.array_compact(F.array(*[F.when(has[p], F.lit(p)) for p in sorted(has)]))
-    return F.when(F.size(found) > 0, F.left(F.sha2(F.array_join(found, "\n"), 256), F.lit(16)))
+    elements = [F.from_json(F.get_json_object(text, f"$['{a[1:]}']"), "array<map<string,string>>").alias(a[1:]) for a in arrays]
+    parsed = F.struct(F.from_json(text, "map<string,string>").alias("whole object"), *elements)
+
+    def has(x: Column, path: str) -> Column:
+        array, _, name = path.partition("[]")
+        if not name:
+            return F.size(x[array[1:]]) == 0 if "[]" in path else F.map_contains_key(x["whole object"], path[1:])
+        return in_some(x[array[1:]], name[1:])
+
+    every = sorted([*paths, *(f"{a}[]" for a in arrays)])
+    found = bound(parsed, lambda x: F.array_compact(F.array(*[F.when(has(x, p), F.lit(p)) for p in every])))
+    return bound(found, lambda f: F.when(F.size(f) > 0, F.left(F.sha2(F.array_join(f, "\n"), 256), F.lit(16))))
 
 
 @dataclass(frozen=True)
@@ -111,14 +121,20 @@ def canonical(df: DataFrame, key: str, layouts: tuple[Layout, ...] = LAYOUTS, js
         layout = next((x for x in layouts if mark in x.keys), None)
         turns = turns_of(layout, lambda n: F.col(f"`{n}`").cast("string"), lambda n: F.col(f"`{n}`")) if layout else F.lit(None).cast(TURNS)
         return df.select(F.col(key), F.lit(layout.name if layout else None).cast("string").alias("layout"), turns.alias("turns"))
-    marked = df.select(F.col(key), F.col(json).alias("__json"), json_fingerprint(F.col(json), known).alias("__mark"))
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for x in reversed(layouts):
-        hit = F.col("__mark").isin(*x.keys)
-        array = lambda n, x=x: F.from_json(F.get_json_object("__json", f"$['{n}']"), f"array<struct<`{x.turns[1]}`:string,`{x.turns[2]}`:string>>")
-        name = F.when(hit, F.lit(x.name)).otherwise(name)
-        turns = F.when(hit, turns_of(x, lambda n: F.get_json_object("__json", f"$['{n}']"), array)).otherwise(turns)
-    return marked.select(key, name.alias("layout"), turns.alias("turns"))
+    text = F.col(json)
+
+    def read(x: Column) -> Column:
+        name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+        for y in reversed(layouts):
+            hit = x["mark"].isin(*y.keys)
+            get = lambda n: F.get_json_object(x["text"], f"$['{n}']")
+            array = lambda n, y=y, get=get: F.from_json(get(n), f"array<struct<`{y.turns[1]}`:string,`{y.turns[2]}`:string>>")
+            name = F.when(hit, F.lit(y.name)).otherwise(name)
+            turns = F.when(hit, turns_of(y, get, array)).otherwise(turns)
+        return F.struct(name.alias("layout"), turns.alias("turns"))
+
+    told = bound(F.struct(text.alias("text"), json_fingerprint(text, known).alias("mark")), read)
+    return df.select(F.col(key), told.alias("__told")).select(key, "__told.layout", "__told.turns")
 
 
 #: Turn tables, one message a row: fingerprints of their columns besides the key, and where they have turn, role and text.
