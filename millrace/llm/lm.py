@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 from math import isqrt
 
 import numpy as np
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 from .common import bucket_bits, by_bucket, group_of, groups_for, in_rounds, kept, packed, ready, spread, text_bytes, unpacked
 from .wordgrid import Grid, grids, mix
 
-#: Pairs that are counted and put in random order at once, and how many a single one may stand for.
-SHUFFLED, HEAVY = 1 << 22, 32
+#: Pairs that are put in random order at once; different pairs that are counted before they are
+#: gone through, and how many a single one may stand for.
+SHUFFLED, DISTINCT, HEAVY = 1 << 20, 5 << 20, 32
 
 #: Units of a message or of a normaliser's task.
 BLOCK = 1024
+FIRST = np.zeros(1, np.int64)
 
 #: Words with counts that a task holds before it sends them.
 HELD = 2 << 20
@@ -227,33 +230,42 @@ def learn(model: np.ndarray, unit_counts: np.ndarray, pairs: Iterable[tuple[np.n
     as_context, as_unit = np.zeros(u), np.zeros(u)
 
     def move(x: np.ndarray, square: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(at, kind="stable")
-        new = np.flatnonzero(np.diff(at[order], prepend=-1))
-        total, rows = np.add.reduceat(gradient[order], new), at[order][new]
-        now = square[rows] + total * total
+        """at: sorted."""
+        new = np.concatenate([FIRST, np.flatnonzero(at[1:] != at[:-1]) + 1])
+        total, rows = np.add.reduceat(gradient, new), at[new]
+        now = square[rows]
+        now += total * total
         square[rows] = now
-        x[rows] -= s.rate * total / np.sqrt(now)
+        np.divide(total, np.sqrt(now, out=now), out=total)
+        total *= s.rate
+        x[rows] -= total
 
+    np.seterr(over="ignore")  # what is beyond exp's range gives 0, as it should
     for h, w, *more in pairs:
         weight = more[0] if more else np.ones(len(h))
         c = (weight / weight.sum()).astype(np.float32)
         n = np.searchsorted(noise_sum, rng.random(s.noise)).clip(max=u - 1)
         rh, qw, qn = r[h], qb[w], qb[n]
         d = np.einsum("ij,ij->i", rh, qw[:, :wide]) + qw[:, wide] - log_noise[w]
-        g = c * (1 / (1 + np.exp(-np.clip(d, -30, 30))) - 1)
+        g = c * (1 / (1 + np.exp(-d)) - 1)
         dn = rh @ qn[:, :wide].T
         dn += qn[:, wide] - log_noise[n]
-        np.clip(np.negative(dn, out=dn), -30, 30, out=dn)
-        np.exp(dn, out=dn)
+        np.exp(np.negative(dn, out=dn), out=dn)
         dn += 1
         gn = np.divide(c[:, None], dn, out=dn)
-        grow = g[:, None] * qw[:, :wide] + gn @ qn[:, :wide]
+        grow = gn @ qn[:, :wide]
+        grow += g[:, None] * qw[:, :wide]
         both = np.concatenate([w, n])
         to_both = np.empty((len(both), wide + 1), np.float32)
         to_both[: len(w), :wide], to_both[: len(w), wide] = g[:, None] * rh, g
         to_both[len(w) :, :wide], to_both[len(w) :, wide] = gn.T @ rh, gn.sum(axis=0)
-        move(qb, qb_squares, both, to_both)
-        move(r, r_squares, h, grow)
+        order = np.argsort(both, kind="stable")
+        move(qb, qb_squares, both[order], to_both[order])
+        if (h[1:] < h[:-1]).any():
+            order = np.argsort(h, kind="stable")
+            move(r, r_squares, h[order], grow[order])
+        else:
+            move(r, r_squares, h, grow)
         np.add.at(as_context, h, weight)
         np.add.at(as_unit, w, weight)
         np.add.at(as_unit, n, 1)
@@ -297,32 +309,43 @@ def in_batches(pairs: Iterable[tuple[np.ndarray, np.ndarray]], passes: int, s: S
         yield from mixed(held)
 
 
-def counted(pairs: Iterable[tuple[np.ndarray, np.ndarray]], units: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """All pairs, some millions at a time: each pair once as a number, with how often it stands
-    there, and how many pairs these are. What is very frequent comes several times, HEAVY pairs at
-    most each."""
-
-    def some(held: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, int]:
-        codes, counts = np.unique(np.concatenate(held), return_counts=True)
-        times = -(-counts // HEAVY)
-        return np.repeat(codes, times), np.repeat(counts / times, times), n
-
-    held, n = [], 0
-    for h, w in pairs:
-        held.append(h * np.int64(units) + w)
-        n += len(h)
-        if n >= SHUFFLED:
-            yield some(held, n)
+def counted(pairs: Iterable[tuple[np.ndarray, np.ndarray]], units: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs, DISTINCT or so at a time: each once as a number, in order, with how often it
+    stands there."""
+    codes, counts, held, n = np.empty(0, np.int64), np.empty(0, np.float32), [], 0
+    for h, w in chain(pairs, [(None, None)]):
+        if h is not None:
+            held.append(h * np.int64(units) + w)
+            n += len(h)
+            if n < SHUFFLED:
+                continue
+        if n:
+            new, times = np.unique(np.concatenate(held), return_counts=True)
             held, n = [], 0
-    if n:
-        yield some(held, n)
+            at = np.searchsorted(codes, new)
+            old = np.zeros(len(new), bool)
+            old[at < len(codes)] = codes[at[at < len(codes)]] == new[at < len(codes)]
+            counts[at[old]] += times[old]
+            codes, counts = np.insert(codes, at[~old], new[~old]), np.insert(counts, at[~old], times[~old])
+        if len(codes) > DISTINCT or (h is None and len(codes)):
+            yield codes, counts
+            codes, counts = codes[:0].copy(), counts[:0].copy()
 
 
 def weighted_batches(pairs: Iterable[tuple[np.ndarray, np.ndarray]], units: int, passes: int, s: Settings, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches for `learn` that stand for about s.batch pairs each; every pair counts once a pass."""
-    for codes, weights, n in counted(pairs, units):
-        for code, weight in in_batches([(codes, weights)], passes, replace(s, batch=max(1, s.batch * len(codes) // n)), rng):
-            yield code // units, code % units, weight
+    """Batches for `learn` that stand for about s.batch pairs each; every pair counts once a pass.
+    What is very frequent comes several times, for HEAVY pairs at most each."""
+    for codes, counts in counted(pairs, units):
+        total = counts.sum(dtype=np.float64)
+        times = np.ceil(counts / HEAVY).astype(np.int32)
+        codes, weights = np.repeat(codes, times), np.repeat(counts / times.astype(np.float32), times)
+        order = rng.permutation(len(codes)).astype(np.int32)
+        codes, weights = codes[order], weights[order]
+        some = replace(s, batch=max(1, int(s.batch * len(codes) / total)))
+        for code, weight in in_batches(((codes[a : a + SHUFFLED], weights[a : a + SHUFFLED]) for a in range(0, len(codes), SHUFFLED)), passes, some, rng):
+            near = np.argsort(code)  # each context's pairs side by side
+            code = code[near]
+            yield code // units, code % units, weight[near]
 
 
 def trained(docs: DataFrame, v: Vocabulary, s: Settings) -> np.ndarray:
