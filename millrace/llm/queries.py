@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lm, mixing, packing, quality, substring, tokens, topk, urls
+from . import chat, jaccard, leaders, lm, mixing, packing, quality, substring, tokens, topk, urls
 from .common import table
 
 #: (host, path, verdict)
@@ -157,6 +157,36 @@ k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FRO
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
 """
 
+
+
+def op12_leader_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaders.leader_changes(*(table(spark, sf_dir, t) for t in ("sale_lines", "items", "vendors")))
+
+
+OP12_SQL = """
+WITH RECURSIVE crc(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
+t AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+h AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(concat(sale_id, ',', item_id, ',', vendor_id, ',', line_no), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8))) AS h FROM sale_lines, t),
+s AS (SELECT *, coalesce(datediff('day', DATE '1970-01-01', CAST(shipped_at AS DATE)), 19723 + h % 150) AS s FROM h),
+a AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM s),
+l AS (SELECT nation_id, i.item_id, a, s, least(12, 1 + CAST(floor((a - 19723) * 12 / 180) AS BIGINT)) AS b,
+  CASE WHEN flag = 'returned' THEN -1 ELSE 1 END * coalesce(floor(100 * amount + 0.5), quantity * floor(100 * price + 0.5), 0) AS cents
+  FROM a LEFT JOIN items i USING (item_id) LEFT JOIN vendors v USING (vendor_id)),
+newest AS (SELECT b, max(max(s)) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM l GROUP BY b),
+d AS (SELECT nation_id, item_id, a, any_value(l.b) AS b, sum(cents) AS delta FROM l JOIN newest n ON n.b = l.b
+  WHERE nation_id IS NOT NULL AND item_id IS NOT NULL AND (n.s IS NULL OR l.s + 8 >= n.s) GROUP BY nation_id, item_id, a),
+r AS (SELECT *, sum(delta) OVER (PARTITION BY nation_id, item_id ORDER BY a) AS revenue, lead(a) OVER (PARTITION BY nation_id, item_id ORDER BY a) AS til FROM d),
+days AS (SELECT nation_id, a AS day, any_value(b) AS b, row_number() OVER (PARTITION BY nation_id ORDER BY a) AS n FROM d GROUP BY nation_id, a),
+x AS (SELECT r.nation_id, item_id, day, days.b, n, revenue FROM r JOIN days ON r.nation_id = days.nation_id AND a <= day AND (til IS NULL OR day < til)),
+k AS (SELECT *, row_number() OVER (PARTITION BY nation_id, n ORDER BY revenue DESC, item_id) AS k FROM x WHERE revenue > 0 QUALIFY k <= 10),
+c AS (SELECT coalesce(o.nation_id, k.nation_id) AS nation_id, coalesce(o.n + 1, k.n) AS n, coalesce(o.item_id, k.item_id) AS item_id, o.k AS old_rank, k.k AS new_rank
+  FROM k FULL JOIN k o ON o.nation_id = k.nation_id AND o.item_id = k.item_id AND o.n + 1 = k.n)
+SELECT c.nation_id, CAST(x.day AS BIGINT) AS arrival_day, c.item_id, CAST(x.b AS INTEGER) AS batch, CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change,
+  CAST(old_rank AS INTEGER) AS old_rank, CAST(new_rank AS INTEGER) AS new_rank, CAST(revenue AS BIGINT) AS revenue
+FROM c JOIN x ON x.nation_id = c.nation_id AND x.n = c.n AND x.item_id = c.item_id WHERE old_rank IS DISTINCT FROM new_rank
+"""
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_mix_sources": op2_mix_sources,
@@ -168,5 +198,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_count_tokens": op9_count_tokens,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_leader_changes": op12_leader_changes,
 }
-ORACLES = {"op1_top_k": OP1_SQL, "op4_filter_urls": OP4_SQL, "op5_format_chat": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op8_quality_rules": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES = {"op1_top_k": OP1_SQL, "op4_filter_urls": OP4_SQL, "op5_format_chat": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op8_quality_rules": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op12_leader_changes": OP12_SQL}
