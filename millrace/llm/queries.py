@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, leaders, lm, mixing, packing, quality, substring, tokens, topk, urls
+from . import chat, jaccard, leaders, lm, mixing, packing, quality, repair, substring, tokens, topk, urls
 from .common import table
 
 #: (host, path, verdict)
@@ -163,11 +163,18 @@ def op12_leader_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaders.leader_changes(*(table(spark, sf_dir, t) for t in ("sale_lines", "items", "vendors")))
 
 
-OP12_SQL = """
-WITH RECURSIVE crc(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
-t AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
-h AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(concat(sale_id, ',', item_id, ',', vendor_id, ',', line_no), ''), lambda x: CAST(ascii(x) AS BIGINT))),
-  lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8))) AS h FROM sale_lines, t),
+#: DuckDB has no crc32: its table, and the sum of a string of ASCII characters.
+CRC_TABLE = """WITH RECURSIVE crc(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)))"
+
+
+OP12_SQL = f"""
+{CRC_TABLE},
+h AS (SELECT *, {crc_sql("concat(sale_id, ',', item_id, ',', vendor_id, ',', line_no)")} AS h FROM sale_lines, crc_table),
 s AS (SELECT *, coalesce(datediff('day', DATE '1970-01-01', CAST(shipped_at AS DATE)), 19723 + h % 150) AS s FROM h),
 a AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM s),
 l AS (SELECT nation_id, i.item_id, a, s, least(12, 1 + CAST(floor((a - 19723) * 12 / 180) AS BIGINT)) AS b,
@@ -187,6 +194,39 @@ SELECT c.nation_id, CAST(x.day AS BIGINT) AS arrival_day, c.item_id, CAST(x.b AS
 FROM c JOIN x ON x.nation_id = c.nation_id AND x.n = c.n AND x.item_id = c.item_id WHERE old_rank IS DISTINCT FROM new_rank
 """
 
+
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.repair(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", repair.digest(F.col("repaired")).alias("repaired_sha256"))
+
+
+OP13_SQL = rf"""
+{CRC_TABLE},
+z AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS z FROM conversations, crc_table),
+d AS (SELECT conv_id, turn, CASE WHEN z = 4 THEN 'user' ELSE role END AS role, CASE z WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM z, range(2) r(j) WHERE z <> 0 AND (j = 0 OR z = 3)),
+o AS (SELECT *, row_number() OVER w AS i, lag(role[1]) OVER w AS before FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, CASE WHEN NOT regexp_matches(text, {WORD_SQL}) THEN 'b' WHEN seen > 1 THEN 'd' WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+ins(p, m, letters, put) AS (VALUES (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''), (0, 2, 'I', 'user:' || chr(10)), (1, 2, 'I', 'user:' || chr(10)), (3, 2, 'I', 'user:' || chr(10)), (2, 3, 'I', 'assistant:' || chr(10)),
+  (0, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (3, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 2, 'II', 'assistant:' || chr(10) || 'user:' || chr(10))),
+op(letter, who, m, q, cost) AS (VALUES ('D', '', 0, 0, 4), ('D', '', 1, 1, 4), ('D', '', 2, 2, 4), ('D', '', 3, 3, 4), ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'u', 3, 2, 0), ('K', 'a', 2, 3, 0),
+  ('R', 'user', 0, 2, 3), ('R', 'user', 1, 2, 3), ('R', 'user', 3, 2, 3), ('R', 'assistant', 2, 3, 3)),
+dp(conv_id, i, q, b) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, {{'cost': 0, 'audit': '', 'put': ''}} FROM n
+  UNION ALL
+  SELECT f.conv_id, f.i, op.q, min({{'cost': b.cost + 3 * length(letters) + op.cost + CASE WHEN fault = 't' AND letter <> 'D' THEN 3 ELSE 0 END, 'audit': b.audit || letters || letter,
+    'put': b.put || ins.put || CASE letter WHEN 'D' THEN '' WHEN 'K' THEN role || ':' || text || chr(10) ELSE who || ':' || text || chr(10) END}})
+  FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1 JOIN ins ON ins.p = dp.q JOIN op ON op.m = ins.m AND (letter = 'D' OR (fault NOT IN ('b', 'd') AND (letter = 'R' OR role[1] = who)))
+  GROUP BY f.conv_id, f.i, op.q),
+e AS (SELECT dp.conv_id, min({{'cost': b.cost + 3 * length(letters), 'audit': b.audit || letters, 'put': b.put || ins.put}}) AS b
+  FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.i JOIN ins ON ins.p = dp.q AND ins.m IN (0, 3) GROUP BY dp.conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(b.cost, 0) AS BIGINT) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(b.put[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_mix_sources": op2_mix_sources,
@@ -199,5 +239,6 @@ QUERIES = {
     "op9_count_tokens": op9_count_tokens,
     "op10_substring_dedup": op10_substring_dedup,
     "op12_leader_changes": op12_leader_changes,
+    "op13_repair_conversations": op13_repair_conversations,
 }
-ORACLES = {"op1_top_k": OP1_SQL, "op4_filter_urls": OP4_SQL, "op5_format_chat": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op8_quality_rules": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op12_leader_changes": OP12_SQL}
+ORACLES = {"op1_top_k": OP1_SQL, "op4_filter_urls": OP4_SQL, "op5_format_chat": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op8_quality_rules": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op12_leader_changes": OP12_SQL, "op13_repair_conversations": OP13_SQL}
