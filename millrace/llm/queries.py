@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, leaders, lm, mixing, packing, quality, repair, substring, tokens, topk, urls
+from . import chat, jaccard, leaders, lm, mixing, packing, quality, repair, substring, tokens, topk, toxicity, urls
 from .common import table
 
 #: (host, path, verdict)
@@ -159,6 +159,10 @@ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n
 
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_leader_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaders.leader_changes(*(table(spark, sf_dir, t) for t in ("sale_lines", "items", "vendors")))
 
@@ -238,6 +242,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_count_tokens": op9_count_tokens,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_toxicity": op11_toxicity,
     "op12_leader_changes": op12_leader_changes,
     "op13_repair_conversations": op13_repair_conversations,
 }
