@@ -39,17 +39,21 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+#: JSON strings of any length that fits a row: the reader's own limit would make longer ones null.
+ANY_LENGTH = {"maxStringLen": str((1 << 31) - 1), "maxNestingDepth": "1000"}
+
+
 def in_some(maps: Column, name: str) -> Column:
     return F.exists(maps, lambda e: F.map_contains_key(e, name))
 
 
-def json_fingerprint(text: Column, paths: list[str]) -> Column:
-    """The same hash for a JSON object, row by row, of those of the paths that it has; an array's
-    elements all count, and an empty array is a path of its own. Other fields do not count. Null
-    where the text is no JSON object or has none of the paths."""
+def json_fingerprint(whole: Column, paths: list[str]) -> Column:
+    """The same hash for a JSON object (its fields, as text), row by row, of those of the paths that it
+    has; an array's elements all count, and an empty array is a path of its own. Other fields do
+    not count. Null where there is no object or it has none of the paths."""
     arrays = sorted({p.split("[].")[0] for p in paths if "[]." in p})
-    elements = [F.from_json(F.get_json_object(text, f"$['{a[1:]}']"), "array<map<string,string>>").alias(a[1:]) for a in arrays]
-    parsed = F.struct(F.from_json(text, "map<string,string>").alias("whole object"), *elements)
+    elements = [F.from_json(F.element_at(whole, a[1:]), "array<map<string,string>>", ANY_LENGTH).alias(a[1:]) for a in arrays]
+    parsed = F.struct(whole.alias("whole object"), *elements)
 
     def has(x: Column, path: str) -> Column:
         array, _, name = path.partition("[]")
@@ -127,13 +131,14 @@ def canonical(df: DataFrame, key: str, layouts: tuple[Layout, ...] = LAYOUTS, js
         name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
         for y in reversed(layouts):
             hit = x["mark"].isin(*y.keys)
-            get = lambda n: F.get_json_object(x["text"], f"$['{n}']")
-            array = lambda n, y=y, get=get: F.from_json(get(n), f"array<struct<`{y.turns[1]}`:string,`{y.turns[2]}`:string>>")
+            get = lambda n: F.element_at(x["whole"], n)
+            array = lambda n, y=y, get=get: F.from_json(get(n), f"array<struct<`{y.turns[1]}`:string,`{y.turns[2]}`:string>>", ANY_LENGTH)
             name = F.when(hit, F.lit(y.name)).otherwise(name)
             turns = F.when(hit, turns_of(y, get, array)).otherwise(turns)
         return F.struct(name.alias("layout"), turns.alias("turns"))
 
-    told = bound(F.struct(text.alias("text"), json_fingerprint(text, known).alias("mark")), read)
+    marked = lambda whole: bound(F.struct(whole.alias("whole"), json_fingerprint(whole, known).alias("mark")), read)
+    told = bound(F.from_json(text, "map<string,string>", ANY_LENGTH), marked)
     return df.select(F.col(key), told.alias("__told")).select(key, "__told.layout", "__told.turns")
 
 
@@ -175,8 +180,12 @@ def role_of(text: Column) -> Column:
 
 
 def rows_of(folded: DataFrame, key: str) -> DataFrame:
-    """Canonical turns as one row a turn."""
-    return folded.select(F.col(key), F.posexplode("turns").alias("turn", "m")).select(key, F.col("turn").cast("long").alias("turn"), F.col("m.role").alias("role"), F.col("m.text").alias("text"))
+    """Canonical turns as one row a turn. A record of unknown layout is one row without turn, role
+    and text, so that its key does not get lost."""
+    known = F.col("turns").isNotNull()
+    none = F.array(F.struct(F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text")))
+    each = folded.select(F.col(key), known.alias("known"), F.posexplode(F.coalesce("turns", none)).alias("turn", "m"))
+    return each.select(key, F.when(F.col("known"), F.col("turn").cast("long")).alias("turn"), F.col("m.role").alias("role"), F.col("m.text").alias("text"))
 
 
 def format_rows(rows: DataFrame, key: str = "conv_id", trained: tuple[str, ...] = ("assistant",)) -> DataFrame:

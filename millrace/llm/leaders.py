@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import ready
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FEED = "nation_id int, item_id long, day int, s int, cents double"
 CHANGES = "nation_id int, arrival_day long, item_id long, batch int, change string, old_rank int, new_rank int, revenue long"
 
@@ -94,53 +93,67 @@ def best(rows: DataFrame, by: list[str], money: str, n: int, name: str = "rank")
     return rows.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
-def board_changes(closing: DataFrame, deltas: DataFrame, untouched: DataFrame | None, batch: int, top: int, small: bool) -> tuple[DataFrame, DataFrame]:
-    """The changes of rank within a batch, and a frame that they use twice, to be released after.
+def held_revenues(closing: DataFrame, deltas: DataFrame) -> DataFrame:
+    """How each item that a batch touched stood in it: a row for each day that changes it, with the
+    revenue after, until which day that holds, whether it is the first, what it opened with, and the
+    lowest and highest of all of these.
 
-    closing: nation_id, item_id, revenue after the batch, of the items that it touched. deltas: what
-    it adds to them, by day. untouched: the same columns as closing, of the best other items. An
-    item's revenue holds from a day (the opening one from BEFORE) to the next one that changes it.
+    closing: nation_id, item_id, revenue after the batch. deltas: what each day of it adds.
     """
     key = ["nation_id", "item_id"]
     by = Window.partitionBy(*key)
     w = by.orderBy("day")
     moved = deltas.join(closing, key).withColumn("opening", F.col("revenue") - F.sum("delta").over(by)).withColumn("after", F.col("opening") + F.sum("delta").over(w))
-    moved = moved.withColumn("until", F.lead("day").over(w)).withColumn("first", F.row_number().over(w) == 1)
-    low = F.least("opening", F.min("after").over(by)).alias("low")
-    high = F.greatest("opening", F.max("after").over(by)).alias("high")
-    moved = moved.select(*key, "day", "until", "opening", "after", "first", low, high)
+    low, high = F.least("opening", F.min("after").over(by)), F.greatest("opening", F.max("after").over(by))
+    return moved.select(*key, "day", F.lead("day").over(w).alias("until"), "opening", "after", (F.row_number().over(w) == 1).alias("first"), low.alias("low"), high.alias("high"))
+
+
+#: Changed ranks of a batch are broadcast up to so many; there are twenty at most for a nation and day.
+MOST_CHANGES = 200_000
+
+
+def board_changes(moved: DataFrame, untouched: DataFrame | None, batch: int, top: int, small: bool, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The changes of rank within a batch.
+
+    moved: `held_revenues`. untouched: nation_id, item_id, revenue of the best other items. A revenue
+    holds from a day (the opening one from BEFORE) to the next that changes it. `keep` stores a
+    frame that is used twice.
+    """
+    key = ["nation_id", "item_id"]
     sides = moved.where("first").select(*key, "low")
-    rest = []
     if untouched is not None:
-        rest = [untouched.select(*key, F.lit(BEFORE).alias("day"), F.lit(None).cast("int").alias("until"), "revenue")]
         sides = sides.unionByName(untouched.select(*key, F.col("revenue").alias("low")))
     floor = best(sides.where("low > 0"), ["nation_id"], "low", top).where(F.col("rank") == top).select("nation_id", F.col("low").alias("floor"))
-    days = deltas.groupBy("nation_id").agg(F.array_sort(F.collect_set("day")).alias("days")).withColumn("days", F.concat(F.array(F.lit(BEFORE)), "days"))
+    days = moved.groupBy("nation_id").agg(F.array_sort(F.collect_set("day")).alias("days")).withColumn("days", F.concat(F.array(F.lit(BEFORE)), "days"))
     nation = days.join(floor, "nation_id", "left").withColumn("next", F.concat(F.slice("days", 2, F.size("days")), F.array(F.lit(None).cast("int"))))
-    nation = nation.select("nation_id", F.arrays_zip("days", "next").alias("days"), F.coalesce("floor", F.lit(0.0)).alias("floor"))
+    nation = keep(nation.select("nation_id", F.arrays_zip("days", "next").alias("days"), F.coalesce("floor", F.lit(0.0)).alias("floor")))
     nation = F.broadcast(nation) if small else nation
     hold = F.array(F.struct(F.col("day"), F.col("until"), F.col("after").alias("revenue")), F.when(F.col("first"), F.struct(F.lit(BEFORE).alias("day"), F.col("day").alias("until"), F.col("opening").alias("revenue"))))
     held = moved.join(nation, "nation_id").where("high > 0 AND high >= floor").select(*key, F.explode(hold).alias("h"), "days").where("h IS NOT NULL").select(*key, "h.*", "days")
-    for r in rest:
-        held = held.unionByName(r.join(nation.select("nation_id", "days"), "nation_id"))
-    held = held.persist()
+    if untouched is not None:
+        rest = untouched.select(*key, F.lit(BEFORE).alias("day"), F.lit(None).cast("int").alias("until"), "revenue")
+        held = held.unionByName(rest.join(nation.select("nation_id", "days"), "nation_id"))
     covered = F.filter("days", lambda d: (d["days"] >= F.col("day")) & (F.col("until").isNull() | (d["days"] < F.col("until"))))
     daily = held.where("revenue > 0").select(*key, "revenue", F.explode(covered).alias("d")).select(*key, "revenue", F.col("d.days").alias("day"), F.col("d.next").alias("next"))
     board = best(daily, ["nation_id", "day"], "revenue", top)
     none = F.lit(None).cast("int")
-    both = board.select(*key, "day", none.alias("old"), F.col("rank").alias("new")).unionByName(board.where("next IS NOT NULL").select(*key, F.col("next").alias("day"), F.col("rank").alias("old"), none.alias("new")))
-    both = both.groupBy(*key, "day").agg(F.max("old").alias("old"), F.max("new").alias("new")).where(f"day > {BEFORE} AND NOT old <=> new")
+    ranks = F.array(F.struct(F.col("day"), none.alias("old"), F.col("rank").alias("new")), F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("day"), F.col("rank").alias("old"), none.alias("new"))))
+    both = board.select(*key, F.explode(ranks).alias("r")).where("r IS NOT NULL").select(*key, "r.*")
+    both = keep(both.groupBy(*key, "day").agg(F.max("old").alias("old"), F.max("new").alias("new")).where(f"day > {BEFORE} AND NOT old <=> new"))
+    both = F.broadcast(both) if both.count() <= MOST_CHANGES else both
     now = held.select(*key, F.col("day").alias("since"), "until", "revenue")
     out = both.join(now, key).where("since <= day AND (until IS NULL OR day < until)")
     change = F.when(F.col("old").isNull(), "enter").when(F.col("new").isNull(), "exit").otherwise("move")
-    out = out.select("nation_id", F.col("day").cast("long").alias("arrival_day"), "item_id", F.lit(batch).alias("batch"), change.alias("change"), F.col("old").alias("old_rank"), F.col("new").alias("new_rank"), F.col("revenue").cast("long").alias("revenue"))
-    return out, held
+    return out.select("nation_id", F.col("day").cast("long").alias("arrival_day"), "item_id", F.lit(batch).alias("batch"), change.alias("change"), F.col("old").alias("old_rank"), F.col("new").alias("new_rank"), F.col("revenue").cast("long").alias("revenue"))
 
 
 def leader_changes(lines: DataFrame, items: DataFrame, vendors: DataFrame, feed: Feed | None = None) -> DataFrame:
     """The change feed of the lines, a row for each item whose rank on its nation's board differs
     from the board before, in the columns of CHANGES.
 
+    The state store is the session's (RocksDB where the pairs of nation and item outgrow the
+    executors' memory: spark.sql.streaming.stateStore.providerClass).
+
     Null keys: a line without a vendor's nation or an item's row counts for the age of its batch
     only. Null or non-finite money falls back to quantity times price, then to 0. Lines given twice
     add twice. Days before the first batch's make batches of their own, numbered from 0 down. Empty
@@ -152,8 +165,7 @@ def leader_changes(lines: DataFrame, items: DataFrame, vendors: DataFrame, feed:
     files = path(top).getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(path(f"{top}/feed"))
     files.deleteOnExit(path(top))
-    rocks = "spark__sql__streaming__stateStore__rocksdb__"
-    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS, spark__sql__streaming__stateStore__unloadOnCommit="true", **{rocks + "changelogCheckpointing__enabled": "true", rocks + "trackTotalNumberOfRows": "false"}, spark__sql__streaming__metricsEnabled="false", spark__sql__streaming__noDataMicroBatches__enabled="false", spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+    with settings(spark, spark__sql__streaming__stateStore__unloadOnCommit="true", spark__sql__streaming__noDataMicroBatches__enabled="false", spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         arrivals(lines, items, vendors, feed).write.partitionBy("batch").parquet(f"{top}/staged")
         staged = spark.read.schema(f"{FEED}, batch int").parquet(f"{top}/staged")
         newest = {r["batch"]: r["s"] for r in staged.groupBy("batch").agg(F.max("s").alias("s")).collect()}  # a row for each batch
@@ -171,18 +183,27 @@ def feed_batch(spark: SparkSession, top: str, batch: int, taken: Column, places:
     """Starts the streaming query on what is new in the feed, and ends it after that batch."""
 
     def work(updated: DataFrame, version: int) -> None:
-        s = updated.sparkSession
-        updated.write.mode("overwrite").parquet(f"{top}/closing")
-        closing = s.read.schema("nation_id int, item_id long, revenue double").parquet(f"{top}/closing")
+        s, used = updated.sparkSession, []
+
+        def put(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{top}/{name}")
+            return s.read.schema(df.schema).parquet(f"{top}/{name}")
+
+        def keep(df: DataFrame) -> DataFrame:
+            used.append(df.persist())
+            return df
+
+        closing = put(updated, "closing")
         deltas = s.read.schema(FEED).parquet(f"{top}/feed/batch={batch}").where(taken).groupBy("nation_id", "item_id", "day").agg(F.sum("cents").alias("delta"))
         leaders = None
         if version:  # the state as the version before this batch left it
             state = s.read.format("statestore").option("batchId", version - 1).load(f"{top}/state")
             state = state.select("key.nation_id", "key.item_id", F.col("value.sum").alias("revenue")).where("revenue > 0")
-            leaders = best(state.join(closing.select("nation_id", "item_id"), ["nation_id", "item_id"], "left_anti"), ["nation_id"], "revenue", places)
-        changes, used = board_changes(closing, deltas, leaders, batch, places, small)
-        changes.write.mode("overwrite").parquet(f"{top}/changes/{batch}")
-        used.unpersist()
+            state = state.join(closing.select("nation_id", "item_id"), ["nation_id", "item_id"], "left_anti")
+            leaders = put(best(state, ["nation_id"], "revenue", places), "leaders")
+        board_changes(keep(held_revenues(closing, deltas)), leaders, batch, places, small, keep).write.mode("overwrite").parquet(f"{top}/changes/{batch}")
+        for df in used:
+            df.unpersist()
 
     stream = spark.readStream.schema(f"{FEED}, batch int").parquet(f"{top}/feed")
     sums = stream.where(taken).groupBy("nation_id", "item_id").agg(F.sum("cents").alias("revenue"))
