@@ -112,12 +112,12 @@ def held_revenues(closing: DataFrame, deltas: DataFrame) -> DataFrame:
 MOST_CHANGES = 200_000
 
 
-def board_changes(moved: DataFrame, untouched: DataFrame | None, batch: int, top: int, small: bool, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def board_changes(moved: DataFrame, untouched: DataFrame | None, batch: int, top: int, small: bool, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The changes of rank within a batch.
 
     moved: `held_revenues`. untouched: nation_id, item_id, revenue of the best other items. A revenue
-    holds from a day (the opening one from BEFORE) to the next that changes it. `keep` stores a
-    frame that is used twice.
+    holds from a day (the opening one from BEFORE) to the next that changes it. `put` stores a
+    frame that is used twice, and reads it again.
     """
     key = ["nation_id", "item_id"]
     sides = moved.where("first").select(*key, "low")
@@ -126,7 +126,7 @@ def board_changes(moved: DataFrame, untouched: DataFrame | None, batch: int, top
     floor = best(sides.where("low > 0"), ["nation_id"], "low", top).where(F.col("rank") == top).select("nation_id", F.col("low").alias("floor"))
     days = moved.groupBy("nation_id").agg(F.array_sort(F.collect_set("day")).alias("days")).withColumn("days", F.concat(F.array(F.lit(BEFORE)), "days"))
     nation = days.join(floor, "nation_id", "left").withColumn("next", F.concat(F.slice("days", 2, F.size("days")), F.array(F.lit(None).cast("int"))))
-    nation = keep(nation.select("nation_id", F.arrays_zip("days", "next").alias("days"), F.coalesce("floor", F.lit(0.0)).alias("floor")))
+    nation = put(nation.select("nation_id", F.arrays_zip("days", "next").alias("days"), F.coalesce("floor", F.lit(0.0)).alias("floor")), "nations")
     nation = F.broadcast(nation) if small else nation
     hold = F.array(F.struct(F.col("day"), F.col("until"), F.col("after").alias("revenue")), F.when(F.col("first"), F.struct(F.lit(BEFORE).alias("day"), F.col("day").alias("until"), F.col("opening").alias("revenue"))))
     held = moved.join(nation, "nation_id").where("high > 0 AND high >= floor").select(*key, F.explode(hold).alias("h"), "days").where("h IS NOT NULL").select(*key, "h.*", "days")
@@ -139,7 +139,7 @@ def board_changes(moved: DataFrame, untouched: DataFrame | None, batch: int, top
     none = F.lit(None).cast("int")
     ranks = F.array(F.struct(F.col("day"), none.alias("old"), F.col("rank").alias("new")), F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("day"), F.col("rank").alias("old"), none.alias("new"))))
     both = board.select(*key, F.explode(ranks).alias("r")).where("r IS NOT NULL").select(*key, "r.*")
-    both = keep(both.groupBy(*key, "day").agg(F.max("old").alias("old"), F.max("new").alias("new")).where(f"day > {BEFORE} AND NOT old <=> new"))
+    both = put(both.groupBy(*key, "day").agg(F.max("old").alias("old"), F.max("new").alias("new")).where(f"day > {BEFORE} AND NOT old <=> new"), "ranks")
     both = F.broadcast(both) if both.count() <= MOST_CHANGES else both
     now = held.select(*key, F.col("day").alias("since"), "until", "revenue")
     out = both.join(now, key).where("since <= day AND (until IS NULL OR day < until)")
@@ -183,16 +183,12 @@ def feed_batch(spark: SparkSession, top: str, batch: int, taken: Column, places:
     """Starts the streaming query on what is new in the feed, and ends it after that batch."""
 
     def work(updated: DataFrame, version: int) -> None:
-        s, used = updated.sparkSession, []
+        s = updated.sparkSession
 
         def put(df: DataFrame, name: str) -> DataFrame:
             df.write.mode("overwrite").parquet(f"{top}/{name}")
             return s.read.schema(df.schema).parquet(f"{top}/{name}")
 
-        def keep(df: DataFrame) -> DataFrame:
-            used.append(df.persist())
-            return df
-
         closing = put(updated, "closing")
         deltas = s.read.schema(FEED).parquet(f"{top}/feed/batch={batch}").where(taken).groupBy("nation_id", "item_id", "day").agg(F.sum("cents").alias("delta"))
         leaders = None
@@ -201,9 +197,8 @@ def feed_batch(spark: SparkSession, top: str, batch: int, taken: Column, places:
             state = state.select("key.nation_id", "key.item_id", F.col("value.sum").alias("revenue")).where("revenue > 0")
             state = state.join(closing.select("nation_id", "item_id"), ["nation_id", "item_id"], "left_anti")
             leaders = put(best(state, ["nation_id"], "revenue", places), "leaders")
-        board_changes(keep(held_revenues(closing, deltas)), leaders, batch, places, small, keep).write.mode("overwrite").parquet(f"{top}/changes/{batch}")
-        for df in used:
-            df.unpersist()
+        moved = put(held_revenues(closing, deltas), "moved")
+        board_changes(moved, leaders, batch, places, small, put).write.mode("overwrite").parquet(f"{top}/changes/{batch}")
 
     stream = spark.readStream.schema(f"{FEED}, batch int").parquet(f"{top}/feed")
     sums = stream.where(taken).groupBy("nation_id", "item_id").agg(F.sum("cents").alias("revenue"))
