@@ -55,7 +55,7 @@ class Settings:
     many, the best supported first; limit: score from which a text is predicted toxic."""
 
     support: int = 6
-    ratio: float = 12.0
+    ratio: float = 8.0
     shortest: int = 3
     longest: int = 12
     terms: int = 20_000
@@ -119,15 +119,14 @@ def log_ratio(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Colum
 
 def lexicon(rows: DataFrame, n_toxic: int, n_clean: int, s: Settings) -> dict[str, float]:
     """Terms and weights. Of a chain of beginnings with the same documents the longest stands for
-    all (so that a term says as much as it can), and of terms in one another the shortest."""
+    all, so that a term says as much as it can; a word counts with its heaviest term only."""
     c = counted(rows, beginnings(s.shortest, s.longest), "string")
     c = c.withColumn("weight", log_ratio(F.col("toxic"), F.col("clean"), n_toxic, n_clean)).where((F.col("toxic") >= s.support) & (F.col("weight") >= math.log(s.ratio)))
     found = {r["item"]: (r["toxic"], r["weight"]) for r in c.orderBy(F.desc("toxic"), "item").limit(s.terms).collect()}
     carried: dict[str, int] = {}
     for t, (n, _) in found.items():
         carried[t[:-1]] = max(carried.get(t[:-1], 0), n)
-    stems = {t for t, (n, _) in found.items() if 10 * carried.get(t, 0) < 9 * n}
-    return {t: found[t][1] for t in sorted(stems) if not any(t[:n] in stems for n in range(1, len(t)))}
+    return {t: w for t, (n, w) in sorted(found.items()) if 10 * carried.get(t, 0) < 9 * n}
 
 
 class Matcher:
