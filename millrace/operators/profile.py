@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import Blocks, beside, joined, quantiles
+
 QUANTILES = (("min", 0.0), ("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("max", 1.0))
 
 
 def summary(df: DataFrame, by: list[str], value: str, prefix: str = "") -> DataFrame:
     """n, mean and exact, linearly interpolated quantiles of each group."""
-    q = F.percentile(value, F.array(*[F.lit(p) for _, p in QUANTILES]))
-    g = df.groupBy(*by).agg(F.count(value).alias(f"{prefix}n"), F.avg(value).alias(f"{prefix}mean"), q.alias("q"))
-    return g.select(*by, f"{prefix}n", f"{prefix}mean", *[F.get("q", i).alias(f"{prefix}{n}") for i, (n, _) in enumerate(QUANTILES)])
+    g = quantiles(df, by, value, [p for _, p in QUANTILES])
+    mean = df.groupBy(*by).agg(F.avg(value).alias(f"{prefix}mean"))
+    return joined(g, mean, by).select(*by, F.col("n").alias(f"{prefix}n"), f"{prefix}mean", *[F.get("q", i).alias(f"{prefix}{n}") for i, (n, _) in enumerate(QUANTILES)])
 
 
 def source_profile(df: DataFrame, source: str, size: str, row: str) -> DataFrame:
     """Per source: the summary of size, its share of rows and of characters, first and last row."""
-    base = summary(df, [source], size)
+    base = beside(summary(df, [source], size), F.sum("n").alias("__rows"))
     more = df.groupBy(source).agg(F.sum(size).alias("chars"), F.min(row).alias("first_row"), F.max(row).alias("last_row"))
-    every = Window.partitionBy()
-    more = more.withColumn("char_share", F.col("chars") / F.sum("chars").over(every))
-    return base.join(more, source).withColumn("fraction", F.col("n") / F.sum("n").over(every))
+    more = beside(more, F.sum("chars").alias("__chars"))
+    both = joined(base, more, [source])
+    return both.withColumn("char_share", F.col("chars") / F.col("__chars")).withColumn("fraction", F.col("n") / F.col("__rows")).drop("__rows", "__chars")
 
 
 def frequencies(df: DataFrame, by: list[str], item: Column) -> DataFrame:
@@ -64,7 +66,12 @@ def rollup(df: DataFrame, by: list[str], size: str) -> DataFrame:
 
 
 def cumulative(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    return df.withColumn("ecdf", F.cume_dist().over(Window.partitionBy(*by).orderBy(value)))
+    """Adds ecdf, the share of its group's rows that are up to each row's value."""
+    c = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    upto = Blocks(c, by, [value]).scan(sums={"__upto": F.col("__n")}).frame()
+    whole = c.groupBy(*by).agg(F.sum("__n").alias("__whole"))
+    share = joined(upto, whole, by).select(*by, value, (F.col("__upto") / F.col("__whole")).alias("ecdf"))
+    return joined(df, share, [*by, value])
 
 
 def page(df: DataFrame, order: list[str], offset: int, n: int) -> DataFrame:

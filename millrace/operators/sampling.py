@@ -40,9 +40,13 @@ def turns(df: DataFrame, within: list[str], stratum: str, *order: Column | str)
 
 
 def round_robin(df: DataFrame, within: list[str], stratum: str, target: int, *order: Column | str) -> DataFrame:
-    """The first `target` rows of each source, round its strata, with their position."""
+    """The first `target` rows of each source, round its strata, with their position. A row of a
+    later turn than `target` has so many before it; ranks are cut in each task before rows meet."""
+    first = Window.partitionBy(*within, stratum).orderBy(*order)
+    d = df.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= target)
     w = Window.partitionBy(*within).orderBy("turn", stratum)
-    return turns(df, within, stratum, *order).withColumn("position", F.row_number().over(w) - 1).where(F.col("position") < target)
+    d = d.withColumn("position", F.row_number().over(w)).where(F.col("position") <= target)
+    return d.withColumn("turn", F.col("turn") - 1).withColumn("position", F.col("position") - 1)
 
 
 def batches(df: DataFrame, source: str, position: str, size: int, need: dict[str, int]) -> DataFrame:

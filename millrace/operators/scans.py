@@ -64,6 +64,12 @@ class Blocks:
         out.rows = rows.select(*self.rows.columns, *[e.alias(n) for n, e in told.items()])
         return out
 
+    def add(self, **columns: Column) -> Blocks:
+        """Adds columns made of a row's own."""
+        out = object.__new__(Blocks)
+        out.keys, out.order, out.rows = self.keys, self.order, self.rows.withColumns(columns)
+        return out
+
     def frame(self) -> DataFrame:
         return self.rows.drop(BLOCK, TIE)
 
@@ -71,3 +77,73 @@ class Blocks:
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, parts: int | None = None) -> DataFrame:
     """Adds each row's number within its key, from 1."""
     return Blocks(df, keys, order, parts).scan(sums={name: F.lit(1).cast("long")}).frame()
+
+
+def joined(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on columns of one name, in which null meets null."""
+    right = right.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"__on_{c}"))
+    return left.join(right, same, how).drop(*[f"__on_{c}" for c in on])
+
+
+def beside(df: DataFrame, *totals: Column) -> DataFrame:
+    """The rows with sums over all of them beside: the one row of sums is joined, no task sees all."""
+    one = df.agg(*totals).withColumn("__one", F.lit(1))
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
+
+
+#: Spans of values with more rows than this are cut into so many bins again; smaller ones are sorted.
+SORTED, BINS = 100_000, 4096
+#: Spans are broadcast up to so many.
+FEW_SPANS = 100_000
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """by, n, q: exact quantiles of each group's numbers, interpolated between the two nearest.
+
+    Each rank that is asked for is narrowed down: a pass counts a span's values in bins and keeps
+    the bins that hold such a rank, until a span has one value only or rows few enough to sort.
+    No task ever holds more than that, or a row for each bin. Nulls and what is no finite number
+    do not count; a group without numbers has n 0 and null quantiles.
+    """
+    by = list(by)
+    base = df.select(*by, F.col(value).alias("__x")).where(F.abs(F.col("__x").cast("double")) < F.lit(float("inf")))
+    size = base.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    place = [(F.col("__n") - 1) * F.lit(float(p)) for p in shares]
+    ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in place for f in (F.floor, F.ceil)]))
+    size = kept(size.withColumn("__ranks", ranks))
+    spans = size.select(*by, "__lo", "__hi", F.lit(0).cast("long").alias("__below"), F.col("__n").alias("__c"), "__ranks")
+    found = []
+    while True:
+        found.append(spans.where("__lo = __hi").select(*by, F.explode("__ranks").alias("__r"), F.col("__lo").alias("__v")))
+        spans = spans.where("__lo < __hi")
+        few, most = spans.agg(F.count("*"), F.coalesce(F.max("__c"), F.lit(0))).first()
+        if not few:
+            break
+        small = F.broadcast(spans) if few <= FEW_SPANS else spans
+        rows = joined(base, small, by).where("__x BETWEEN __lo AND __hi")
+        if most <= SORTED:
+            w = Window.partitionBy(*by, "__lo").orderBy("__x")
+            at = rows.withColumn("__r", F.col("__below") + F.row_number().over(w) - 1).where(F.array_contains("__ranks", F.col("__r")))
+            found.append(at.select(*by, "__r", F.col("__x").alias("__v")))
+            break
+        low, high = F.col("__lo").cast("double"), F.col("__hi").cast("double")
+        share = F.try_divide(F.col("__x").cast("double") / 2 - low / 2, high / 2 - low / 2)  # halves: no overflow
+        bin_ = F.coalesce(F.least(F.lit(BINS - 1), F.floor(share * BINS)), (F.col("__x") > F.col("__lo")).cast("long"))
+        cut = rows.groupBy(*by, "__below", F.col("__lo").alias("__of"), bin_.alias("__bin")).agg(F.first("__ranks").alias("__ranks"), F.count("*").alias("__c"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+        w = Window.partitionBy(*by, "__of").orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cut = cut.withColumn("__below", F.col("__below") + F.sum("__c").over(w) - F.col("__c"))
+        cut = cut.withColumn("__ranks", F.filter("__ranks", lambda r: (r >= F.col("__below")) & (r < F.col("__below") + F.col("__c"))))
+        spans = kept(cut.where(F.size("__ranks") > 0).select(*by, "__lo", "__hi", "__below", "__c", "__ranks"))
+    values = found[0]
+    for f in found[1:]:
+        values = values.unionByName(f)
+    told = values.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__r", "__v"))).alias("__at")) if by else values.agg(F.map_from_entries(F.collect_list(F.struct("__r", "__v"))).alias("__at"))
+    g = joined(size, told, by)
+    at = lambda r: F.element_at("__at", r.cast("long")).cast("double")
+    mixed = [F.when(F.floor(p) == F.ceil(p), at(p)).otherwise((F.ceil(p) - p) * at(F.floor(p)) + (p - F.floor(p)) * at(F.ceil(p))) for p in place]
+    q = g.select(*by, F.col("__n").alias("n"), F.array(*mixed).alias("q"))
+    every = df.select(*by).distinct() if by else df.agg(F.lit(1).alias("__g")).select()
+    return joined(every, q, by, "left").select(*by, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "q")

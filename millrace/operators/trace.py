@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import Blocks, joined
+
 
 def field(name: str, payload: str = "payload") -> Column:
     return F.get_json_object(payload, f"$.{name}")
@@ -87,24 +89,30 @@ def rewritten(df: DataFrame, by: list[str], seq: str, history: str) -> DataFrame
 
 
 def rate(df: DataFrame, by: list[str], seconds: str, span: int) -> DataFrame:
-    """How many rows fall in the span up to each."""
-    w = Window.partitionBy(*by).orderBy(seconds).rangeBetween(-span, 0)
-    return df.withColumn("in_window", F.count("*").over(w))
+    """How many rows fall in the span up to each: the rows up to it less those before the span,
+    both read off one running count over the times and the spans' beginnings."""
+    c = df.groupBy(*by, seconds).agg(F.count("*").alias("__n"))
+    told = c.select(*by, F.col(seconds).alias("__at"), F.lit(1).alias("__kind"), "__n", F.col(seconds).alias("__of"))
+    asked = c.select(*by, (F.col(seconds) - span).alias("__at"), F.lit(0).alias("__kind"), F.lit(0).cast("long").alias("__n"), F.col(seconds).alias("__of"))
+    run = Blocks(told.unionByName(asked), by, ["__at", "__kind"]).scan(sums={"__sum": F.col("__n")}).frame()
+    of = run.groupBy(*by, "__of").agg((F.max(F.when(F.col("__kind") == 1, F.col("__sum"))) - F.max(F.when(F.col("__kind") == 0, F.col("__sum")))).alias("in_window"))
+    return joined(df, of.withColumnRenamed("__of", seconds), [*by, seconds])
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], value: str, least: int = 1) -> DataFrame:
     """Runs of equal values in a row: their first and last place and length."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    d = df.withColumn("new", (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("int"))
-    d = d.withColumn("island", F.sum("new").over(w))
+    d = Blocks(df, by, order).scan(lags={"__was": F.col(value), "__row_before": F.lit(1)})
+    d = d.add(__new=(F.col("__row_before").isNull() | ~F.col(value).eqNullSafe(F.col("__was"))).cast("int")).scan(sums={"island": F.col("__new")}).frame()
     g = d.groupBy(*by, "island", value).agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("length"))
     return g.where(F.col("length") >= least)
 
 
 def breaker(df: DataFrame, by: list[str], order: list[str], failed: str, most: int) -> DataFrame:
-    """Whether so many failures in a row precede each row: the circuit is open."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-most, -1)
-    return df.withColumn("open", (F.count(failed).over(w) == most) & F.coalesce(F.min(F.col(failed).cast("int")).over(w) == 1, F.lit(False)))
+    """Whether so many failures in a row precede each row: the circuit is open. They are the rows
+    since the last one that did not fail."""
+    d = Blocks(df, by, order).scan(sums={"__no": F.lit(1).cast("long")})
+    d = d.scan(maxima={"__good": F.when(F.coalesce(~F.col(failed), F.lit(True)), F.col("__no"))}).scan(lags={"__last": F.col("__good")}).frame()
+    return d.withColumn("open", F.col("__no") - 1 - F.coalesce("__last", F.lit(0)) >= most).drop("__no", "__good", "__last")
 
 
 def ledger(operations: DataFrame, limits: DataFrame) -> DataFrame:
@@ -118,8 +126,7 @@ def ledger(operations: DataFrame, limits: DataFrame) -> DataFrame:
     o = operations.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
     held = F.when(F.col("kind") == "reserve", F.col("reserved")).otherwise(-F.col("reserved"))
     spent = F.when(F.col("kind") == "settle", F.col("used")).when(F.col("kind") == "unknown", F.col("reserved")).otherwise(0)
-    line = Window.partitionBy("level", "dim").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    o = o.withColumn("held", F.sum(held).over(line)).withColumn("consumed", F.sum(spent).over(line))
+    o = Blocks(o, ["level", "dim"], ["seq"]).scan(sums={"held": held, "consumed": spent}).frame()
     return o.join(limits, ["level", "dim"], "left").withColumn("remaining", F.col("most") - F.col("held") - F.col("consumed"))
 
 

@@ -653,19 +653,22 @@ def implied_orders(spark, d):
 # Drift
 
 
-@query("""WITH c AS (SELECT lang, count(*) FILTER (n_chars > 1500) AS a, count(*) FILTER (n_chars <= 1500) AS b FROM documents GROUP BY lang), s AS (SELECT *, a / sum(a) OVER () AS p, b / sum(b) OVER () AS q, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c)
+@query("""WITH c AS (SELECT lang, count(*) FILTER (n_chars > 1500) AS a, count(*) FILTER (n_chars <= 1500) AS b FROM documents GROUP BY lang), s AS (SELECT *, a / sum(a) OVER () AS p, b / sum(b) OVER () AS q, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c), g AS (
   SELECT CAST(round(sum(abs(p - q)) / 2 * 1e9) AS BIGINT) AS tv, CAST(round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END / 2 + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END / 2) * 1e9) AS BIGINT) AS js,
-  CAST(round(sum((a - (a + b) * na / (na + nb)) ** 2 / ((a + b) * na / (na + nb)) + (b - (a + b) * nb / (na + nb)) ** 2 / ((a + b) * nb / (na + nb))) * 1e6) AS BIGINT) AS chi, count(*) - 1 AS dof FROM s""")
+  CAST(round(sum((a - (a + b) * na / (na + nb)) ** 2 / ((a + b) * na / (na + nb)) + (b - (a + b) * nb / (na + nb)) ** 2 / ((a + b) * nb / (na + nb))) * 1e6) AS BIGINT) AS chi,
+    sum((a - (a + b) * na / (na + nb)) ** 2 / ((a + b) * na / (na + nb)) + (b - (a + b) * nb / (na + nb)) ** 2 / ((a + b) * nb / (na + nb))) / 2 AS x, count(*) - 1 AS dof FROM s)
+  SELECT tv, js, chi, dof, CAST(round(1e9 * (1 - list_sum(list_transform(range(0, 400), lambda i: exp(-x + (dof / 2 + i) * ln(x) - lgamma(dof / 2 + i + 1)))))) AS BIGINT) AS p FROM g""")
 def tv_js_drift(spark, d):
     t = drift.distances(docs(spark, d), "lang", F.col("n_chars") > 1500)
-    return t.select(*[F.round(F.col(c) * m).cast("long").alias(n) for c, n, m in (("total_variation", "tv", 1e9), ("js_bits", "js", 1e9), ("chi_square", "chi", 1e6))], "dof")
+    return t.select(*[F.round(F.col(c) * m).cast("long").alias(n) for c, n, m in (("total_variation", "tv", 1e9), ("js_bits", "js", 1e9), ("chi_square", "chi", 1e6), ("p", "p", 1e9))], "dof")
 
 
 @query("""WITH c AS (SELECT lang, n_chars, count(*) FILTER (source < 'src3') AS a, count(*) FILTER (source >= 'src3') AS b FROM documents GROUP BY ALL),
   s AS (SELECT lang, a, b, abs(sum(a) OVER w / sum(a) OVER (PARTITION BY lang) - sum(b) OVER w / sum(b) OVER (PARTITION BY lang)) AS d FROM c WINDOW w AS (PARTITION BY lang ORDER BY n_chars))
-  SELECT lang, max(d) AS ks, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b FROM s GROUP BY lang""")
+  , g AS (SELECT lang, max(d) AS ks, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b FROM s GROUP BY lang)
+  SELECT lang, ks, n_a, n_b, CAST(round(1e9 * least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: (-1) ** (k - 1) * exp(-2 * k * k * ks * ks * n_a * n_b / (n_a + n_b))))))) AS BIGINT) AS p FROM g""")
 def ks_by_group(spark, d):
-    return drift.ks(docs(spark, d), ["lang"], "n_chars", F.col("source") < "src3")
+    return drift.ks(docs(spark, d), ["lang"], "n_chars", F.col("source") < "src3").withColumn("p", F.round(F.col("p") * 1e9).cast("long"))
 
 
 # User code and windows
