@@ -38,14 +38,14 @@ def test_each_file_numbers_its_own_lines(spark, tmp_path):
 
 
 def test_user_code_has_little_memory_and_little_output():
-    code, out, err = scorer.run_isolated(["/usr/bin/env", "python3", "-c", "print('x' * 10**6 + 'end')"], "", 30.0, most_output=1000)
-    assert code == 0 and len(out) == 1000 and out.endswith("end\n")
-    import sys
-
-    code, _, err = scorer.run_isolated([sys.executable, "-I", "-c", "x = bytearray(2 << 30)"], "", 30.0)
-    assert code and "MemoryError" in err
-    code, out, _ = scorer.run_isolated([sys.executable, "-I", "-c", "import time; print(input(), flush=True); time.sleep(60)"], "in", 2.0)
-    assert code is None and out == "in\n"
+    r = scorer.run_isolated("print('begin' + 'x' * 10**6)", "", 30.0, most_output=1000)
+    assert r.status == "ok" and len(r.stdout) == 1000 and r.stdout.startswith("begin") and r.stdout_truncated and not r.stderr_truncated
+    r = scorer.run_isolated("x = bytearray(2 << 30)", "", 30.0)
+    assert r.status == "error" and "MemoryError" in r.stderr
+    r = scorer.run_isolated("import time; print(input(), flush=True); time.sleep(60)", "in", 2.0)
+    assert r.status == "timeout" and r.code is None and r.stdout == "in\n"
+    r = scorer.run_isolated("import sys; sys.stderr.write('e' * 9999); sys.exit(3)", "", 30.0, most_output=1000)
+    assert r.status == "output_limit" and r.code == 3
 
 
 def test_rounding_is_of_the_binary_value(spark):
