@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams
-from ..session import spread
+from ..session import kept, spread
 
 #: Words of two letters or digits or more, as is usual for TF-IDF.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -36,15 +36,68 @@ def weights(t: DataFrame, idf_table: DataFrame, key: str, sublinear: bool = True
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def nearest(query: DataFrame, base: DataFrame, key: str, by: str | None = None) -> DataFrame:
-    """Per query row the base row with the largest cosine (ties to the smaller key). Rows meet on
-    shared terms only. `by` restricts pairs to equal groups, given as a column of both."""
+#: Rows of the base in one block of a term's list; longer lists are dealt to as many blocks as they need.
+BLOCK = 20_000
+#: The rarest terms of a query that find its first candidates, and how many of these are worked out.
+RAREST, FIRST = 8, 3
+
+
+def pairs_on(q: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """query, base, dot over the query terms given. A long list lies in blocks by its rows, and a
+    query's term goes to each of them."""
+    q = q.select("query", "qw", *on, F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))).alias("block"))
+    return q.join(b, [*on, "block"]).groupBy("query", "base").agg(F.sum(F.col("qw") * F.col("bw")).alias("dot"))
+
+
+def dots_of(pairs: DataFrame, q: DataFrame, b: DataFrame) -> DataFrame:
+    """pairs with the dot over all terms of q that both have (0 if none)."""
+    each = pairs.select("query", "base").join(q.select("query", "term", "qw"), "query")
+    rest = each.join(b.select("base", "term", "bw"), ["base", "term"]).groupBy("query", "base").agg(F.sum(F.col("qw") * F.col("bw")).alias("rest"))
+    return pairs.join(rest, ["query", "base"], "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+
+
+def bounded(query: DataFrame, base: DataFrame, key: str, by: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(q, b, best): the query's terms with what they and all commoner terms of the query can add at
+    most (`bound`), the base's rows by term and block, and a cosine that each query surely reaches.
+
+    Of commoner terms together no row gets more than the sum of the query's weights times the largest
+    weights in the base, nor more than the length of the query's vector over them.
+    """
     on = ["term"] + ([by] if by else [])
     q = query.select(F.col(key).alias("query"), F.col("w").alias("qw"), *on)
     b = base.select(F.col(key).alias("base"), F.col("w").alias("bw"), *on)
-    dots = q.join(b, on).groupBy("query", "base").agg(F.sum(F.col("qw") * F.col("bw")).alias("cosine"))
+    lists = b.groupBy("term").agg(F.max("bw").alias("most"), F.count("*").alias("df")).withColumn("blocks", F.ceil(F.col("df") / BLOCK).cast("int"))
+    b = b.join(lists.select("term", "blocks"), "term").withColumn("block", F.pmod(F.xxhash64("base"), F.col("blocks")).cast("int")).drop("blocks")
+    q = q.join(lists, "term")
+    w = Window.partitionBy("query").orderBy(F.desc("df"), "term")
+    line = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    q = q.withColumn("bound", F.least(F.sum(F.col("qw") * F.col("most")).over(line), F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(line))))
+    q = kept(q.withColumn("rare", F.row_number().over(Window.partitionBy("query").orderBy("df", F.desc("term")))))
+    first = pairs_on(q.where(F.col("rare") <= RAREST), b, on)
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("dot"), "base"))).where(F.col("n") <= FIRST)
+    best = dots_of(first, q, b).groupBy("query").agg(F.max("rest").alias("best"))
+    return q, b, best
+
+
+def nearest(query: DataFrame, base: DataFrame, key: str, by: str | None = None) -> DataFrame:
+    """Per query row the base row with the largest cosine (ties to the smaller key), exactly; queries
+    that share no term with any base row have none. `by` restricts pairs to equal groups, given as a
+    column of both.
+
+    A query's rarest terms give a cosine to reach. Its common terms, as many as cannot reach that
+    together, then find no candidates: a row that shares only those is not the nearest. They are
+    worked out only for the rows that the other terms find and that may still be the nearest.
+    """
+    on = ["term"] + ([by] if by else [])
+    q, b, best = bounded(query, base, key, by)
+    slack = 1 + 1e-9  # sums in another order differ by less
+    q = kept(q.join(best, "query", "left").withColumn("needed", F.col("best").isNull() | (F.col("bound") * slack >= F.col("best"))))
+    found = pairs_on(q.where("needed"), b, on)
+    limits = q.groupBy("query").agg(F.max("best").alias("best"), F.coalesce(F.max(F.when(~F.col("needed"), F.col("bound"))), F.lit(0.0)).alias("more"))
+    found = found.join(limits, "query").where(F.col("best").isNull() | ((F.col("dot") + F.col("more")) * slack >= F.col("best")))
+    full = dots_of(found, q.where(~F.col("needed")), b).select("query", "base", (F.col("dot") + F.col("rest")).alias("cosine"))
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), "base")
-    return dots.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return full.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
 def near_existing(new: DataFrame, existing: DataFrame, key: str, text: str, threshold: float = 0.85, least: int = 120, most: int = 50_000) -> DataFrame:

@@ -1,6 +1,6 @@
 """The query catalogue with its SQL."""
 
 from . import catalogue  # noqa: I001
-from . import audits  # it adds its queries to the catalogue
+from . import audits, signals  # they add their queries to the catalogue
 
-__all__ = ["audits", "catalogue"]
+__all__ = ["audits", "catalogue", "signals"]

@@ -825,16 +825,15 @@ def budget_remaining(spark, d):
     return trace.remaining(trace.ledger(ops, limits).withColumn("pool", F.col("level") % 4), ["pool"])
 
 
-@query("""SELECT conv_id, turn FROM conversations WHERE turn > 0 AND conv_id % 3 = 0 AND turn % 2 = 1""")
+@query("""SELECT conv_id, turn FROM (SELECT conv_id, turn, turn % 2 = 1 AS odd, lag(turn % 2 = 1) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM conversations) WHERE conv_id % 3 = 0 AND odd <> was""")
 def rewritten_histories(spark, d):
-    """Each turn with all texts before it; every odd turn of some conversations forgets the first."""
+    """Each turn with all texts before it; every odd turn of some conversations forgets the first, so
+    that it and the turn after it do not go on from what was before."""
     t = table(spark, d, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     h = F.collect_list(F.concat_ws(":", "turn", F.md5("text"))).over(w)
-    t = t.select("conv_id", "turn", h.alias("h")).withColumn("h", F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") % 2 == 1), F.concat(F.array(F.lit("x")), F.slice("h", 2, 99))).otherwise(F.col("h")))
-    odd = t.withColumn("rewrites", (F.col("conv_id") % 3 == 0) & (F.col("turn") % 2 == 1))
-    bad = trace.rewritten(odd, ["conv_id"], "turn", "h")
-    return bad.where("rewrites").select("conv_id", "turn")
+    t = t.select("conv_id", "turn", h.alias("h")).withColumn("h", F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") % 2 == 1), F.concat(F.array(F.lit("x")), F.slice("h", 2, F.size("h")))).otherwise(F.col("h")))
+    return trace.rewritten(t, ["conv_id"], "turn", "h").select("conv_id", "turn")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN (l_quantity - 1) / 40 <= 1 THEN (l_quantity - 1) / 40 END AS strict, least(1.0, (l_quantity - 1) / 40) AS clamped, CASE WHEN l_quantity <= 1 THEN l_quantity END AS plain FROM lineitem""")

@@ -17,13 +17,14 @@ def filesystem(spark: SparkSession, path: str):
 
 
 def replace_whole(df: DataFrame, path: str, format: str = "parquet", **options: str) -> None:
-    """Written beside the target, then renamed: readers see the old table or the new one."""
+    """Written beside the target, then put in its place by two renames. Between them no table is
+    there: where readers must never miss it, use `versions.Table`."""
     spark, beside = df.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp"
     df.write.format(format).options(**options).save(beside)
     fs, target = filesystem(spark, path)
     aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.old")
-    if fs.exists(target):
-        fs.rename(target, aside)
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"could not put {path} aside; it is as it was, the new rows are in {beside}")
     if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), target):
         fs.rename(aside, target)
         raise OSError(f"could not put {path} in place")
@@ -35,14 +36,17 @@ def append(df: DataFrame, path: str, compression: str = "zstd") -> None:
 
 
 def put_blobs(blobs: DataFrame, path: str) -> DataFrame:
-    """(bytes) -> stored by digest once; a second put of the same bytes writes nothing."""
+    """(bytes) -> stored by digest once; a second put of the same bytes writes nothing. Of what is
+    stored only the shards that new digests fall into are read, and of these the digests."""
     spark = blobs.sparkSession
-    new = blobs.select(F.sha2("bytes", 256).alias("digest"), "bytes").dropDuplicates(["digest"])
+    new = blobs.select(F.sha2("bytes", 256).alias("digest"), "bytes").withColumn("shard", F.left("digest", F.lit(2))).dropDuplicates(["digest"])
     fs, p = filesystem(spark, path)
     if fs.exists(p):
-        new = new.join(spark.read.parquet(path).select("digest"), "digest", "left_anti")
-    new.withColumn("shard", F.left("digest", F.lit(2))).write.mode("append").partitionBy("shard").parquet(path)
-    return spark.read.parquet(path)
+        shards = [r["shard"] for r in new.select("shard").distinct().collect()]  # 256 at most
+        there = spark.read.schema("digest string, bytes binary, shard string").parquet(path).where(F.col("shard").isin(shards))
+        new = new.join(there.select("shard", "digest"), ["shard", "digest"], "left_anti")
+    new.write.mode("append").partitionBy("shard").parquet(path)
+    return spark.read.schema("digest string, bytes binary, shard string").parquet(path)
 
 
 def digest_sums(df: DataFrame) -> list[Column]:
@@ -94,7 +98,8 @@ def clean_and_replace(spark: SparkSession, path: str, keep, apply: bool = False)
         raise ValueError("the staged copy differs from what was to be written")
     fs, target = filesystem(spark, path)
     path_of = spark._jvm.org.apache.hadoop.fs.Path
-    fs.rename(target, path_of(backup))
+    if not fs.rename(target, path_of(backup)):
+        raise OSError(f"could not put {path} aside; it is as it was, the new rows are in {staged}")
     if not fs.rename(path_of(staged), target):
         fs.rename(path_of(backup), target)
         raise OSError("replacement failed; the old table is back")
