@@ -108,27 +108,34 @@ def damaged(turns: DataFrame) -> DataFrame:
     return t.select("conv_id", "turn", F.when(F.col("draw") == 4, "user").otherwise(F.col("role")).alias("role"), said.alias("text"), F.when(F.col("draw") == 3, 2).otherwise(1).alias("n"))
 
 
+#: Characters of a text that rows of one turn and role are ordered by; then its digest.
+HEAD = 256
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """With conv (conv_id as text, empty for null) and x, the text's digest."""
+    return rows.select("*", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.sha2("text", 256).alias("x"))
+
+
 def faulty(rows: DataFrame) -> DataFrame:
     """Each different row once, with how often it stands there (n), whether it has to go and
-    whether it breaks off. conv is conv_id as text, empty for null."""
-    rows = rows.select("*", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.sha2("text", 256).alias("x"))
-    rows = rows.groupBy("conv", "turn", "role", "x").agg(F.first("conv_id").alias("conv_id"), F.first("text").alias("text"), F.sum("n").cast("long").alias("n"))
-    first = rows.groupBy("conv", "role", "x").agg(F.min(F.struct("turn")).alias("f"))
-    rows = rows.join(first, ["conv", "role", "x"]).drop("x")
+    whether it breaks off. Texts stay behind: x tells which."""
     blank = ~F.rlike("text", F.lit(WORD))
     last = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z", 1)
-    rows = rows.select("*", blank.alias("blank"), (~blank & ~F.col("turn").eqNullSafe(F.col("f.turn"))).alias("again"), (~blank & ~last.isin(".", "!", "?")).alias("cut"))
+    rows = keyed(rows).select("conv", "turn", "role", "x", F.left("text", F.lit(HEAD)).alias("head"), "n", blank.alias("blank"), (~blank & ~last.isin(".", "!", "?")).alias("cut"))
+    rows = rows.groupBy("conv", "turn", "role", "x").agg(*[F.first(c).alias(c) for c in ("head", "blank", "cut")], F.sum("n").cast("long").alias("n"))
+    first = rows.groupBy("conv", "role", "x").agg(F.min(F.struct("turn")).alias("f"))
+    rows = rows.join(first, ["conv", "role", "x"]).withColumn("again", ~F.col("blank") & ~F.col("turn").eqNullSafe(F.col("f.turn"))).drop("f")
     initial = F.substring("role", 1, 1)
     kind = F.concat(F.when(initial.isin("s", "u", "a"), initial).otherwise("-"), (F.col("blank") | F.col("again")).cast("int"), F.col("cut").cast("int"))
-    return rows.select("conv", "conv_id", "turn", "role", "text", "n", "blank", "again", "cut", initial.alias("initial"), kind.alias("kind"))
+    return rows.withColumns({"initial": initial, "kind": kind})
 
 
 def ordered(rows: DataFrame) -> DataFrame:
     """Adds pos, a row's place in its conversation (by turn, nulls first, then role and text), and
     the role's initial before it."""
-    order = ["turn", "role", "text"]
-    b = Blocks(rows, ["conv"], order, deal=["turn", "role", F.substring("text", 1, 64)])
-    return b.scan(sums={"pos": F.lit(1).cast("long")}, lags={"before": F.col("initial")}).frame()
+    b = Blocks(rows, ["conv"], ["turn", "role", "head", "x"])
+    return b.scan(sums={"pos": F.lit(1).cast("long")}, lags={"before": F.col("initial")}).frame().drop("head")
 
 
 def repaired(rows: DataFrame) -> DataFrame:
@@ -150,10 +157,13 @@ def repaired(rows: DataFrame) -> DataFrame:
     return pieces.where("p = 0").groupBy("conv").agg(best.alias("b")).select("conv", "b.*")
 
 
-def edited(rows: DataFrame, plans: DataFrame) -> DataFrame:
-    """conv and its repaired text: `role:text` of each row, joined by newlines."""
+def edited(rows: DataFrame, plans: DataFrame, said: DataFrame) -> DataFrame:
+    """conv and its repaired text: `role:text` of each row, joined by newlines. Only the rows that
+    stay fetch their texts, from `said`."""
     tokens = plans.select("conv", F.posexplode(F.split("plan", "[|]")).alias("at", "token")).withColumn("pos", F.col("at").cast("long") + 1)
-    d = tokens.join(rows.select("conv", "pos", "role", "text"), ["conv", "pos"], "left")
+    d = tokens.join(rows.select("conv", "pos", "turn", "role", "x"), ["conv", "pos"], "left")
+    texts = keyed(said).groupBy("conv", F.col("turn").alias("t_"), "role", "x").agg(F.first("text").alias("text"))
+    d = d.join(texts, (d["conv"] == texts["conv"]) & F.col("turn").eqNullSafe(F.col("t_")) & (d["role"] == texts["role"]) & (d["x"] == texts["x"]), "left").select(d["conv"], "pos", "token", d["role"], "text")
     put = F.replace(F.replace(F.regexp_extract("token", "^[IJ]*", 0), F.lit("I"), F.lit("user:\n")), F.lit("J"), F.lit("assistant:\n"))
     letter = F.regexp_extract("token", "^[IJ]*([DKRS]?)", 1)
     who = F.when(letter == "K", F.col("role")).when(letter == "R", "user").when(letter == "S", "assistant")
@@ -168,13 +178,14 @@ def repair(turns: DataFrame, damage: bool = True) -> DataFrame:
     of every conversation; `damage` applies the contract's damage first.
 
     Null role or text: one space, which is blank; null conv_id: a conversation of its own; null
-    turns come first and leave no gap. Rows of one turn are ordered by role and text; equal rows
+    turns come first and leave no gap. Rows of one turn are ordered by role, by the first HEAD characters of the text and by
+    its sha256; equal rows
     are duplicates. Roles with other initials have to be changed or deleted. Empty and very long
     texts are rows as any other, other columns take no part, and an empty table has no rows.
     """
     ready(turns.sparkSession)
-    rows = damaged(turns) if damage else damaged_not(turns)
-    rows = kept(ordered(faulty(rows)))
+    said = damaged(turns) if damage else damaged_not(turns)
+    rows = kept(ordered(faulty(said)))
     one = lambda c: c.cast("long")
     pair = F.concat("before", "initial")
     illegal = F.when(F.col("before").isNotNull() & ~pair.isin("su", "ua", "au"), 1).otherwise(0) + F.col("n") - 1
@@ -189,7 +200,7 @@ def repair(turns: DataFrame, damage: bool = True) -> DataFrame:
     plans = kept(repaired(rows))
     audits = plans.select("conv", "cost", F.translate("plan", "JS|", "IR").alias("audit"))
     every = turns.select("conv_id").distinct().withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    out = every.join(counts, "conv", "left").join(audits, "conv", "left").join(edited(rows, plans), "conv", "left")
+    out = every.join(counts, "conv", "left").join(audits, "conv", "left").join(edited(rows, plans, said), "conv", "left")
     numbers = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired", F.lit("")).alias("repaired"))
 
