@@ -7,8 +7,9 @@ than in clean ones, weighted by that log ratio. A hit inside an exception phrase
 around hits in clean documents) counts nothing. The sum of a text's weights divided by its number
 of words is turned into a probability by a rising curve fitted on the labelled rows.
 
-What leaves Spark is bounded by parameters: the lexicon, the exceptions and the counts of the bins.
-Counts cover all labelled rows for learning.
+What leaves Spark is bounded by parameters: the lexicon, the exceptions, the counts of the bins, and
+the labels that the model is fitted on, which are drawn by a hash where there are more, and go to
+the documents, whose texts so stay where they are.
 """
 
 from __future__ import annotations
@@ -60,6 +61,7 @@ class Settings:
     longest: int = 12
     terms: int = 20_000
     exceptions: int = 20_000
+    labels: int = 50_000
     limit: float = 0.7
 
 
@@ -233,7 +235,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None
     s, spark = settings or Settings(), ready(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.where(~held).select("doc_id", "text").join(marks, "doc_id").select("text", "toxic")
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.labels)
+    rows = docs.where(~held).select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic")
     rows = kept(rows.mapInArrow(fold_batches, "words string, toxic int"))
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     terms: dict[str, float] = {}
