@@ -41,10 +41,8 @@ def candidate_pairs(f: DataFrame, key: str, threshold: float) -> DataFrame:
     return a.join(b, on).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
 
 
-def near_pairs(df: DataFrame, key: str, text: Column, threshold: float = 0.9) -> DataFrame:
-    """a, b, shared, total: pairs whose shingle sets have Jaccard >= threshold (compared as
-    shared >= threshold * total). All such pairs are rows, so n copies of a text make n squared / 2."""
-    f = kept(features(df, key, text))
+def verified(f: DataFrame, key: str, threshold: float) -> DataFrame:
+    """a, b, shared, total of the candidates among `features` that reach the threshold."""
     sets = f.select(F.col(key).alias("k"), "n", "shingles")
     p = candidate_pairs(f, key, threshold)
     p = p.join(sets.withColumnsRenamed({"k": "a", "n": "an", "shingles": "as"}), "a").join(sets.withColumnsRenamed({"k": "b", "n": "bn", "shingles": "bs"}), "b")
@@ -53,6 +51,33 @@ def near_pairs(df: DataFrame, key: str, text: Column, threshold: float = 0.9) ->
     return p.where(F.col("shared") >= F.lit(threshold) * F.col("total"))
 
 
+def near_pairs(df: DataFrame, key: str, text: Column, threshold: float = 0.9) -> DataFrame:
+    """a, b, shared, total: pairs whose shingle sets have Jaccard >= threshold (compared as
+    shared >= threshold * total). All such pairs are rows, so n copies of a text make n squared / 2;
+    `near_classes` has the same links without them."""
+    return verified(kept(features(df, key, text)), key, threshold)
+
+
+def near_classes(df: DataFrame, key: str, text: Column, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): key, class_id, links of each row with shingles, and a, b, shared, total of
+    near classes, named by their least keys.
+
+    Rows of equal sets (compared by 128 bits of them) are one class, of which one set is compared,
+    so that n copies cost a row each. links counts the other rows that a row is near to: those of
+    its class and all of the classes near to it, as all pairs would tell.
+    """
+    f = features(df, key, text).withColumn("set", F.md5(F.array_join(F.transform("shingles", lambda x: x.cast("string")), ",")))
+    f = kept(f)
+    of = f.groupBy("set").agg(F.min(key).alias("class_id"), F.count("*").alias("size"))
+    one = kept(f.join(of.select(F.col("class_id").alias(key), "set", "size"), [key, "set"], "left_semi").dropDuplicates([key, "set"]))
+    pairs = kept(verified(one, key, threshold))
+    size = of.select(F.col("class_id").alias("b"), "size")
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(size, "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("size").alias("near"))
+    of = of.join(near, "class_id", "left").select("set", "class_id", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    return f.select(key, "set").join(of, "set").select(key, "class_id", "links"), pairs
+
+
 def first_of_each(order: DataFrame, pairs: DataFrame, key: str, rank: str) -> DataFrame:
     """key, accepted, matched: rows in order of rank; a row is turned down if an accepted earlier
     row is near it, and matched names the smallest such key.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import is_blank, redacted
 from .duplicates import consistent_union
@@ -34,8 +35,12 @@ def folded(raw: DataFrame, key: str, body: str, secrets: tuple[str, ...] = ()) -
 
     Usage is the last one told (it is cumulative); an event after [DONE], a server's error and an
     event that is malformed are errors, and a malformed event adds nothing but its model and
-    usage, which come before the choices.
+    usage, which come before the choices. A body may be bytes: those that are no UTF-8 count as
+    U+FFFD and as the first error.
     """
+    binary = raw.schema[body].dataType == T.BinaryType()
+    said = F.col(body).cast("string")
+    raw = raw.select(key, (F.make_valid_utf8(said) if binary else said).alias(body), F.coalesce(~F.is_valid_utf8(said) if binary else F.lit(False), F.lit(False)).alias("__broken"))
     e = events_of(raw, key, body)
     w = Window.partitionBy(key).orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -71,12 +76,12 @@ def folded(raw: DataFrame, key: str, body: str, secrets: tuple[str, ...] = ()) -
         F.max("is_done").alias("done"),
         F.count_if("object").alias("events"),
     )
-    out = raw.select(key).distinct().join(g, key, "left")
+    out = raw.groupBy(key).agg(F.bool_or("__broken").alias("broken")).join(g, key, "left")
     every = lambda name: F.transform("rows", lambda r: r[name])
     joined = {n: redacted(F.coalesce(F.array_join(every(f"_{n}"), ""), F.lit("")), *secrets).alias(n) for n in parts}
     none = F.array().cast("array<string>")
     models = F.coalesce(F.array_distinct(F.filter(every("model"), lambda m: m.isNotNull())), none)
-    errors = F.coalesce(F.flatten(every("errors")), none)
+    errors = F.concat(F.when(F.col("broken"), F.array(F.lit("invalid_utf8"))).otherwise(none), F.coalesce(F.flatten(every("errors")), none))
     return out.select(key, *joined.values(), "finish_reason", "usage", F.coalesce("done", F.lit(False)).alias("done"), F.coalesce("events", F.lit(0)).alias("events"), errors.alias("errors"), models.alias("returned_models"))
 
 

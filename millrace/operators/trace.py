@@ -77,15 +77,16 @@ def latest_state(df: DataFrame, by: list[str], seq: str) -> DataFrame:
 
 def not_rising(df: DataFrame, by: list[str], seq: str, order: str) -> DataFrame:
     """Rows whose number does not rise over the one before."""
-    last = F.lag(seq).over(Window.partitionBy(*by).orderBy(order))
-    return df.withColumn("last", last).where(F.col(seq) <= F.col("last"))
+    return Blocks(df, by, [order]).scan(lags={"last": F.col(seq)}).frame().where(F.col(seq) <= F.col("last"))
 
 
 def rewritten(df: DataFrame, by: list[str], seq: str, history: str) -> DataFrame:
-    """Rows whose history does not start with the history before."""
-    w = Window.partitionBy(*by).orderBy(seq)
-    old = F.lag(history).over(w)
-    return df.withColumn("old", old).where(F.col("old").isNotNull() & ~F.slice(history, 1, F.greatest(F.size("old"), F.lit(1))).eqNullSafe(F.col("old")) & (F.size("old") > 0)).drop("old")
+    """Rows whose history does not start with the history before. Of that one only its length and a
+    digest go on to the next row, which takes the digest of as much of its own."""
+    digest = lambda h: F.sha2(F.to_json(F.struct(h.alias("h"))), 256)
+    d = Blocks(df, by, [seq]).scan(lags={"__size": F.size(history), "__digest": digest(F.col(history))}).frame()
+    begins = digest(F.slice(history, 1, F.greatest("__size", F.lit(1))))
+    return d.where((F.col("__size") > 0) & ~begins.eqNullSafe(F.col("__digest"))).drop("__size", "__digest")
 
 
 def rate(df: DataFrame, by: list[str], seconds: str, span: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import flags, language, scorer, selection
+from ..operators import flags, language, neardup, rollouts, scorer, selection
 from ..session import scratch, table
 from ..sources import versions
 from ..streaming import timed
@@ -249,3 +249,34 @@ def asked_word_counts(spark, d):
 def rounded_values(spark, d):
     q = F.col("l_quantity")
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.rounded(q / 8, 2).alias("hundredths"), text.rounded(-q / 16, 1).alias("tenths"))
+
+
+# Near duplicates by classes
+
+NEAR_SQL = r"""t AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS t FROM documents),
+  s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(t) - 1), lambda i: md5(array_to_string(t[i:i + 2], ' '))[1:16]))) AS s FROM t WHERE len(t) >= 12),
+  g AS (SELECT doc_id, len(s) AS n, unnest(s[1:12]) AS g FROM s),
+  p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n)),
+  j AS (SELECT a, b, len(x.s) + len(y.s) AS m, len(list_intersect(x.s, y.s)) AS shared FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b),
+  l AS (SELECT a, b FROM j WHERE shared >= 0.9 * (m - shared)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l)"""
+
+
+@query(f"""WITH {NEAR_SQL} SELECT s.doc_id, min(s.doc_id) OVER (PARTITION BY s.s) AS class_id, coalesce(n, 0) AS links FROM s LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) c ON c.a = s.doc_id""")
+def near_dup_classes(spark, d):
+    """Each document with its class of equal shingle sets and how many others it is near to."""
+    return neardup.near_classes(docs(spark, d), "doc_id", F.col("text"))[0]
+
+
+# Streams of bytes
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'invalid_utf8' WHEN 1 THEN 'invalid_utf8,malformed_or_unsupported_event' ELSE '' END AS errors, CASE event_id % 3 WHEN 0 THEN 'é' || chr(65533) WHEN 1 THEN '' ELSE 'é' END AS content, true AS done FROM events""")
+def broken_streams(spark, d):
+    """Bodies of bytes, of which some are no UTF-8, in a text or in place of an event."""
+    k = F.col("event_id") % 3
+    head, tail = 'data: {"model":"m","choices":[{"index":0,"delta":{"content":"é', '"}}]}\n\n'
+    part = lambda x: F.encode(F.lit(x), "utf-8")
+    bad = F.unhex(F.lit("FF"))
+    event = F.when(k == 0, F.concat(part(head), bad, part(tail))).when(k == 1, F.concat(part("data: "), bad, part("\n\n"))).otherwise(part(head + tail))
+    f = rollouts.folded(table(spark, d, "events").select("event_id", F.concat(event, part("data: [DONE]\n\n")).alias("body")), "event_id", "body")
+    return f.select("event_id", F.array_join("errors", ",").alias("errors"), "content", "done")

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import envelope
-from millrace.operators import drift, language, lexical, scorer
+from millrace.operators import drift, language, lexical, neardup, rollouts, scorer
 from millrace.sources import versions
 from millrace.streaming import timed
 
@@ -259,3 +259,37 @@ def test_envelopes_of_many_braces_and_deep_nesting():
     assert envelope.envelope('x {"a": {"b": [{"actions": 1}]}} {"c": "{\\"actions\\": 2}"}')[0] == '{"actions":1}'
     assert envelope.envelope('{"say": "{}", "actions": []} trailing }')[0] == '{"actions":[],"say":"{}"}'
     assert envelope.envelope('{"actions": "never')[1] == "string is not closed"
+
+
+# Near duplicates by classes
+
+
+def test_classes_tell_the_links_of_all_pairs(spark):
+    r = random.Random(4)
+    words = [f"t{i}" for i in range(400)]
+    rows = []
+    for i in range(12):
+        text = [r.choice(words) for _ in range(120)]
+        for j in range(6):
+            other = list(text)
+            if j % 3:
+                other[r.randrange(120)] = r.choice(words)
+            rows.append((i * 10 + j, " ".join(other)))
+    df = spark.createDataFrame([*rows, (900, "too short"), (901, None)], "k long, t string")
+    links, pairs = {}, 0
+    for p in neardup.near_pairs(df, "k", F.col("t")).collect():
+        pairs += 1
+        for x in (p["a"], p["b"]):
+            links[x] = links.get(x, 0) + 1
+    members, classes = neardup.near_classes(df, "k", F.col("t"))
+    got = {m["k"]: (m["class_id"], m["links"]) for m in members.collect()}
+    assert {k: n for k, (_, n) in got.items() if n} == links and len(got) == len(rows)
+    texts = dict(rows)
+    assert all(texts[k] == texts[c] and c <= k for k, (c, _) in got.items()) and classes.count() < pairs
+
+
+def test_bytes_that_are_no_text(spark):
+    head, tail = b'data: {"model":"m","choices":[{"index":0,"delta":{"content":"', b'"}}]}\n\ndata: [DONE]\n\n'
+    df = spark.createDataFrame([(1, bytearray(head + "é".encode() + tail)), (2, bytearray(head + b"\xff" + tail)), (3, None)], "k int, body binary")
+    got = {r["k"]: (r["content"], r["errors"], r["done"]) for r in rollouts.folded(df, "k", "body").collect()}
+    assert got == {1: ("é", [], True), 2: ("\ufffd", ["invalid_utf8"], True), 3: ("", [], False)}
