@@ -196,8 +196,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     text, link with nothing; a null key is never a component's name, and documents with null keys
     only meet equal sets. Repeated rows are documents with equal sets. Keys are whole numbers.
 
-    Shingles are 64-bit hashes: sets are compared by 128 bits, n-grams of two documents by the
-    bucket and 40 bits.
+    Shingles are 64-bit hashes: sets are compared by 128 bits, n-grams of two documents by all 64.
     """
     ready(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
