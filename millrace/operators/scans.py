@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import kept
 
@@ -129,8 +130,12 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[flo
             at = rows.withColumn("__r", F.col("__below") + F.row_number().over(w) - 1).where(F.array_contains("__ranks", F.col("__r")))
             found.append(at.select(*by, "__r", F.col("__x").alias("__v")))
             break
-        low, high = F.col("__lo").cast("double"), F.col("__hi").cast("double")
-        share = F.try_divide(F.col("__x").cast("double") / 2 - low / 2, high / 2 - low / 2)  # halves: no overflow
+        less = lambda x, y: F.col(x).cast("double") / 2 - F.col(y).cast("double") / 2  # noqa: E731  halves: no overflow
+        if isinstance(base.schema["__x"].dataType, T.IntegralType):  # differences first: large numbers side by side differ as doubles too
+            exact = lambda x, y: F.coalesce(F.try_subtract(x, y).cast("double") / 2, less(x, y))
+        else:
+            exact = less
+        share = F.try_divide(exact("__x", "__lo"), exact("__hi", "__lo"))
         bin_ = F.coalesce(F.least(F.lit(BINS - 1), F.floor(share * BINS)), (F.col("__x") > F.col("__lo")).cast("long"))
         cut = rows.groupBy(*by, "__below", F.col("__lo").alias("__of"), bin_.alias("__bin")).agg(F.first("__ranks").alias("__ranks"), F.count("*").alias("__c"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
         w = Window.partitionBy(*by, "__of").orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
