@@ -293,3 +293,20 @@ def test_bytes_that_are_no_text(spark):
     df = spark.createDataFrame([(1, bytearray(head + "é".encode() + tail)), (2, bytearray(head + b"\xff" + tail)), (3, None)], "k int, body binary")
     got = {r["k"]: (r["content"], r["errors"], r["done"]) for r in rollouts.folded(df, "k", "body").collect()}
     assert got == {1: ("é", [], True), 2: ("\ufffd", ["invalid_utf8"], True), 3: ("", [], False)}
+
+
+def test_texts_that_share_a_passage_only_are_no_candidates(spark):
+    r = random.Random(8)
+    words = [f"t{i}" for i in range(5000)]
+    passage = " ".join(r.choice(words) for _ in range(100))
+    rows = [(i, passage + " " + " ".join(r.choice(words) for _ in range(100))) for i in range(40)]
+    rows += [(100 + i, t + " end") for i, t in rows[:5]]
+    f = neardup.features(spark.createDataFrame(rows, "k long, t string"), "k", F.col("t")).cache()
+    keys = f.select(F.explode("bottom").alias("g")).groupBy("g").count()
+    assert keys.where("count > 20").count() > 0  # all pairs of 40 texts met here
+    near = {(i, 100 + i) for i in range(5)}
+    name = {bytes(x["set"]): x["k"] for x in f.collect()}
+    got = [tuple(sorted((name[bytes(p["x"])], name[bytes(p["y"])]))) for p in neardup.candidate_pairs(f, 0.9).collect()]
+    assert near <= set(got) and len(got) < 20
+    pairs = neardup.near_pairs(spark.createDataFrame(rows, "k long, t string"), "k", F.col("t")).collect()
+    assert {(p["a"], p["b"]) for p in pairs} == near
