@@ -156,16 +156,18 @@ def answered(calls: DataFrame, responses: DataFrame, within: str, late: str = "0
     return j.select(F.coalesce("call_id", "of").alias("call_id"), "response_id", "call_ts", "response_ts", status.alias("status"), (status == "answered").alias("is_target"))
 
 
-def in_chunks(df: DataFrame, ts: str, n: int) -> list[DataFrame]:
-    """The rows in n spans of time, one after another."""
+def in_chunks(df: DataFrame, ts: str, n: int, whole: str | None = None) -> list[DataFrame]:
+    """The rows in n spans of time, one after another. With `whole`, a unit of date_trunc, no such
+    unit of time (a day, say) is cut in two; some spans may then be empty."""
     low, high = df.agg(F.min(ts), F.max(ts)).first()
     if low is None:
         return [df]
     width = (high - low) / n
     edges = [low + width * i for i in range(1, n)]
+    edges = [F.date_trunc(whole, F.lit(x)) if whole else F.lit(x) for x in edges]
     bounds = [None, *edges, None]
     out = []
     for a, b in zip(bounds, bounds[1:], strict=False):
-        d = df if a is None else df.where(F.col(ts) >= F.lit(a))
-        out.append(d if b is None else d.where(F.col(ts) < F.lit(b)))
+        d = df if a is None else df.where(F.col(ts) >= a)
+        out.append(d if b is None else d.where(F.col(ts) < b))
     return out

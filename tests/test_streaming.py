@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from millrace.streaming import streams
+from millrace.streaming import streams, timed
 
 
 def source(spark, df, path):
@@ -46,3 +46,11 @@ def test_changed_positions(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "position int, digest string")
     b = spark.createDataFrame([(1, "x"), (2, "z")], "position int, digest string")
     assert [r["position"] for r in streams.changed_positions(a, b, "position", "digest").collect()] == [2]
+
+
+def test_chunks_of_whole_days(spark):
+    times = [f"2024-01-0{d} {h}:00:00" for d in (1, 2, 3) for h in ("00", "09", "23")]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp").alias("ts"))
+    days = [[r[0] for r in c.select(F.col("ts").cast("date").cast("string")).collect()] for c in timed.in_chunks(df, "ts", 4, "day")]
+    assert sorted(sum(days, [])) == sorted(t[:10] for t in times)
+    assert all(days[i].count(d) in (0, 3) for i in range(4) for d in set(days[i]))
