@@ -7,24 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions.text import grams
 from ..session import kept, spread
+from .scans import Blocks
 
 #: Words of two letters or digits or more, as is usual for TF-IDF.
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def terms(df: DataFrame, key: str, text: Column, n: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """key, term, tf: word n-grams of the lower-cased text."""
+    """key, term, tf: word n-grams of the lower-cased text, worked out once."""
     w = F.col("__w")
     every = F.flatten(F.array(*[w if k == 1 else grams(w, k) for k in n]))
     split = spread(df.select(F.col(key), text.alias("__text"))).select(key, F.regexp_extract_all(F.lower("__text"), F.lit(WORD), F.lit(0)).alias("__w"))
-    return split.select(key, F.explode(every).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return kept(split.select(key, F.explode(every).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
 
 
 def idf(t: DataFrame, n: int, most: int | None = None) -> DataFrame:
-    """term, idf = ln((1 + n) / (1 + df)) + 1; with `most`, of the terms with the largest counts."""
+    """term, idf = ln((1 + n) / (1 + df)) + 1; with `most`, of the terms with the largest counts, ties
+    to the smaller term. The count where the cut falls is found from how many terms have each, so
+    that only its own terms are put in order, by blocks."""
     g = t.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     if most:
-        g = g.orderBy(F.desc("total"), "term").limit(most)
+        g = kept(g)
+        upto = F.sum("terms").over(Window.orderBy(F.desc("total")))
+        levels = g.groupBy("total").agg(F.count("*").alias("terms")).withColumn("upto", upto)
+        cut = levels.where(F.col("upto") > most).orderBy("upto").first()
+        if cut:
+            last = Blocks(g.where(F.col("total") == cut["total"]), [], ["term"]).scan(sums={"place": F.lit(1)}).frame()
+            room = most - (cut["upto"] - cut["terms"])
+            g = g.where(F.col("total") > cut["total"]).unionByName(last.where(F.col("place") <= room).select(*g.columns))
     return g.select("term", (F.log((1 + F.lit(float(n))) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
@@ -32,8 +42,8 @@ def weights(t: DataFrame, idf_table: DataFrame, key: str, sublinear: bool = True
     """key, term, w: normalised to length 1."""
     tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
     w = t.join(idf_table, "term").withColumn("w", tf * F.col("idf"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.withColumn("norm", norm).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 #: Rows of the base in one block of a term's list; longer lists are dealt to as many blocks as they need.
@@ -62,12 +72,16 @@ def bounded(query: DataFrame, base: DataFrame, key: str, by: str | None = None)
 
     Of commoner terms together no row gets more than the sum of the query's weights times the largest
     weights in the base, nor more than the length of the query's vector over them.
+
+    The base's rows of terms that a query has, and the lists, are written once: each step reads them
+    and none works them out again.
     """
     on = ["term"] + ([by] if by else [])
-    q = query.select(F.col(key).alias("query"), F.col("w").alias("qw"), *on)
-    b = base.select(F.col(key).alias("base"), F.col("w").alias("bw"), *on)
-    lists = b.groupBy("term").agg(F.max("bw").alias("most"), F.count("*").alias("df")).withColumn("blocks", F.ceil(F.col("df") / BLOCK).cast("int"))
-    b = b.join(lists.select("term", "blocks"), "term").withColumn("block", F.pmod(F.xxhash64("base"), F.col("blocks")).cast("int")).drop("blocks")
+    q = kept(query.select(F.col(key).alias("query"), F.col("w").alias("qw"), *on))
+    b = kept(base.select(F.col(key).alias("base"), F.col("w").alias("bw"), *on).join(q.select("term").distinct(), "term", "left_semi"))
+    lists = kept(b.groupBy("term").agg(F.max("bw").alias("most"), F.count("*").alias("df")).withColumn("blocks", F.ceil(F.col("df") / BLOCK).cast("int")))
+    long = F.broadcast(lists.where("blocks > 1").select("term", "blocks"))  # one in BLOCK rows at most
+    b = b.join(long, "term", "left").withColumn("block", F.pmod(F.xxhash64("base"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
     q = q.join(lists, "term")
     w = Window.partitionBy("query").orderBy(F.desc("df"), "term")
     line = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -75,7 +89,7 @@ def bounded(query: DataFrame, base: DataFrame, key: str, by: str | None = None)
     q = kept(q.withColumn("rare", F.row_number().over(Window.partitionBy("query").orderBy("df", F.desc("term")))))
     first = pairs_on(q.where(F.col("rare") <= RAREST), b, on)
     first = first.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("dot"), "base"))).where(F.col("n") <= FIRST)
-    best = dots_of(first, q, b).groupBy("query").agg(F.max("rest").alias("best"))
+    best = dots_of(kept(first), q, b).groupBy("query").agg(F.max("rest").alias("best"))
     return q, b, best
 
 
@@ -95,7 +109,7 @@ def nearest(query: DataFrame, base: DataFrame, key: str, by: str | None = None)
     found = pairs_on(q.where("needed"), b, on)
     limits = q.groupBy("query").agg(F.max("best").alias("best"), F.coalesce(F.max(F.when(~F.col("needed"), F.col("bound"))), F.lit(0.0)).alias("more"))
     found = found.join(limits, "query").where(F.col("best").isNull() | ((F.col("dot") + F.col("more")) * slack >= F.col("best")))
-    full = dots_of(found, q.where(~F.col("needed")), b).select("query", "base", (F.col("dot") + F.col("rest")).alias("cosine"))
+    full = dots_of(kept(found), q.where(~F.col("needed")), b).select("query", "base", (F.col("dot") + F.col("rest")).alias("cosine"))
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), "base")
     return full.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 

@@ -218,6 +218,26 @@ def test_common_terms_find_no_candidates(spark):
     assert all(r["query"] == r["base"] for r in lexical.nearest(q, b, "k").collect())
 
 
+def test_terms_are_worked_out_once(spark):
+    """The plan of the last step has what that step does, and not the terms again for each use."""
+    base, query = vectors(spark, 60, 4), vectors(spark, 20, 5)
+    t = lexical.terms(base, "k", F.col("t"))
+    i = lexical.idf(t, 60)
+    n = lexical.nearest(lexical.weights(lexical.terms(query, "k", F.col("t")), i, "k"), lexical.weights(t, i, "k"), "k")
+    plan = n._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("Exchange") < 20
+
+
+def test_commonest_terms_without_a_sort_of_all(spark):
+    t = spark.createDataFrame([(k, f"t{i}", 1 + i % 3) for k in range(2) for i in range(40)], "k int, term string, tf int")
+    g = t.groupBy("term").agg(F.sum("tf").alias("total"))
+    for most in (5, 13, 14, 30, 40, 50):
+        want = {r["term"] for r in g.orderBy(F.desc("total"), "term").limit(most).collect()}
+        cut = lexical.idf(t, 2, most)
+        assert {r["term"] for r in cut.collect()} == want
+        assert "TakeOrderedAndProject" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
 # p-values
 
 
