@@ -225,27 +225,28 @@ def learn(model: np.ndarray, unit_counts: np.ndarray, pairs: Iterable[tuple[np.n
     unigram = unigram / unigram.sum()
     noise_sum = np.cumsum(unigram)
     log_noise = (np.log(unigram) + np.log(s.noise)).astype(np.float32)
-    # a unit's q and b stand side by side, and so do their sums of squares
-    r, qb, r_squares, qb_squares = model[:, :wide], model[:, wide : 2 * wide + 1], model[:, 2 * wide + 1 : 3 * wide + 1], model[:, 3 * wide + 1 :]
+    # a unit's q and b stand side by side, and so do their sums of squares; each part's rows lie in one piece, as whole rows are copied much faster
+    ends = (0, wide, 2 * wide + 1, 3 * wide + 1, 4 * wide + 2)
+    r, qb, r_squares, qb_squares = parts = [model[:, a:b].copy() for a, b in zip(ends[:-1], ends[1:], strict=True)]
     as_context, as_unit = np.zeros(u), np.zeros(u)
 
     def move(x: np.ndarray, square: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
         """at: sorted."""
         new = np.concatenate([FIRST, np.flatnonzero(at[1:] != at[:-1]) + 1])
         total, rows = np.add.reduceat(gradient, new), at[new]
-        now = square[rows]
+        now = square.take(rows, 0)
         now += total * total
         square[rows] = now
         np.divide(total, np.sqrt(now, out=now), out=total)
         total *= s.rate
-        x[rows] -= total
+        x[rows] = np.subtract(x.take(rows, 0), total, out=total)
 
     np.seterr(over="ignore")  # what is beyond exp's range gives 0, as it should
     for h, w, *more in pairs:
         weight = more[0] if more else np.ones(len(h))
         c = (weight / weight.sum()).astype(np.float32)
         n = np.searchsorted(noise_sum, rng.random(s.noise)).clip(max=u - 1)
-        rh, qw, qn = r[h], qb[w], qb[n]
+        rh, qw, qn = r.take(h, 0), qb.take(w, 0), qb.take(n, 0)
         d = np.einsum("ij,ij->i", rh, qw[:, :wide]) + qw[:, wide] - log_noise[w]
         g = c * (1 / (1 + np.exp(-d)) - 1)
         dn = rh @ qn[:, :wide].T
@@ -260,15 +261,18 @@ def learn(model: np.ndarray, unit_counts: np.ndarray, pairs: Iterable[tuple[np.n
         to_both[: len(w), :wide], to_both[: len(w), wide] = g[:, None] * rh, g
         to_both[len(w) :, :wide], to_both[len(w) :, wide] = gn.T @ rh, gn.sum(axis=0)
         order = np.argsort(both, kind="stable")
-        move(qb, qb_squares, both[order], to_both[order])
+        move(qb, qb_squares, both[order], to_both.take(order, 0))
         if (h[1:] < h[:-1]).any():
             order = np.argsort(h, kind="stable")
-            move(r, r_squares, h[order], grow[order])
+            move(r, r_squares, h[order], grow.take(order, 0))
         else:
             move(r, r_squares, h, grow)
+        weight = weight.astype(np.float64)  # other kinds are added one by one
         np.add.at(as_context, h, weight)
         np.add.at(as_unit, w, weight)
-        np.add.at(as_unit, n, 1)
+        np.add.at(as_unit, n, 1.0)
+    for a, b, part in zip(ends[:-1], ends[1:], parts, strict=True):
+        model[:, a:b] = part
     return np.rint(as_context).astype(np.int64), np.rint(as_unit).astype(np.int64)
 
 
