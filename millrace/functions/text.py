@@ -18,9 +18,19 @@ LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+#: Signs that NFC leaves as they are wherever they stand: Latin with its marks composed, points,
+#: currencies, Cyrillic, kana, Han and Hangul syllables.
+COMPOSED = r"\x00-\u02ff\u0400-\u0482\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3001-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+
+
 @F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def put_together(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+def nfc(text: Column) -> Column:
+    """Only texts with a sign that NFC may change go to Python."""
+    return F.coalesce(put_together(F.when(text.rlike(f"[^{COMPOSED}]"), text)), text)
 
 
 @F.pandas_udf(T.StringType())

@@ -174,3 +174,31 @@ def test_messages_in_nfc(spark):
     got = [r["m"] for r in df.orderBy("k").select(identity.nfc_messages(F.col("m")).alias("m")).collect()]
     want = [None if c is None else [(r, None if t is None else unicodedata.normalize("NFC", t)) for r, t in c] for c in chats]
     assert [None if g is None else [tuple(m) for m in g] for g in got] == want
+
+
+def test_signs_that_nfc_may_change_go_to_python(spark):
+    """No sign that stays in the JVM is changed by NFC, has a combining class or ends a composition."""
+    import re
+    import unicodedata
+
+    from millrace.functions import text
+
+    stays = re.compile(f"[{text.COMPOSED}]")
+    ends = {chr(int(d.split()[1], 16)) for c in range(0x110000) if len((d := unicodedata.decomposition(chr(c))).split()) == 2 and not d.startswith("<")}
+    ends |= {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        if stays.match(c):
+            assert unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and c not in ends, hex(ord(c))
+    rows = ["plain", "für", "für", None, "", "Å", "한", "が", "𝅗𝅥"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "k int, t string")
+    assert {r["k"]: r["n"] for r in df.select("k", text.nfc(F.col("t")).alias("n")).collect()} == {i: x if x is None else unicodedata.normalize("NFC", x) for i, x in enumerate(rows)}
+
+
+def test_parts_grow_with_the_rows(spark, monkeypatch):
+    from millrace import session
+
+    monkeypatch.setattr(session, "PART_ROWS", 10)
+    a = spark.range(200).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    rows, conflicts = duplicates.consistent_union(a, a.withColumn("v", F.when(F.col("k") < 3, "y").otherwise("x")), "k")
+    assert rows.rdd.getNumPartitions() == 40 and rows.count() == 200
+    assert sorted((r["k"], r["versions"]) for r in conflicts.collect()) == [(0, 2), (1, 2), (2, 2)]
