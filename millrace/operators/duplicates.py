@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, is_blank, nfc, norm
+from ..session import dealt
 
 
 def group_audit(df: DataFrame, key: Column, split: str = "split") -> DataFrame:
@@ -120,10 +121,10 @@ def consistent_union(a: DataFrame, b: DataFrame, key: str, apart: tuple[str, ...
     """The union with each key once, and the keys whose rows differ (but for columns `apart`)."""
     every = a.unionByName(b)
     content = F.sha2(F.to_json(F.struct(*[c for c in every.columns if c not in apart]), {"ignoreNullFields": "false"}), 256)
-    every = every.withColumn("__h", content)
-    conflicts = every.groupBy(key).agg(F.countDistinct("__h").alias("versions")).where("versions > 1")
-    order = Window.partitionBy(key).orderBy("__h", *apart)
-    return every.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__h"), conflicts
+    every, order = dealt(every, key).withColumn("__h", F.unhex(content)), Window.partitionBy(key)
+    every = every.withColumn("__n", F.row_number().over(order.orderBy("__h", *apart))).withColumn("__v", F.dense_rank().over(order.orderBy("__h")))
+    conflicts = every.where("__v > 1").groupBy(key).agg(F.max("__v").cast("long").alias("versions"))
+    return every.where("__n = 1").drop("__n", "__v", "__h"), conflicts
 
 
 def one_identity(df: DataFrame, *columns: str) -> DataFrame:

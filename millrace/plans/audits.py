@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, times
 from ..operators import duplicates, flags, graph, lexical, rollouts, scorer, scoring, selection, trace
-from ..session import kept, put_text, scratch, spread, table
+from ..session import dealt, kept, put_text, scratch, spread, table
 from ..sources import readers, writers
 from ..streaming import streams
 from .catalogue import CHAT_SQL, NORM, SEED, WS, chats, docs, draw, query
@@ -414,7 +414,7 @@ LINES_SQL = "n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY
 
 def order_cases(spark, d) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    t, e = table(spark, d, "lineitem").withColumn("e", F.row_number().over(w)), F.col("e")
+    t, e = dealt(table(spark, d, "lineitem"), "l_orderkey").withColumn("e", F.row_number().over(w)), F.col("e")
     name = lambda p, x: F.concat(F.lit(p), x.cast("string"))
     return t.select(
         F.col("l_orderkey").alias("suite"), F.concat_ws("-", "l_orderkey", "e").alias("case_id"), name("i", e % 3).alias("intent"), F.lit("capability").alias("scope"), name("cap", e % 2).alias("cap"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import answers, identity, text
 from ..functions.envelope import extract_envelope
 from ..operators import drift, duplicates, flags, graph, lexical, neardup, profile, rollouts, sampling, scorer, scoring, selection, trace
-from ..session import checkpoints, spread, table
+from ..session import checkpoints, dealt, spread, table
 from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -452,7 +452,7 @@ LINES_SQL = "n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY
 
 def order_lines(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return table(spark, d, "lineitem").withColumn("e", F.row_number().over(w).cast("long"))
+    return dealt(table(spark, d, "lineitem"), "l_orderkey").withColumn("e", F.row_number().over(w).cast("long"))
 
 
 @query(f"""WITH {LINES_SQL}, p AS (SELECT l_orderkey AS k, e, l_quantity / 64 AS v, l_returnflag <> 'R' AS ok, l_linestatus FROM n),

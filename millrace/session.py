@@ -49,6 +49,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
 
 
+#: Rows of a part that `dealt` aims at.
+PART_ROWS = 500_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows by keys, in as many parts as they need: by bytes, short rows that are much alike
+    would come to parts of many millions, which a task sorts in memory."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS))
+    return df.repartition(parts, *keys)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, for tables that go when the application ends."""
     checkpoints(spark)
