@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import draw_key, family_text, group_key, message_json
 from ..functions.text import is_blank
+from ..session import kept
 from .neardup import first_of_each, near_pairs
 from .sampling import held_out, keep_first, turns
 
@@ -122,9 +123,15 @@ def apply_labels(pool: DataFrame, labels: DataFrame, key: str = "gid") -> DataFr
 
 
 def export_rows(pool: DataFrame, members: DataFrame, seed: int, targets: dict[str, int]) -> DataFrame:
-    """The selected rows of each source up to its target, with their source records, in export order."""
+    """The selected rows of each source up to its target, with their source records, in export order.
+    They are chosen without their messages; the largest target, a number, cuts each part's rows."""
     n = F.element_at(F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v))]), F.col("source"))
-    chosen = pool.where("disposition = 'include'").withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("pool_position"))).where(F.col("place") <= n)
+    place = F.row_number().over(Window.partitionBy("source").orderBy("pool_position"))
+    chosen = pool.where("disposition = 'include'").select("gid", "source", "pool_position").withColumn("place", place).where(F.col("place") <= max(targets.values(), default=0)).where(F.col("place") <= n)
+    chosen = kept(chosen)
+    members = members.join(chosen.select("gid"), "gid", "left_semi")
+    whole = pool.where("disposition = 'include'").select("gid", F.col("pool_position").alias("__p"), "messages")
+    chosen = chosen.join(whole, "gid").where(F.col("pool_position").eqNullSafe(F.col("__p")))
     told = members.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("source", "path", "row", "split", "original_id"))).alias("source_records"))
     return chosen.join(told, "gid", "left").select(F.col("gid").alias("sample_id"), F.col("source").alias("data_source"), F.col("messages").alias("prompt"), F.sha2(message_json(F.col("messages")), 256).alias("prompt_sha256"), "source_records").orderBy(draw_key(seed, "export", F.col("sample_id")))
 

@@ -159,13 +159,12 @@ def normalised_rows(spark, d):
   SELECT doc_id::VARCHAR AS sample_id, source AS data_source, sha256('[{{"content":' || to_json(text)::VARCHAR || ',"role":"user"}}]') AS prompt_sha256, CAST(1 + doc_id % 2 AS INTEGER) AS records, CAST(n AS INTEGER) AS place, true AS well FROM c""")
 def labelled_export(spark, d):
     t = docs(spark, d)
-    position = F.row_number().over(Window.orderBy("doc_id"))
-    pool = t.select(F.col("doc_id").cast("string").alias("gid"), "source", selection.user(F.col("text")).alias("messages"), F.lit("pending").alias("disposition"), position.alias("pool_position"))
+    pool = t.select(F.col("doc_id").cast("string").alias("gid"), "source", selection.user(F.col("text")).alias("messages"), F.lit("pending").alias("disposition"), F.col("doc_id").alias("pool_position"))
     labels = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("gid"), F.when(F.col("quality") == 1, "include").otherwise("exclude").alias("decision"))
     pool = selection.apply_labels(pool, labels)
     copies = t.withColumn("row", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 2).cast("int"))))
     members = copies.select(F.col("doc_id").cast("string").alias("gid"), "source", F.lit("p").alias("path"), "row", F.lit("train").alias("split"), F.lit("o").alias("original_id"))
-    rows = selection.export_rows(pool, members, SEED, {"src0": 3, "src1": 2, "src2": 5})
+    rows = kept(selection.export_rows(pool, members, SEED, {"src0": 3, "src1": 2, "src2": 5}))
     checks = selection.export_checks(rows, t.where("doc_id < 0").select(F.col("doc_id").cast("string").alias("gid")))
     well = checks.select(F.forall(F.array(*checks.columns), lambda x: x).alias("well"))
     place = F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit(f'[{SEED},"export","'), "sample_id", F.lit('"]')), 256)))
