@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 TURN, REPLY, NO_THINKING = ("<|im_start|>{role}\n", "{content}<|im_end|>\n"), "<|im_start|>assistant\n", "<think>\n\n</think>\n\n"
 
 
+#: Characters of texts that are encoded at once: an encoding takes hundreds of bytes a token.
+LOT = 1 << 18
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -33,10 +37,17 @@ def token_count(text: Column, vocabulary: str) -> Column:
 
     @F.arrow_udf(T.LongType())
     def run(texts: pa.Array) -> pa.Array:
-        known = [(i, t) for i, t in enumerate(texts.to_pylist()) if t is not None]
         out: list[int | None] = [None] * len(texts)
-        for (i, _), e in zip(known, tokenizer(vocabulary).encode_batch([t for _, t in known], add_special_tokens=False), strict=True):
-            out[i] = len(e.ids)
+        rows, lot, size = [], [], 0
+        for i, x in enumerate(texts):
+            if x.is_valid:
+                rows.append(i)
+                lot.append(x.as_py())
+                size += len(lot[-1])
+            if lot and (size >= LOT or i == len(texts) - 1):
+                for row, e in zip(rows, tokenizer(vocabulary).encode_batch(lot, add_special_tokens=False), strict=True):
+                    out[row] = len(e)
+                rows, lot, size = [], [], 0
         return pa.array(out, pa.int64())
 
     return run(text)
