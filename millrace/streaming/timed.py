@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..session import scratch
+from ..session import PART_ROWS, scratch
 from .streams import STEPS
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State in RocksDB; a commit writes what has changed, and a join's state is one store a part, not four.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
 
 
 @dataclass
@@ -44,28 +49,39 @@ class Feed:
         return self.spark.readStream.schema(self.schema).parquet(f"{self.folder}/in").select(*self.schema.names)
 
 
-def run_once(stream: DataFrame, checkpoint: str, into: str, mode: str = "append", progress: list[int] | None = None) -> None:
+def run_once(stream: DataFrame, checkpoint: str, into: str, mode: str = "append", progress: list[int] | None = None, parts: int | None = None) -> None:
     """One start over all that is new, after which watermarks move on and what they end comes out.
-    Each micro-batch goes to a folder of its own, which a repeated batch writes again."""
+    Each micro-batch goes to a folder of its own, which a repeated batch writes again. A new
+    checkpoint has its state in so many parts, each with files of its own for every micro-batch;
+    an old one keeps its number."""
 
     def put(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{into}/batch={batch}")
 
     spark = stream.sparkSession
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    asked = STATE | ({"spark.sql.shuffle.partitions": str(parts)} if parts else {})
+    before = {k: spark.conf.get(k, None) for k in asked}
     try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
         q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     if progress is not None and q.lastProgress:
         progress.append(sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"]))
 
 
+def parts_for(df: DataFrame) -> int:
+    """Parts of the state of a stream of so many rows: a few for each core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores * max(1, -(-df.count() // (PART_ROWS * cores)))
+
+
 # Episodes
 
 

@@ -358,3 +358,17 @@ def test_texts_that_share_a_passage_only_are_no_candidates(spark):
     assert near <= set(got) and len(got) < 20
     pairs = neardup.near_pairs(spark.createDataFrame(rows, "k long, t string"), "k", F.col("t")).collect()
     assert {(p["a"], p["b"]) for p in pairs} == near
+
+
+def test_state_has_as_many_parts_as_are_asked_for_and_one_store_each(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    calls, responses = timed.Feed(spark, spark.createDataFrame([], "call_id long, ts timestamp").schema), timed.Feed(spark, spark.createDataFrame([], "response_id long, call_id long, ts timestamp").schema)
+    for k in range(2):
+        calls.put(spark.createDataFrame([(k, at + timedelta(days=9 * k))], calls.schema))
+        responses.put(spark.createDataFrame([(10 + k, k, at + timedelta(days=9 * k, minutes=90 * k))], responses.schema))
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        timed.run_once(timed.answered(calls.stream(), responses.stream(), "60 MINUTES"), f"{tmp_path}/cp", f"{tmp_path}/out", "append", calls.progress, 3)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    parts = [p for p in (tmp_path / "cp" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(parts) == 3 and all(not [x for x in p.iterdir() if x.is_dir() and "-" in x.name] for p in parts)
+    assert {(r["call_id"], r["status"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(0, "answered")}
