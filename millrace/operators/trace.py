@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .scans import Blocks, joined
 
 
@@ -145,9 +146,18 @@ def published(entries: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def applicable(entries: DataFrame, tasks: DataFrame, same: list[str], subset: tuple[str, str]) -> DataFrame:
-    """Entries that fit a task: equal digests, and all that the entry needs is there."""
+    """Entries that fit a task: equal digests, and all that the entry needs is there.
+
+    What fits is told once for each two classes, of entries and of tasks with the same digests and
+    list; only rows that fit meet then. A few large classes are dealt over all cores: a task goes to
+    one of the lots of its class, an entry to each. The result may be as large as the product."""
     need, have = subset
-    return entries.join(tasks, same).where(F.size(F.array_except(need, have)) == 0)
+    lots = entries.sparkSession.sparkContext.defaultParallelism
+    fits = entries.select(*same, need).distinct().join(tasks.select(*same, have).distinct(), same).where(F.size(F.array_except(need, have)) == 0)
+    e = entries.join(fits, [*same, need]).withColumn("__lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    t = spread(tasks).withColumn("__lot", F.pmod(F.xxhash64(*tasks.columns), F.lit(lots)).cast("int"))
+    rest = [[c for c in df.columns if c not in same] for df in (entries, tasks)]
+    return e.join(t, [*same, have, "__lot"]).select(*same, *rest[0], *rest[1])
 
 
 def fine_tuning_rows(c: DataFrame, role: str, selected: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:

@@ -316,3 +316,20 @@ def test_hint_text_takes_the_first_message_where_the_last_is_short(spark):
     df = spark.createDataFrame(chats, "k int, messages array<struct<role:string,content:string>>")
     got = {r["k"]: r["t"] for r in df.select("k", flags.hint_text(F.col("messages")).alias("t")).collect()}
     assert got == {0: "last\nfirst", 1: "x" * 4000, 2: "y" * 80, 3: "", 4: "", 5: "", 6: "last", 7: "only\nonly", 8: "\n" + "x" * 4000}
+
+
+def test_entries_of_one_large_class_meet_its_tasks_in_all_parts(spark):
+    entries = spark.range(40).selectExpr("id AS e", "IF(id % 10 = 9, NULL, 'p') AS profile", "IF(id % 10 = 8, NULL, IF(id % 2 = 0, array('a'), array('a', NULL))) AS need")
+    tasks = spark.range(500).selectExpr("id AS t", "IF(id % 7 = 6, NULL, 'p') AS profile", "IF(id % 5 = 0, array('b', 'a'), IF(id % 5 = 1, NULL, array('a', NULL))) AS have")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = trace.applicable(entries, tasks, ["profile"], ("need", "have"))
+        plain = entries.join(tasks, ["profile"]).where(F.size(F.array_except("need", "have")) == 0)
+        assert got.columns == plain.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+        assert got.select(F.spark_partition_id()).distinct().count() > plain.select(F.spark_partition_id()).distinct().count() == 1
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
