@@ -16,7 +16,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
-from itertools import chain
+from functools import cached_property
+from itertools import chain, islice
 from math import isqrt
 
 import numpy as np
@@ -32,6 +33,9 @@ from .wordgrid import Grid, grids, mix
 #: gone through, and how many a single one may stand for.
 SHUFFLED, DISTINCT, HEAVY = 1 << 20, 5 << 20, 32
 
+#: Steps of training that are made ready at once.
+TOGETHER = 64
+
 #: Units of a message or of a normaliser's task.
 BLOCK = 1024
 FIRST = np.zeros(1, np.int64)
@@ -169,8 +173,21 @@ class Vocabulary:
         kind = 1 + len(self.words) + word_classes(grid, s.classes)
         if not len(self.words):
             return kind
-        at = np.minimum(np.searchsorted(self.words, grid.word), len(self.words) - 1)
-        return np.where(self.words[at] == grid.word, 1 + at, kind)
+        begins, low, words = self.begins
+        at = begins[(grid.word >> low).astype(np.int64)]
+        behind = np.flatnonzero(words[at] < grid.word)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[words[at[behind]] < grid.word[behind]]
+        return np.where((words[at] == grid.word) & (at < len(self.words)), 1 + at, kind)
+
+    @cached_property
+    def begins(self) -> tuple[np.ndarray, np.uint64, np.ndarray]:
+        """Where the words of each value of a hash's upper bits begin (a word or none have most), the
+        number of bits below these, and the words with an end that no hash is beyond."""
+        upper = (4 * len(self.words)).bit_length()
+        low = np.uint64(64 - upper)
+        return np.searchsorted(self.words, np.arange(1 << upper, dtype=np.uint64) << low).astype(np.int32), low, np.append(self.words, np.uint64(2**64 - 1))
 
     def unit_counts(self) -> np.ndarray:
         return np.concatenate([[self.texts], self.n, self.class_n])
@@ -216,24 +233,62 @@ def parameters(model: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray,
     return model[:, : s.width], model[:, s.width : 2 * s.width], model[:, 2 * s.width]
 
 
+@dataclass
+class Sums:
+    """How a step's gradients, a row each, become one row a unit: the units, a row of each, and of those
+    with several rows their numbers, all their rows, and where each one's begin there."""
+
+    units: np.ndarray
+    first: np.ndarray
+    several: np.ndarray
+    rest: np.ndarray
+    begins: np.ndarray
+
+    def of(self, gradient: np.ndarray) -> np.ndarray:
+        total = gradient.take(self.first, 0)
+        if len(self.several):
+            total[self.several] = np.add.reduceat(gradient.take(self.rest, 0), self.begins)
+        return total
+
+
+def firsts(code: np.ndarray) -> np.ndarray:
+    """code: sorted. Where each of its values begins, and its length."""
+    return np.concatenate([FIRST, np.flatnonzero(code[1:] != code[:-1]) + 1, [len(code)]])
+
+
+def sums(step: np.ndarray, unit: np.ndarray, place: np.ndarray, units: int, steps: int) -> Iterator[Sums]:
+    """For each of some steps, from each row's step, its unit and its place among the step's rows."""
+    code = step * np.int64(units) + unit
+    order = np.argsort(code)
+    code, place = code[order], place[order]
+    edges = firsts(code)
+    new, size = edges[:-1], np.diff(edges)
+    several = np.flatnonzero(size > 1)
+    rest, begins = place[np.repeat(size > 1, size)], np.concatenate([FIRST, np.cumsum(size[several])])
+    rows, first = code[new] % units, place[new]
+    a = np.searchsorted(code[new], np.arange(steps + 1) * np.int64(units))
+    b = np.searchsorted(several, a)
+    c = begins[b]
+    for i in range(steps):
+        yield Sums(rows[a[i] : a[i + 1]], first[a[i] : a[i + 1]], several[b[i] : b[i + 1]] - a[i], rest[c[i] : c[i + 1]], begins[b[i] : b[i + 1]] - c[i])
+
+
 def learn(model: np.ndarray, unit_counts: np.ndarray, pairs: Iterable[tuple[np.ndarray, ...]], s: Settings, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Noise-contrastive estimation with Adagrad, in place: a step for each batch (units before,
-    units and, where pairs stand for several, their weights). Returns how often each unit took
-    part as context, and as unit or noise."""
+    units and, where pairs stand for several, their weights). Each step draws s.noise noise units; one that it
+    draws several times is scored once, and counts as often. What does not depend on the model is worked out for
+    TOGETHER steps at once. Returns how often each unit took part as context, and as unit or noise."""
     u, wide = len(model), s.width
     unigram = unit_counts + 1.0
     unigram = unigram / unigram.sum()
     noise_sum = np.cumsum(unigram)
     log_noise = (np.log(unigram) + np.log(s.noise)).astype(np.float32)
-    # a unit's q and b stand side by side, and so do their sums of squares; each part's rows lie in one piece, as whole rows are copied much faster
-    ends = (0, wide, 2 * wide + 1, 3 * wide + 1, 4 * wide + 2)
-    r, qb, r_squares, qb_squares = parts = [model[:, a:b].copy() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    # a unit's q and b stand side by side, r and a one beside them; each part's rows lie in one piece, as whole rows are copied much faster
+    one, ends = np.ones((u, 1), np.float32), (0, wide, 2 * wide + 1, 3 * wide + 1, 4 * wide + 2)
+    r, qb, r_squares, qb_squares = parts = [model[:, a:b].copy() if k % 2 else np.concatenate([model[:, a:b], one], axis=1) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
     as_context, as_unit = np.zeros(u), np.zeros(u)
 
-    def move(x: np.ndarray, square: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
-        """at: sorted."""
-        new = np.concatenate([FIRST, np.flatnonzero(at[1:] != at[:-1]) + 1])
-        total, rows = np.add.reduceat(gradient, new), at[new]
+    def move(x: np.ndarray, square: np.ndarray, rows: np.ndarray, total: np.ndarray) -> None:
         now = square.take(rows, 0)
         now += total * total
         square[rows] = now
@@ -242,37 +297,45 @@ def learn(model: np.ndarray, unit_counts: np.ndarray, pairs: Iterable[tuple[np.n
         x[rows] = np.subtract(x.take(rows, 0), total, out=total)
 
     np.seterr(over="ignore")  # what is beyond exp's range gives 0, as it should
-    for h, w, *more in pairs:
-        weight = more[0] if more else np.ones(len(h))
-        c = (weight / weight.sum()).astype(np.float32)
-        n = np.searchsorted(noise_sum, rng.random(s.noise)).clip(max=u - 1)
-        rh, qw, qn = r.take(h, 0), qb.take(w, 0), qb.take(n, 0)
-        d = np.einsum("ij,ij->i", rh, qw[:, :wide]) + qw[:, wide] - log_noise[w]
-        g = c * (1 / (1 + np.exp(-d)) - 1)
-        dn = rh @ qn[:, :wide].T
-        dn += qn[:, wide] - log_noise[n]
-        np.exp(np.negative(dn, out=dn), out=dn)
-        dn += 1
-        gn = np.divide(c[:, None], dn, out=dn)
-        grow = gn @ qn[:, :wide]
-        grow += g[:, None] * qw[:, :wide]
-        both = np.concatenate([w, n])
-        to_both = np.empty((len(both), wide + 1), np.float32)
-        to_both[: len(w), :wide], to_both[: len(w), wide] = g[:, None] * rh, g
-        to_both[len(w) :, :wide], to_both[len(w) :, wide] = gn.T @ rh, gn.sum(axis=0)
-        order = np.argsort(both, kind="stable")
-        move(qb, qb_squares, both[order], to_both.take(order, 0))
-        if (h[1:] < h[:-1]).any():
-            order = np.argsort(h, kind="stable")
-            move(r, r_squares, h[order], grow.take(order, 0))
-        else:
-            move(r, r_squares, h, grow)
-        weight = weight.astype(np.float64)  # other kinds are added one by one
-        np.add.at(as_context, h, weight)
-        np.add.at(as_unit, w, weight)
-        np.add.at(as_unit, n, 1.0)
+    pairs = iter(pairs)
+    while some := list(islice(pairs, TOGETHER)):
+        steps = len(some)
+        h, w = (np.concatenate([x[i] for x in some]) for i in (0, 1))
+        weight = np.concatenate([x[2] if len(x) > 2 else np.ones(len(x[0])) for x in some]).astype(np.float64)
+        at = np.concatenate([FIRST, np.cumsum([len(x[0]) for x in some])])
+        of = np.repeat(np.arange(steps), np.diff(at))
+        c = (weight / np.bincount(of, weight, steps)[of]).astype(np.float32)[:, None]
+        n = np.minimum(np.searchsorted(noise_sum, np.sort(rng.random((steps, s.noise)), axis=1)), u - 1)
+        edges = firsts((n + np.arange(steps)[:, None] * np.int64(u)).ravel())
+        n, noise_of, times = n.ravel()[edges[:-1]], edges[:-1] // s.noise, np.diff(edges)
+        noise_at = np.searchsorted(noise_of, np.arange(steps + 1))
+        as_context += np.bincount(h, weight, u)
+        as_unit += np.bincount(w, weight, u) + np.bincount(n, times, u)
+        times, log_w, log_n = times.astype(np.float32)[:, None], log_noise[w], log_noise[n]
+        place = np.arange(len(h)) - at[of]
+        to_units = sums(np.concatenate([of, noise_of]), np.concatenate([w, n]), np.concatenate([place, np.arange(len(n)) - (noise_at - np.diff(at, append=at[-1]))[noise_of]]), u, steps)
+        for i, (by_context, by_unit) in enumerate(zip(sums(of, h, place, u, steps), to_units, strict=True)):
+            own, its = slice(at[i], at[i + 1]), slice(noise_at[i], noise_at[i + 1])
+            rh, qw, qn = r.take(h[own], 0), qb.take(w[own], 0), qb.take(n[its], 0)
+            g = (1 / (1 + np.exp(log_w[own] - np.einsum("ij,ij->i", rh, qw))) - 1)[:, None]
+            qn[:, wide] -= log_n[its]
+            gn = rh @ np.negative(qn).T
+            np.exp(gn, out=gn)
+            gn += 1
+            np.divide(1, gn, out=gn)
+            qn *= times[its]
+            grow = gn @ qn
+            grow += g * qw
+            grow *= c[own]
+            grow[:, wide] = 0
+            rh *= c[own]
+            to_both = np.empty((len(rh) + len(qn), wide + 1), np.float32)
+            np.multiply(g, rh, out=to_both[: len(rh)])
+            np.multiply(gn.T @ rh, times[its], out=to_both[len(rh) :])
+            move(qb, qb_squares, by_unit.units, by_unit.of(to_both))
+            move(r, r_squares, by_context.units, by_context.of(grow))
     for a, b, part in zip(ends[:-1], ends[1:], parts, strict=True):
-        model[:, a:b] = part
+        model[:, a:b] = part[:, : b - a]
     return np.rint(as_context).astype(np.int64), np.rint(as_unit).astype(np.int64)
 
 
@@ -347,9 +410,7 @@ def weighted_batches(pairs: Iterable[tuple[np.ndarray, np.ndarray]], units: int,
         codes, weights = codes[order], weights[order]
         some = replace(s, batch=max(1, int(s.batch * len(codes) / total)))
         for code, weight in in_batches(((codes[a : a + SHUFFLED], weights[a : a + SHUFFLED]) for a in range(0, len(codes), SHUFFLED)), passes, some, rng):
-            near = np.argsort(code)  # each context's pairs side by side
-            code = code[near]
-            yield code // units, code % units, weight[near]
+            yield code // units, code % units, weight
 
 
 def trained(docs: DataFrame, v: Vocabulary, s: Settings) -> np.ndarray:

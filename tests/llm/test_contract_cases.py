@@ -4,10 +4,12 @@ keys in several sources, extra columns, long inputs, sizes after joins, and file
 import hashlib
 import random
 import time
+import tracemalloc
 import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -335,3 +337,53 @@ def test_weighted_training_counts_every_pair_and_predicts_better():
     unigrams = np.log10(counts / counts.sum())[test[1]].mean()
     print(score, unigrams)
     assert score["counted"] > unigrams + 0.5 and score["counted"] > score["pairs"] - 0.1
+
+
+def test_noise_units_drawn_several_times_are_scored_once():
+    """Three steps of 256 pairs with 20,000 noise units of 20, against plain NCE with every draw for
+    itself; a matrix of pairs and draws would take 20 MB."""
+    rng, s = np.random.default_rng(2), lm.Settings(width=8, noise=20_000, rate=0.05)
+    counts = rng.integers(1, 1000, 20).astype(float)
+    batches = [(rng.integers(0, 20, 256), rng.integers(0, 20, 256), rng.integers(1, 9, 256).astype(np.float32)) for _ in range(3)]
+    model = lm.fresh(counts, s)
+    plain = model.astype(float)
+    tracemalloc.start()
+    as_context, as_unit = lm.learn(model, counts, batches, s, np.random.default_rng(7))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    share = (counts + 1) / (counts + 1).sum()
+    drawn = np.searchsorted(np.cumsum(share), np.random.default_rng(7).random((3, s.noise))).clip(max=19)
+    x, squares = plain[:, :17], plain[:, 17:]
+    for (h, w, weight), n in zip(batches, drawn, strict=True):
+        c, step = weight / weight.sum(), np.zeros_like(x)
+        r, q, b = x[:, :8], x[:, 8:16], x[:, 16]
+        for c_i, h_i, w_i in zip(c, h, w, strict=True):
+            ds = np.concatenate([[w_i], n])
+            g = c_i * (1 / (1 + np.exp(-(q[ds] @ r[h_i] + b[ds] - np.log(share[ds] * s.noise)))) - (np.arange(len(ds)) == 0))
+            step[h_i, :8] += g @ q[ds]
+            by_unit = np.bincount(ds, g, 20)
+            step[:, 8:16] += by_unit[:, None] * r[h_i]
+            step[:, 16] += by_unit
+        squares += step * step
+        x -= s.rate * step / np.sqrt(squares)
+    assert np.allclose(model, plain, atol=1e-4)
+    assert (as_context == sum(np.bincount(h, c, 20) for h, _, c in batches)).all()
+    assert (as_unit == sum(np.bincount(w, c, 20) for _, w, c in batches) + np.bincount(drawn.ravel(), minlength=20)).all()
+    assert peak < 8 << 20
+
+
+def test_units_of_words_whose_hashes_begin_alike():
+    texts = pa.array([" ".join(f"w{i}" for i in range(500)), "", "w3 w3 other"])
+    (grid,) = grids(texts, lower=True)
+    grid.word = np.where(np.arange(len(grid.word)) % 3 > 0, grid.word >> np.uint64(50), grid.word)
+    grid.word[7] = np.uint64(2**64 - 1)
+    s, words = lm.Settings(classes=16), np.unique(grid.word[1:400:2])
+    v = lm.Vocabulary(words, np.ones(len(words)), 503, 501, 3, np.ones(16), np.ones(16))
+    unit = {int(w): 1 + i for i, w in enumerate(words)}
+    kind = 1 + len(words) + lm.word_classes(grid, 16)
+    for words_of in (grid.word, np.minimum(grid.word, np.uint64(2**64 - 2))):
+        grid.word = words_of
+        assert v.units(grid, s).tolist() == [unit.get(int(w), int(k)) for w, k in zip(grid.word, kind, strict=True)]
+    v = lm.Vocabulary(words[:5], np.ones(5), 503, 501, 3, np.ones(16), np.ones(16))
+    grid.word[0] = np.uint64(2**64 - 1)
+    assert v.units(grid, s)[0] == 6 + lm.word_classes(grid, 16)[0]
