@@ -74,11 +74,11 @@ def bounded(query: DataFrame, base: DataFrame, key: str, by: str | None = None)
     weights in the base, nor more than the length of the query's vector over them.
 
     The base's rows of terms that a query has, and the lists, are written once: each step reads them
-    and none works them out again.
+    and none works them out again. Rows without a key are no answer.
     """
     on = ["term"] + ([by] if by else [])
-    q = kept(query.select(F.col(key).alias("query"), F.col("w").alias("qw"), *on))
-    b = kept(base.select(F.col(key).alias("base"), F.col("w").alias("bw"), *on).join(q.select("term").distinct(), "term", "left_semi"))
+    q = kept(query.where(F.col(key).isNotNull()).select(F.col(key).alias("query"), F.col("w").alias("qw"), *on))
+    b = kept(base.where(F.col(key).isNotNull()).select(F.col(key).alias("base"), F.col("w").alias("bw"), *on).join(q.select("term").distinct(), "term", "left_semi"))
     lists = kept(b.groupBy("term").agg(F.max("bw").alias("most"), F.count("*").alias("df")).withColumn("blocks", F.ceil(F.col("df") / BLOCK).cast("int")))
     long = F.broadcast(lists.where("blocks > 1").select("term", "blocks"))  # one in BLOCK rows at most
     b = b.join(long, "term", "left").withColumn("block", F.pmod(F.xxhash64("base"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
@@ -114,8 +114,9 @@ def nearest(query: DataFrame, base: DataFrame, key: str, by: str | None = None)
     return full.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def near_existing(new: DataFrame, existing: DataFrame, key: str, text: str, threshold: float = 0.85, least: int = 120, most: int = 50_000) -> DataFrame:
-    """New rows near an existing one; idf is of the existing rows alone, texts of `least` characters."""
+def near_existing(new: DataFrame, existing: DataFrame, key: str, text: str, threshold: float = 0.85, least: int = 120, most: int | None = 50_000) -> DataFrame:
+    """New rows near an existing one; idf is of the existing rows alone, texts of `least` characters.
+    `most` terms of the existing rows count, the commonest; None: all."""
     e, q = existing.where(F.length(text) >= least), new.where(F.length(text) >= least)
     t = terms(e, key, F.col(text))
     i = idf(t, e.count(), most)

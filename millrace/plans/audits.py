@@ -350,7 +350,7 @@ TFIDF_SQL = r"""q AS (SELECT item_id AS k, regexp_extract_all(lower(text), '[\p{
 @query(f"""WITH {TFIDF_SQL.replace('LEAST', '120')}, b AS (SELECT q, max(round(c * 1e6)) AS c FROM c GROUP BY q) SELECT q AS query, CAST(c AS BIGINT) AS cosine_millionths FROM b WHERE c >= 20000""")
 def near_existing(spark, d):
     e = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), "text")
-    n = lexical.near_existing(table(spark, d, "benchmark").withColumnRenamed("item_id", "k"), e, "k", "text", threshold=0.0199995, most=10_000_000)
+    n = lexical.near_existing(table(spark, d, "benchmark").withColumnRenamed("item_id", "k"), e, "k", "text", threshold=0.0199995, most=None)
     return n.select("query", F.round(F.col("cosine") * 1e6).cast("long").alias("cosine_millionths"))
 
 
