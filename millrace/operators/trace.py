@@ -145,19 +145,28 @@ def published(entries: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFr
     return entries.join(ok, on, "left_semi"), entries.join(ok, on, "left_anti")
 
 
+#: Entries of a class that go along in one list.
+LISTED = 1000
+
+
 def applicable(entries: DataFrame, tasks: DataFrame, same: list[str], subset: tuple[str, str]) -> DataFrame:
     """Entries that fit a task: equal digests, and all that the entry needs is there.
 
     What fits is told once for each two classes, of entries and of tasks with the same digests and
-    list; only rows that fit meet then. A few large classes are dealt over all cores: a task goes to
-    one of the lots of its class, an entry to each. The result may be as large as the product."""
+    list; only rows that fit meet then. The entries of a class go along in lists of about LISTED rows,
+    so that a task meets a list and not each of its rows. A few large classes are dealt over all cores:
+    a task goes to one of the lots of its class, a list to each. The result may be as large as the product."""
     need, have = subset
-    lots = entries.sparkSession.sparkContext.defaultParallelism
+    lots, on = entries.sparkSession.sparkContext.defaultParallelism, [*same, have, "__lot"]
+    own, rest = [c for c in entries.columns if c not in (*same, need)], [[c for c in df.columns if c not in same] for df in (entries, tasks)]
     fits = entries.select(*same, need).distinct().join(tasks.select(*same, have).distinct(), same).where(F.size(F.array_except(need, have)) == 0)
-    e = entries.join(fits, [*same, need]).withColumn("__lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    sizes = entries.groupBy(*same, need).agg(F.ceil(F.count("*") / LISTED).alias("__lists"))
+    lists = entries.join(sizes, [*same, need]).withColumn("__list", F.pmod(F.xxhash64(*entries.columns), F.col("__lists")))
+    lists = lists.groupBy(*same, need, "__list").agg(F.collect_list(F.struct(F.lit(0).alias("__row"), *own)).alias("__rows"))
+    e = lists.join(fits, [*same, need]).withColumn("__lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
     t = spread(tasks).withColumn("__lot", F.pmod(F.xxhash64(*tasks.columns), F.lit(lots)).cast("int"))
-    rest = [[c for c in df.columns if c not in same] for df in (entries, tasks)]
-    return e.join(t, [*same, have, "__lot"]).select(*same, *rest[0], *rest[1])
+    met = e.repartition(4 * lots, *on).join(t.repartition(4 * lots, *on), on)
+    return met.withColumn("__e", F.explode("__rows")).select(*same, *[F.col(f"__e.{c}").alias(c) if c in own else F.col(c) for c in rest[0]], *rest[1])
 
 
 def fine_tuning_rows(c: DataFrame, role: str, selected: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:

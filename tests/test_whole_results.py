@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from millrace.operators import lexical
+from millrace.operators import lexical, trace
 from millrace.plans import audits, catalogue, signals
 
 
@@ -35,3 +35,15 @@ def test_near_rows_by_all_terms_of_all_texts(spark, tmp_path, monkeypatch):
     got = audits.near_existing(spark, str(tmp_path)).select("query", "cosine_millionths").collect()
     assert cuts == [None]
     assert sorted(map(tuple, got)) == of_sql(catalogue.SQL["near_existing"], tmp_path, ["conversations", "benchmark"])
+
+
+def test_tasks_meet_lists_of_entries(spark, monkeypatch):
+    monkeypatch.setattr(trace, "LISTED", 7)
+    entries = spark.range(90).selectExpr("id % 60 AS e", "map('k', 1)['k'] AS one", "IF(id % 3 = 0, 'p', 'q') AS profile", "sequence(0, id % 3) AS need")
+    tasks = spark.range(40).selectExpr("id % 30 AS t", "IF(id % 2 = 0, 'p', 'q') AS profile", "sequence(0, id % 3) AS have")
+    got = trace.applicable(entries, tasks, ["profile"], ("need", "have"))
+    plain = entries.join(tasks, ["profile"]).where("size(array_except(need, have)) = 0")
+    assert got.columns == plain.columns and got.count() > 40
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Generate explode(__rows") < plan.index("Join Inner")  # rows come out after tasks and lists have met
