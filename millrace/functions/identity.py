@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import canonical, collapsed, is_blank, nfc, norm
+from .text import changed_each, collapsed, is_blank, lines_stripped, nfc, norm
 
 MESSAGE = "struct<role:string,content:string>"
 
@@ -39,8 +39,10 @@ def family_text(messages: Column) -> Column:
 
 def group_key(messages: Column) -> Column:
     """One family whatever the assistants said: the digest of the other canonical messages.
-    NFC is taken as given inside arrays (see nfc_messages)."""
-    return digest(message_json(F.transform(non_assistant(messages), lambda m: F.struct(m["role"].alias("role"), canonical(m["content"], composed=False).alias("content")))))
+    NFC is taken as given (see nfc_messages)."""
+    said = non_assistant(messages)
+    texts = changed_each(F.transform(said, lambda m: m["content"]), lines_stripped)
+    return digest(message_json(F.zip_with(said, texts, lambda m, t: F.struct(m["role"].alias("role"), t.alias("content")))))
 
 
 def fingerprint(messages: Column) -> Column:

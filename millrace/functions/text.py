@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The white space of Python's str.split, and its line ends.
+# The white space of Python's str.split.
 SPACES = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: A token is a run of letters, digits and underscores, or one other sign.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -43,20 +45,60 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACES}+", " "))
 
 
+def composed_and_collapsed(x: str) -> str:
+    return " ".join(unicodedata.normalize("NFC", x).split())
+
+
+def lines_stripped(x: str) -> str:
+    return "\n".join([line.rstrip() for line in x.splitlines()]).strip()
+
+
+def composed_and_stripped(x: str) -> str:
+    return lines_stripped(unicodedata.normalize("NFC", x))
+
+
+def each(texts: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    return pa.array([None if x is None else change(x) for x in texts.to_pylist()], pa.string())
+
+
+@cache
+def text_udf(change: Callable[[str], str]):
+    """One function object for each change, so that Spark sees equal calls as one."""
+    return F.arrow_udf(lambda texts: each(texts, change), T.StringType())
+
+
+@cache
+def texts_udf(change: Callable[[str], str]):
+    def run(lists: pa.Array) -> pa.Array:
+        ends = np.cumsum([0, *(n or 0 for n in lists.value_lengths().to_pylist())])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each(lists.flatten(), change), mask=lists.is_null())
+
+    return F.arrow_udf(run, T.ArrayType(T.StringType()))
+
+
+def changed(text: Column, change: Callable[[str], str]) -> Column:
+    """The text as Python changes it, whose splits and strips go through a text once."""
+    return text_udf(change)(F.make_valid_utf8(text))
+
+
+def changed_each(texts: Column, change: Callable[[str], str]) -> Column:
+    """The same for each text of an array."""
+    return texts_udf(change)(F.transform(texts, F.make_valid_utf8))
+
+
 def norm(text: Column) -> Column:
     """NFC and collapsed white space: the key of text equality."""
-    return collapsed(nfc(text))
+    return changed(text, composed_and_collapsed)
 
 
 def canonical(text: Column, composed: bool = True) -> Column:
     """NFC, lines ended by \\n and stripped at their right, stripped as a whole."""
-    t = F.regexp_replace(nfc(text) if composed else text, LINE_ENDS, "\n")
-    t = F.regexp_replace(t, f"(?m)[{SPACES}&&[^\\n]]+$", "")
-    return F.regexp_replace(F.regexp_replace(t, f"^{SPACES}+", ""), f"{SPACES}+$", "")
+    return changed(text, composed_and_stripped if composed else lines_stripped)
 
 
 def is_blank(text: Column) -> Column:
-    return collapsed(F.coalesce(text, F.lit(""))) == ""
+    """Looks no further than to the first sign that is no white space."""
+    return ~F.coalesce(text, F.lit("")).rlike(f"[^{SPACES[1:]}")
 
 
 def tokens(text: Column) -> Column:

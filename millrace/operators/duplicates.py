@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapsed, is_blank, nfc, norm
+from ..functions.text import changed_each, composed_and_collapsed, is_blank, norm
 from ..session import dealt
 
 
@@ -32,18 +32,22 @@ def sample_keys(body: Column) -> dict[str, Column]:
     source, ability = F.col("data_source"), F.col("ability")
     truth, question, first = F.col("reward_model.ground_truth"), F.col("extra_info.question"), F.get("prompt", 0)["content"]
     as_json = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
-    told = F.transform("prompt", lambda m: F.array(m["role"], collapsed(F.coalesce(m["content"], F.lit("")))))
-    title = lambda t: norm(F.get(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), 0))
-    pair = F.when(source.endswith("en-fr"), F.array(norm(body), norm(truth))).otherwise(F.array(norm(truth), norm(body)))
+    texts = changed_each(F.transform("prompt", lambda m: F.coalesce(m["content"], F.lit(""))), composed_and_collapsed)
+    told = F.zip_with("prompt", texts, lambda m, t: F.array(m["role"], t))
+    where = lambda c, x: norm(F.when(c, x))  # noqa: E731  other rows' texts do not go to Python
+    first_line = lambda t: F.get(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", 2), 0)
+    translated = ability == "translation"
+    one, other = where(translated, body), where(translated, truth)
+    pair = F.when(source.endswith("en-fr"), F.array(one, other)).otherwise(F.array(other, one))
     return {
         "prompt_exact": as_json("prompt"),
-        "prompt_normalized": nfc(F.to_json(told)),
-        "question_normalized_nonempty": F.when(~is_blank(question), norm(question)),
+        "prompt_normalized": F.to_json(told),
+        "question_normalized_nonempty": where(~is_blank(question), question),
         "answer_normalized": norm(truth),
         "sample_without_split_or_function": as_json(F.struct("data_source", "prompt", "reward_model")),
-        "wildchat_first_user_message": F.when((ability == "multi-turn") & (first != ""), norm(first)),
-        "translation_pair_direction_invariant": F.when(ability == "translation", F.to_json(pair)),
-        "essay_title_candidate": F.when(source == "essay_abs2text", title(truth)).when(source == "essay_infilling", title(body)),
+        "wildchat_first_user_message": where((ability == "multi-turn") & (first != ""), first),
+        "translation_pair_direction_invariant": F.when(translated, F.to_json(pair)),
+        "essay_title_candidate": norm(F.when(source == "essay_abs2text", first_line(truth)).when(source == "essay_infilling", first_line(body))),
     }
 
 

@@ -1,10 +1,14 @@
 """Results that have to be whole: what a cut, a null or an empty text would change."""
 
+import hashlib
+import json
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
-from millrace.operators import lexical, trace
+from millrace.functions import identity, text
+from millrace.operators import duplicates, lexical, neardup, trace
 from millrace.plans import audits, catalogue, signals
 
 
@@ -47,3 +51,31 @@ def test_tasks_meet_lists_of_entries(spark, monkeypatch):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
     plan = got._jdf.queryExecution().analyzed().toString()
     assert plan.index("Generate explode(__rows") < plan.index("Join Inner")  # rows come out after tasks and lists have met
+
+
+def test_texts_go_through_python_once_and_not_through_expressions(spark, sf_dir):
+    """White space of all kinds, nulls and empty lists; a plan of keys replaces nothing by expressions."""
+    said = ["a  b \r\n c d\t ", " \x1f　\n", "", None, "é \x85x\x1c", "x\n\n y"]
+    chats = [[("user", x), ("assistant", "z"), ("system", "s ")] for x in said] + [[], None]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(chats)], "i int, m array<struct<role:string,content:string>>")
+    plain = lambda x: None if x is None else "\n".join(line.rstrip() for line in x.splitlines()).strip()
+    told = [m and [{"content": plain(x), "role": r} for r, x in m if r != "assistant"] for m in chats]
+    want = [None if m is None else hashlib.sha256(json.dumps(m, ensure_ascii=False, separators=(",", ":")).replace("\\u001f", "\\u001F").encode()).hexdigest() for m in told]
+    assert [r[0] for r in df.orderBy("i").select(identity.group_key(F.col("m"))).collect()] == want
+    blank = df.orderBy("i").select(text.is_blank(F.get("m", 0)["content"])).limit(len(said)).collect()
+    assert [r[0] for r in blank] == [not (x or "").split() for x in said]
+    plan = signals.source_shapes(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "ArrowEvalPython" in plan
+    keys = duplicates.sample_keys(F.col("body"))
+    assert not any("regexp_replace" in str(c) for c in keys.values())
+
+
+def test_keys_of_a_selection_and_its_tokens_are_made_once(spark, sf_dir):
+    members, records, _ = catalogue.pool_parts(spark, sf_dir)
+    plan = members._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan and "sha2" not in plan
+    f = neardup.features(records, "gid", F.col("family"))
+    assert "regexp_extract_all" not in f._jdf.queryExecution().optimizedPlan().toString()
+    all_signs = "".join(map(chr, range(32, 0x860))) + " 漢字 ½ Ⅷ _a9 𝒳 😀 ᚠ x"
+    java = spark.createDataFrame([(all_signs,)], "t string").select(text.tokens(F.col("t"))).first()[0]
+    assert neardup.WORDS.findall(all_signs) == java
