@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Sequence
 from functools import reduce
 from hashlib import md5
 from operator import add
@@ -13,12 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import folded_tokens, sizes_allow
+from ..functions.text import sizes_allow
 from ..session import kept, spread
 
 
 #: Longs of a sketch: for each of 64 times as many lots of shingle keys, whether the set has an odd number of them.
 SKETCH = 16
+#: The tokens of `text.TOKEN` as Python has them: only letters that its newer tables know differ.
+WORDS = re.compile(r"\w+|[^\w\s]")
 #: Pairs whose sets are compared in one cell.
 CELL = 32_768
 
@@ -35,21 +39,29 @@ def sketched(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype("u1")).view("i8")
 
 
-def lists(xs: list[np.ndarray]) -> pa.Array:
+def lists(xs: Sequence[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype("i4"), np.concatenate([np.empty(0, "i8"), *xs]))
 
 
 def features(df: DataFrame, key: str, text: Column, sets: bool = False, bottom: int = 12, n: int = 3, least: int = 12) -> DataFrame:
     """key, n (shingle keys) and set (128 bits that equal sets share) of texts of `least` tokens or
     more; with `sets` the shingles, else the `bottom` smallest and a sketch."""
-    t = spread(df.select(F.col(key), text.alias("__text"))).select(key, folded_tokens(F.col("__text")).alias("__t")).where(F.size("__t") >= least)
+    folded = F.make_valid_utf8(F.replace(F.lower("__text"), F.lit("ß"), F.lit("ss")))
+    t = spread(df.select(F.col(key), text.alias("__text"))).select(key, folded.alias("__t"))
     more = ["shingles"] if sets else ["bottom", "sketch"]
 
     def run(batches):
         for b in batches:
-            found = [shingle_set(t.as_py(), n) for t in b.column(1)]
-            told = [found] if sets else [[x[:bottom] for x in found], [sketched(x) for x in found]]
-            yield pa.record_batch([b.column(0), pa.array([len(x) for x in found], pa.int32()), pa.array([md5(x.tobytes()).digest() for x in found], pa.binary()), *map(lists, told)], [key, "n", "set", *more])
+            rows, found = [], []
+            for i, x in enumerate(b.column(1)):
+                words = WORDS.findall(x.as_py() or "")
+                if len(words) >= least:
+                    shingles = shingle_set(words, n)
+                    told = [shingles] if sets else [shingles[:bottom].copy(), sketched(shingles)]
+                    rows.append(i)
+                    found.append((len(shingles), md5(shingles.tobytes()).digest(), *told))
+            size, digest, *told = zip(*found, strict=True) if found else [()] * (2 + len(more))
+            yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), pa.array(size, pa.int32()), pa.array(digest, pa.binary()), *map(lists, told)], [key, "n", "set", *more])
 
     schema = t.select(key).schema.add("n", "integer").add("set", "binary")
     for c in more:

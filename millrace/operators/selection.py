@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import draw_key, family_text, group_key, message_json
 from ..functions.text import is_blank
-from ..session import kept
+from ..session import kept as written
 from .neardup import first_of_each, near_pairs
 from .sampling import held_out, keep_first, turns
 
@@ -65,7 +65,7 @@ def prepare(rows: DataFrame, seed: int, fraction: float, order: list[str]) -> tu
     """(members, records, reserved) of normalised rows with a split. Rows of split `unsplit` are
     dealt to holdout or train by their family. Families that are held out are no records."""
     split = F.when(F.col("split") != "unsplit", F.col("split")).when(held_out(F.col("gid"), seed, fraction), "holdout").otherwise("train")
-    rows = rows.where("error is null").withColumn("split", split)
+    rows = written(rows.where("error is null").withColumn("split", split))  # keys are made once, not for each use
     kept = reserved(rows.where("split <> 'train'"))
     members = rows.where("split = 'train'")
     records = keep_first(members, ["gid"], *order).withColumn("draw", draw_key(seed, "draw", F.col("gid")))
@@ -83,13 +83,13 @@ def build_pool(records: DataFrame, held: DataFrame, sources: list[str], targets:
     found once; then the greedy choice runs over them. A target can cut a source short, and what
     it cuts must not turn others down, so sources are settled one after the other.
     """
-    r = turns(records.where("disposition = 'available'"), ["source"], "stratum", "draw", "gid")
-    r = r.withColumn("visit", F.row_number().over(Window.partitionBy("source").orderBy("turn", "stratum")))
-    r = r.withColumn("put_off", F.length(message_json(F.col("messages"))) > most_chars).checkpoint()
-    tasks = r.where(~F.col("put_off")).select(F.concat(F.lit("candidate:"), "gid").alias("k"), "family", "source", "visit")
+    r = written(records.where("disposition = 'available'").withColumn("put_off", F.length(message_json(F.col("messages"))) > most_chars))
+    visits = turns(r.select("gid", "source", "stratum", "draw"), ["source"], "stratum", "draw", "gid")  # ranked without their texts
+    visits = written(visits.select("gid", "source", F.row_number().over(Window.partitionBy("source").orderBy("turn", "stratum")).alias("visit")))
+    tasks = r.where(~F.col("put_off")).select(F.concat(F.lit("candidate:"), "gid").alias("k"), "gid", "family")
     marks = held.select(F.concat(F.lit("heldout:"), "gid").alias("k"), "family")
     pairs = near_pairs(tasks.select("k", "family").unionByName(marks), "k", F.col("family"), threshold).select("a", "b").checkpoint()
-    tasks, taken, done = tasks.select("k", "source", F.col("visit").alias("r")).checkpoint(), marks.select("k").checkpoint(), None
+    tasks, taken, done = written(tasks.select("k", "gid").join(visits, "gid").select("k", "source", F.col("visit").alias("r"))), marks.select("k").checkpoint(), None
     position = 0
     for source in sources:
         own = tasks.where(F.col("source") == source)
@@ -109,7 +109,7 @@ def build_pool(records: DataFrame, held: DataFrame, sources: list[str], targets:
     last = done.groupBy("source").agg(F.max(F.when(F.col("pool_position").isNotNull(), F.col("r"))).alias("r"), F.count("pool_position").alias("n"))
     last = last.select("source", F.when(F.col("n") >= met, F.coalesce("r", F.lit(0))).otherwise(2**31 - 1).alias("last_visit"))
     gids = done.select(F.substring("k", 11, 64).alias("gid"), "state", "matched", "pool_position")
-    r = r.join(gids, "gid", "left").join(last, "source", "left")
+    r = r.join(visits.select("gid", "visit"), "gid").join(gids, "gid", "left").join(last, "source", "left")
     state = F.when(F.col("put_off") & (F.col("visit") < F.coalesce("last_visit", F.lit(0))), "deferred_input_limit").otherwise(F.coalesce("state", F.lit("available")))
     out = r.select("gid", "source", "stratum", "draw", "messages", "family", state.alias("disposition"), "matched", "pool_position")
     rest = records.where("disposition <> 'available'").select("gid", "source", "stratum", "draw", "messages", "family", "disposition", F.lit(None).cast("string").alias("matched"), F.lit(None).cast("long").alias("pool_position"))
@@ -128,7 +128,7 @@ def export_rows(pool: DataFrame, members: DataFrame, seed: int, targets: dict[st
     n = F.element_at(F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v))]), F.col("source"))
     place = F.row_number().over(Window.partitionBy("source").orderBy("pool_position"))
     chosen = pool.where("disposition = 'include'").select("gid", "source", "pool_position").withColumn("place", place).where(F.col("place") <= max(targets.values(), default=0)).where(F.col("place") <= n)
-    chosen = kept(chosen)
+    chosen = written(chosen)
     members = members.join(chosen.select("gid"), "gid", "left_semi")
     whole = pool.where("disposition = 'include'").select("gid", F.col("pool_position").alias("__p"), "messages")
     chosen = chosen.join(whole, "gid").where(F.col("pool_position").eqNullSafe(F.col("__p")))
