@@ -76,6 +76,10 @@ def run_once(stream: DataFrame, checkpoint: str, into: str, mode: str = "append"
         progress.append(sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"]))
 
 
+#: Buckets of episodes in each part of the state.
+BUCKETS = 64
+
+
 def parts_for(df: DataFrame) -> int:
     """Parts of the state of a stream of so many rows: a few for each core."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -85,64 +89,91 @@ def parts_for(df: DataFrame) -> int:
 # Episodes
 
 
-EPISODE = "state string, taken long, refused long, last_seq long"
-
-
 class EpisodeSteps(StatefulProcessor):
     """Takes the steps that are allowed, counts those that are not, and drops an episode `keep`
     milliseconds after a step that ends it, or `idle` ones after the last step of one that does not
-    end. A sequence number that comes twice counts once (a map of those that were heard)."""
+    end. A sequence number that comes twice counts once.
 
-    def __init__(self, key: str, steps: dict[str, tuple[str, ...]], keep: int, idle: int | None):
-        self.key, self.keep, self.idle = key, keep, idle
+    Episodes are dealt to buckets. A bucket's state has a row for each of its episodes, with the
+    numbers that were heard and the time when it goes, and one timer, for the first that goes: so
+    a bucket asks for its state once a batch, and not several times for each episode."""
+
+    def __init__(self, key: str, kind: str, steps: dict[str, tuple[str, ...]], keep: int, idle: int | None):
+        self.key, self.kind, self.keep, self.idle = key, kind, keep, idle
         self.allowed = {k: set(v) for k, v in steps.items()}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", EPISODE)
-        self.heard = handle.getMapState("heard", "seq long", "to_state string")
+        row = f"k: {self.kind}, state: string, taken: long, refused: long, until: long, heard: array<long>"
+        self.now = handle.getValueState("now", f"episodes array<struct<{row}>>, timer long")
+
+    def known(self) -> tuple[dict, int | None]:
+        """Episodes with state, taken, refused, until and heard, and the time of the bucket's timer."""
+        told = self.now.get() if self.now.exists() else None
+        return ({k: r for k, *r in told[0]}, told[1]) if told else ({}, None)
+
+    def put(self, episodes: dict, timer: int | None) -> None:
+        """Writes the state, and moves the timer to the first time at which an episode goes."""
+        first = min((r[3] for r in episodes.values() if r[3] is not None), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if episodes:
+            self.now.update(([(k, *r) for k, r in episodes.items()], first))
+        else:
+            self.now.clear()
 
-    def row(self, key: tuple, state: tuple, expired: bool) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]], "state": [state[0]], "taken": [state[1]], "refused": [state[2]], "expired": [expired]})
+    def rows(self, episodes: dict, expired: bool) -> pd.DataFrame:
+        state, taken, refused = zip(*(r[:3] for r in episodes.values()), strict=True)
+        return pd.DataFrame({self.key: pd.Series(list(episodes), dtype=object), "state": state, "taken": taken, "refused": refused, "expired": expired})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state, taken, refused, _ = self.now.get() if self.now.exists() else ("new", 0, 0, -1)
+        episodes, timer = self.known()
         steps = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        for seq, to in zip(steps["seq"].tolist(), steps["to_state"].tolist(), strict=True):
-            if self.heard.containsKey((seq,)):
+        touched, heard, last = {}, {}, {}
+        for k, seq, to, ms in zip(*(steps[c].tolist() for c in (self.key, "seq", "to_state", "ms")), strict=True):
+            if k not in touched:
+                touched[k] = list(episodes.get(k, ("new", 0, 0, None, [])))
+                heard[k] = dict.fromkeys(touched[k][4])
+            last[k] = max(ms, last.get(k, ms))
+            if seq in heard[k]:
                 continue
-            self.heard.updateValue((seq,), (to,))
-            if to in self.allowed.get(state, ()):
-                state, taken = to, taken + 1
+            heard[k][seq] = None
+            now = touched[k]
+            if to in self.allowed.get(now[0], ()):
+                now[0], now[1] = to, now[1] + 1
             else:
-                refused += 1
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        over = not self.allowed.get(state)
-        if over or self.idle is not None:
-            self.handle.registerTimer(int(steps["ts"].max().timestamp() * 1000) + (self.keep if over else self.idle))
-        self.now.update((state, taken, refused, int(steps["seq"].max())))
-        yield self.row(key, (state, taken, refused), False)
+                now[2] += 1
+        for k, now in touched.items():
+            over = not self.allowed.get(now[0])
+            now[3] = last[k] + (self.keep if over else self.idle) if over or self.idle is not None else None
+            now[4] = list(heard[k])
+        self.put(episodes | touched, timer)
+        yield self.rows(touched, False)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.now.exists():
-            state = self.now.get()
-            self.now.clear()
-            self.heard.clear()
-            yield self.row(key, state, True)
+        episodes, timer = self.known()
+        at = timerValues.getCurrentWatermarkInMs()
+        gone = {k: r for k, r in episodes.items() if r[3] is not None and r[3] <= at}
+        self.put({k: r for k, r in episodes.items() if k not in gone}, None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer)
+        if gone:
+            yield self.rows(gone, True)
 
     def close(self) -> None:
         pass
 
 
-def episodes(stream: DataFrame, key: str = "episode_id", late: str = "0 seconds", keep: int = 3_600_000, idle: int | None = None, steps: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def episodes(stream: DataFrame, key: str = "episode_id", late: str = "0 seconds", keep: int = 3_600_000, idle: int | None = None, steps: dict[str, tuple[str, ...]] | None = None, buckets: int = 256) -> DataFrame:
     """(key, seq, to_state, ts) -> key, state, taken, refused, expired: a row for each episode that a
     batch touches, and a last one when its state goes. Steps older than the watermark are dropped;
-    an episode that is heard of again after it went begins anew."""
+    an episode that is heard of again after it went begins anew. A checkpoint keeps its number of buckets."""
     kind = stream.schema[key].dataType.simpleString()
     s = stream.select(F.col(key), F.col("seq").cast("long").alias("seq"), "to_state", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    s = s.withColumns({"ms": F.unix_millis("ts"), "__bucket": F.pmod(F.xxhash64(key), F.lit(buckets))})
     out = f"{key} {kind}, state string, taken long, refused long, expired boolean"
-    return s.groupBy(key).transformWithStateInPandas(EpisodeSteps(key, steps or STEPS, keep, idle), out, "update", "EventTime")
+    return s.groupBy("__bucket").transformWithStateInPandas(EpisodeSteps(key, kind, steps or STEPS, keep, idle), out, "update", "EventTime")
 
 
 def latest(out: DataFrame, key: str = "episode_id") -> DataFrame:

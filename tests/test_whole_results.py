@@ -5,11 +5,13 @@ import json
 import random
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.functions import identity, text
 from millrace.operators import duplicates, lexical, neardup, trace
 from millrace.plans import audits, catalogue, signals
+from millrace.streaming import timed
 
 
 def of_sql(sql, folder, tables):
@@ -79,3 +81,74 @@ def test_keys_of_a_selection_and_its_tokens_are_made_once(spark, sf_dir):
     all_signs = "".join(map(chr, range(32, 0x860))) + " 漢字 ½ Ⅷ _a9 𝒳 😀 ᚠ x"
     java = spark.createDataFrame([(all_signs,)], "t string").select(text.tokens(F.col("t"))).first()[0]
     assert neardup.WORDS.findall(all_signs) == java
+
+
+class Held:
+    """A bucket's state and timers, as Spark would hold them, and how often they were asked for."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+
+def test_a_bucket_of_episodes_is_asked_for_once_a_batch():
+    """Each episode goes on, hears a number once and goes at its own time, however many share a bucket."""
+    r, held = random.Random(8), Held()
+    p = timed.EpisodeSteps("k", "long", {"new": ("a",), "a": ("b",), "b": ()}, 100, None)
+    p.init(held)
+    want, out, clock = {}, {}, 0
+    for batch in range(6):
+        steps = [(r.randrange(300), r.randrange(4), r.choice("ab"), clock + r.randrange(50)) for _ in range(400)]
+        held.calls = 0
+        for df in p.handleInputRows((0,), iter([pd.DataFrame(steps[:150], columns=["k", "seq", "to_state", "ms"]), pd.DataFrame(steps[150:], columns=["k", "seq", "to_state", "ms"])]), None):
+            out |= {x[0]: x[1:] for x in df.itertuples(index=False)}
+        assert held.calls <= 5
+        for k, seq, to, _ in sorted(steps, key=lambda x: x[1]):
+            now = want.setdefault(k, ["new", 0, 0, set(), None])
+            if seq in now[3]:
+                continue
+            now[3].add(seq)
+            good = (now[0], to) in (("new", "a"), ("a", "b"))
+            now[0], now[1], now[2] = (to, now[1] + 1, now[2]) if good else (now[0], now[1], now[2] + 1)
+        for k in {x[0] for x in steps}:
+            want[k][4] = max(x[3] for x in steps if x[0] == k) + 100 if want[k][0] == "b" else None
+        assert {k: out[k][:3] for k in want} == {k: (*now[:3],) for k, now in want.items()}
+        clock += 60
+        while held.timers and min(held.timers) <= clock:
+            held.at = at = clock
+            held.timers.discard(first := min(held.timers))
+            p.handle, held.getExpiryTimeInMs = held, lambda: first
+            gone = [x for df in p.handleExpiredTimer((0,), held, held) for x in df["k"]]
+            assert sorted(gone) == sorted(k for k, now in want.items() if now[4] is not None and now[4] <= at)
+            for k in gone:
+                del want[k], out[k]
+    assert held.timers == {min(now[4] for now in want.values() if now[4] is not None)}
